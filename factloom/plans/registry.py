@@ -6,7 +6,7 @@ import importlib
 
 from factloom.plans.catalog import CATALOG, Query
 
-MODULES = ("queries_facts",)
+MODULES = ("queries_facts", "queries_records")
 
 
 def catalogue() -> dict[str, Query]:

@@ -62,7 +62,7 @@ def main() -> int:
     a = p.parse_args()
     con, spark, bad = database(a.sf), local_session(), []
     for name, q in catalogue().items():
-        if a.names and not any(n in name for n in a.names):
+        if a.names and not any(n == name or n in q.build.__module__ for n in a.names):
             continue
         start = time.time()
         try:
