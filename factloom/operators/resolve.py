@@ -16,6 +16,7 @@ from factloom.operators.facts import (
     top_facts_per_entity,
 )
 from factloom.operators.grouped import containing, top_per_key
+from factloom.session import durable
 
 MAX_CANDIDATES = 5  # fixed values
 MAX_FUZZY = 3
@@ -65,16 +66,17 @@ def find_entities(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(keyed: DataFrame) -> DataFrame:
-    """At most five entities per (entity_type, key), smallest ids first, with their number.
+def _candidates(keyed: DataFrame, out: str) -> DataFrame:
+    """(entity_type, key) to the ids of at most five entities, smallest first.
 
     Only bounded rows per key leave the map tasks, however many entities share a name.
     """
     few = top_per_key(
         keyed.distinct(), ["entity_type", "key"], [F.col("entity_id")], MAX_CANDIDATES
     )
-    counts = few.groupBy("entity_type", "key").agg(F.count(F.lit(1)).alias("hits"))
-    return few.join(counts, ["entity_type", "key"])
+    return few.groupBy("entity_type", "key").agg(
+        F.array_sort(F.collect_list("entity_id")).alias(out)
+    )
 
 
 def resolve_entities(mentions: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -82,65 +84,58 @@ def resolve_entities(mentions: DataFrame, entities: DataFrame, aliases: DataFram
 
     Returns one row per candidate: entity_type, name, identifier, match (definitive, candidates or
     none), via, entity_id. A mention that nothing matches has one row with match `none`.
+
+    The outcome of the equi-joins is written once; the containment step reads only what they left.
     """
-    wanted = mentions.select("entity_type", "name", "identifier").distinct()
     keys = ["entity_type", "name", "identifier"]
-    open_ = wanted.withColumns(
-        {"_id": F.lower(blank_to_null("identifier")), "key": F.lower("name")}
+    wanted = (
+        mentions.select(*keys)
+        .distinct()
+        .withColumns({"_id": F.lower(blank_to_null("identifier")), "key": F.lower("name")})
     )
-
     ids = _identifiers(entities).select(
-        "entity_type", F.col("key").alias("_id"), F.col("entity_id").alias("_by_id")
+        "entity_type", F.col("key").alias("_id"), F.array("entity_id").alias("_by_id")
     )
     exact = _candidates(
-        entities.select("entity_type", F.lower("name").alias("key"), "entity_id")
-    ).select("entity_type", "key", F.struct("entity_id", "hits").alias("_exact"))
+        entities.select("entity_type", F.lower("name").alias("key"), "entity_id"), "_exact"
+    )
     forms = (
         aliases.filter(F.col("surface_form").isNotNull())
         .select("entity_id", F.lower("surface_form").alias("key"))
         .join(entities.select("entity_id", "entity_type"), "entity_id")
     )
-    alias = _candidates(forms.select("entity_type", "key", "entity_id")).select(
-        "entity_type", "key", F.struct("entity_id", "hits").alias("_alias")
-    )
-
-    by_id = open_.join(ids, ["entity_type", "_id"], "left")
-    definite = by_id.filter(F.col("_by_id").isNotNull()).select(
-        *keys,
-        F.lit("definitive").alias("match"),
-        F.lit("identifier").alias("via"),
-        F.col("_by_id").alias("entity_id"),
-    )
-
-    rest = by_id.filter(F.col("_by_id").isNull()).select(*keys, "key")
-    named = rest.join(exact, ["entity_type", "key"], "left")
-    by_name = named.filter(F.col("_exact").isNotNull())
-    unnamed = named.filter(F.col("_exact").isNull()).select(*keys, "key")
-    formed = unnamed.join(alias, ["entity_type", "key"], "left")
-    by_alias = formed.filter(F.col("_alias").isNotNull())
-    unformed = formed.filter(F.col("_alias").isNull()).select(*keys, "key")
-
-    def decided(df: DataFrame, hit: str, via: str) -> DataFrame:
-        one = F.col(f"{hit}.hits") == 1
-        return df.select(
+    alias = _candidates(forms.select("entity_type", "key", "entity_id"), "_alias")
+    equal = durable(
+        wanted.join(ids, ["entity_type", "_id"], "left")
+        .join(exact, ["entity_type", "key"], "left")
+        .join(alias, ["entity_type", "key"], "left")
+        .select(
             *keys,
-            F.when(one, "definitive").otherwise("candidates").alias("match"),
-            F.when(one, via).otherwise(f"{via}_ambiguous").alias("via"),
-            F.col(f"{hit}.entity_id").alias("entity_id"),
+            "key",
+            F.coalesce("_by_id", "_exact", "_alias").alias("found"),
+            F.when(F.col("_by_id").isNotNull(), "identifier")
+            .when(F.col("_exact").isNotNull(), "exact_name")
+            .when(F.col("_alias").isNotNull(), "alias")
+            .alias("step"),
         )
-
-    fuzzy = _fuzzy(unformed, entities)
-    last = unformed.join(fuzzy, ["entity_type", "key"], "left").select(
+    )
+    one = F.size("found") == 1
+    decided = equal.filter(F.col("step").isNotNull()).select(
+        *keys,
+        F.when(one, "definitive").otherwise("candidates").alias("match"),
+        F.when(one, F.col("step"))
+        .otherwise(F.concat("step", F.lit("_ambiguous")))
+        .alias("via"),
+        F.explode("found").alias("entity_id"),
+    )
+    open_ = equal.filter(F.col("step").isNull())
+    last = open_.join(_fuzzy(open_, entities), ["entity_type", "key"], "left").select(
         *keys,
         F.when(F.col("entity_id").isNotNull(), "candidates").otherwise("none").alias("match"),
         F.when(F.col("entity_id").isNotNull(), "fuzzy_name").alias("via"),
         "entity_id",
     )
-    return (
-        definite.unionByName(decided(by_name, "_exact", "exact_name"))
-        .unionByName(decided(by_alias, "_alias", "alias"))
-        .unionByName(last)
-    )
+    return decided.unionByName(last)
 
 
 def _fuzzy(open_: DataFrame, entities: DataFrame) -> DataFrame:
@@ -170,7 +165,8 @@ def with_brief_context(
 ) -> DataFrame:
     """Candidates with their newest facts and first connections as context rows.
 
-    Adds (context, place, text); an entity without context keeps one row with null context.
+    Adds (context, text); an entity without context keeps one row with null context. `resolved` is
+    read three times, so pass a written table or a durable one.
     """
     chosen = resolved.filter(F.col("entity_id").isNotNull()).select("entity_id").distinct()
     told = top_facts_per_entity(facts, k, chosen).select(

@@ -784,9 +784,11 @@ def _source_time(t: Tables):
 
 
 def _seed_lines(t: Tables):
-    """A seed file per nation: its suppliers and customers, and facts and aliases for them."""
-    s = t.raw("supplier").withColumn("nation", F.col("s_nationkey"))
-    told = s.groupBy("nation").agg(
+    """Seed files of up to 20 suppliers of a nation, with facts and aliases for them."""
+    s = t.raw("supplier").withColumns(
+        {"nation": F.col("s_nationkey"), "block": F.floor(F.col("s_suppkey") / 20)}
+    )
+    told = s.groupBy("nation", "block").agg(
         F.array_join(
             F.array_sort(
                 F.collect_list(F.concat("s_name", F.lit(" | n"), "nation", F.lit(".example")))
@@ -837,8 +839,8 @@ def _seed_lines(t: Tables):
       s_name AS canonical_name FROM supplier
     UNION ALL SELECT 'Supp ' || s_suppkey, 'company', NULL, s_name FROM supplier
     UNION ALL SELECT 'S' || s_suppkey, 'company', NULL, s_name FROM supplier
-    UNION ALL SELECT DISTINCT 'Nation ' || s_nationkey, 'project', NULL, 'Nation ' || s_nationkey
-      FROM supplier""",
+    UNION ALL SELECT 'Nation ' || s_nationkey, 'project', NULL, 'Nation ' || s_nationkey
+      FROM (SELECT DISTINCT s_nationkey, s_suppkey // 20 FROM supplier)""",
 )
 def _seed_entities(t: Tables):
     made = files.seed_entities(files.seed_lines(_seed_lines(t)))

@@ -6,7 +6,7 @@ import importlib
 
 from factloom.plans.catalog import CATALOG, Query
 
-MODULES = ("queries_facts", "queries_records")
+MODULES = ("queries_facts", "queries_records", "queries_build", "queries_scores")
 
 
 def catalogue() -> dict[str, Query]:
