@@ -513,14 +513,17 @@ def graph_stats(facts: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def facts_by_label(seen: DataFrame) -> DataFrame:
-    """Facts of entities clustered by label: rows in cluster order, each with its place and size.
+    """Facts of entities with the size of their (entity, label) cluster.
 
-    The cluster is a column and not a nested list, so a very large cluster stays many rows.
+    The cluster is a column and not a nested list, so a very large cluster stays many rows; its size
+    is an aggregate joined back, so no task has to hold a cluster.
     """
     sizes = seen.groupBy("entity_id", "edge_label").agg(F.count(F.lit(1)).alias("cluster_size"))
-    return seen.join(sizes, ["entity_id", "edge_label"]).orderBy(
-        "entity_id", "edge_label", *newest_first("source_at", "edge_id")
-    )
+    return seen.join(sizes, ["entity_id", "edge_label"])
+
+
+def in_cluster_order(clustered: DataFrame) -> DataFrame:
+    return clustered.orderBy("entity_id", "edge_label", *newest_first("source_at", "edge_id"))
 
 
 def chronological(seen: DataFrame) -> DataFrame:

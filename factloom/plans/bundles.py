@@ -70,7 +70,10 @@ def entity_context(
         raise ValueError(f"format must be one of {FORMATS}")
     entity = resolve_one(entities, name)
     seen = fq.facts_for_entity(facts, entities, entity.entity_id, include_stale=include_stale)
-    told = fq.chronological(seen) if format == "chronological" else fq.facts_by_label(seen)
+    if format == "chronological":
+        told = fq.chronological(seen)
+    else:
+        told = fq.in_cluster_order(fq.facts_by_label(seen))
     return EntityContext(
         entity=entity,
         facts=told,

@@ -6,7 +6,7 @@ import importlib
 
 from factloom.plans.catalog import CATALOG, Query
 
-MODULES = ("queries_facts", "queries_records", "queries_build", "queries_scores")
+MODULES = ("queries_facts", "queries_records", "queries_build", "queries_scores", "queries_streams")
 
 
 def catalogue() -> dict[str, Query]:
