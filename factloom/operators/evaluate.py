@@ -17,10 +17,6 @@ def _low(column: str) -> Column:
     return F.lower(text_or_empty(column))
 
 
-def _total(df: DataFrame, name: str) -> Column:
-    return df.agg(F.count(F.lit(1)).alias(name)).scalar()
-
-
 # -- keyed facts ------------------------------------------------------------------------------
 
 
@@ -29,19 +25,24 @@ def fact_matches(
 ) -> DataFrame:
     """Distinct keys of both sides with their outcome: matched, missing or extra."""
 
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        keys = [_low(c).alias(c) for c in match_on]
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    return _counted(expected, extracted, {c: _low(c) for c in match_on}).withColumn(
+        "outcome",
+        F.when(F.col("n_extracted") == 0, "missing")
+        .when(F.col("n_expected") == 0, "extra")
+        .otherwise("matched"),
+    )
 
-    joined = counted(expected, "n_expected").join(
-        counted(extracted, "n_extracted"), list(match_on), "full_outer"
+
+def _counted(expected: DataFrame, extracted: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Rows per key on either side: both sides go into one aggregate, so nothing is joined."""
+    named = [column.alias(name) for name, column in keys.items()]
+    tagged = expected.select(*named, F.lit(1).alias("_side")).unionByName(
+        extracted.select(*named, F.lit(2).alias("_side"))
     )
-    outcome = (
-        F.when(F.col("n_extracted").isNull(), "missing")
-        .when(F.col("n_expected").isNull(), "extra")
-        .otherwise("matched")
+    return tagged.groupBy(*keys).agg(
+        F.count_if(F.col("_side") == 1).alias("n_expected"),
+        F.count_if(F.col("_side") == 2).alias("n_extracted"),
     )
-    return joined.withColumn("outcome", outcome).fillna(0, ["n_expected", "n_extracted"])
 
 
 def fact_scores(
@@ -70,29 +71,30 @@ def with_scores(
 
 def matched_keys(expected: DataFrame, extracted: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct keys on both sides."""
-    return _keys(expected, columns).intersect(_keys(extracted, columns))
+    return _keys_of(expected, extracted, columns, "matched")
 
 
 def missing_keys(expected: DataFrame, extracted: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct keys on the first side only; swap the sides for extra keys."""
-    return _keys(expected, columns).subtract(_keys(extracted, columns))
+    return _keys_of(expected, extracted, columns, "missing")
 
 
-def _keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*[_low(c).alias(c) for c in columns])
+def _keys_of(expected: DataFrame, extracted: DataFrame, columns: Sequence[str], outcome: str):
+    found = fact_matches(expected, extracted, columns)
+    return found.filter(F.col("outcome") == outcome).select(*columns)
 
 
 # -- matching per record ----------------------------------------------------------------------
 
 
-def _fact_counts(df: DataFrame, name: str) -> DataFrame:
-    return df.groupBy(
-        "record_id",
-        F.upper(text_or_empty("edge_label")).alias("edge_label"),
-        _low("fact_type").alias("fact_type"),
-        _low("from_entity").alias("from_entity"),
-        _low("to_entity").alias("to_entity"),
-    ).agg(F.count(F.lit(1)).alias(name))
+def _record_fact_keys() -> dict[str, Column]:
+    return {
+        "record_id": F.col("record_id"),
+        "edge_label": F.upper(text_or_empty("edge_label")),
+        "fact_type": _low("fact_type"),
+        "from_entity": _low("from_entity"),
+        "to_entity": _low("to_entity"),
+    }
 
 
 def match_facts(extracted: DataFrame, expected: DataFrame, by_label: bool = False) -> DataFrame:
@@ -100,16 +102,12 @@ def match_facts(extracted: DataFrame, expected: DataFrame, by_label: bool = Fals
 
     Pairing equal keys one to one matches the smaller of the two counts of each key.
     """
-    keys = ["record_id", "edge_label", "fact_type", "from_entity", "to_entity"]
-    joined = _fact_counts(extracted, "n_got").join(
-        _fact_counts(expected, "n_want"), keys, "full_outer"
-    )
-    joined = joined.fillna(0, ["n_got", "n_want"])
+    counts = _counted(expected, extracted, _record_fact_keys())
     group = ["record_id", "edge_label"] if by_label else ["record_id"]
-    return joined.groupBy(*group).agg(
-        F.sum(F.least("n_got", "n_want")).alias("fact_matched"),
-        F.sum("n_got").alias("fact_extracted"),
-        F.sum("n_want").alias("fact_expected"),
+    return counts.groupBy(*group).agg(
+        F.sum(F.least("n_extracted", "n_expected")).alias("fact_matched"),
+        F.sum("n_extracted").alias("fact_extracted"),
+        F.sum("n_expected").alias("fact_expected"),
     )
 
 
@@ -168,18 +166,14 @@ def confidence_mismatches(extracted: DataFrame, expected: DataFrame) -> DataFram
     Counted per confidence value, so many equal facts do not multiply into pairs.
     """
 
+    keys = _record_fact_keys()
+
     def counted(df: DataFrame, side: str) -> DataFrame:
-        return df.groupBy(
-            "record_id",
-            F.upper(text_or_empty("edge_label")).alias("edge_label"),
-            _low("fact_type").alias("fact_type"),
-            _low("from_entity").alias("from_entity"),
-            _low("to_entity").alias("to_entity"),
-            text_or_empty("confidence").alias(f"{side}_confidence"),
-        ).agg(F.count(F.lit(1)).alias(f"n_{side}"))
-
-    keys = ["record_id", "edge_label", "fact_type", "from_entity", "to_entity"]
-    joined = counted(extracted, "extracted").join(counted(expected, "expected"), keys)
+        confidence = text_or_empty("confidence").alias(f"{side}_confidence")
+        named = [column.alias(name) for name, column in keys.items()]
+        return df.groupBy(*named, confidence).agg(F.count(F.lit(1)).alias(f"n_{side}"))
+
+    joined = counted(extracted, "extracted").join(counted(expected, "expected"), list(keys))
     differ = F.col("extracted_confidence") != F.col("expected_confidence")
     return joined.filter(differ).select(
         *keys,
@@ -322,15 +316,12 @@ def er_scores(
         F.count(F.lit(1)).alias("false_merge_total"),
         F.count_if(F.col("n") > 1).alias("false_merge_count"),
     )
-    parts = [wanted, actual, merges, false_merges]
-    if not by:
-        parts = [p.withColumn("_one", F.lit(1)) for p in parts]
-    on = by or ["_one"]
-    joined = parts[0]
-    for part in parts[1:]:
-        joined = joined.join(part, on, "left")
-    counts = [c for c in joined.columns if c not in on]
-    filled = joined.fillna(0, counts)
+    # The parts are put under each other and summed per slice: no join, also when `by` is empty.
+    rows = wanted
+    for part in (actual, merges, false_merges):
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    counts = [c for c in rows.columns if c not in by]
+    filled = rows.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])
     gap = F.abs(F.col("node_count_expected") - F.col("node_count_actual"))
     return filled.select(
         *by,

@@ -16,6 +16,7 @@ from factloom.functions.columns import (
 )
 from factloom.operators.grouped import top_per_key
 from factloom.schema import ALIAS_LABEL, ENTITY_TYPES, EXPIRING_TYPES, FACT_TYPES, OP_AREAS
+from factloom.session import small_table
 
 ANY_DAY = "(Day)"
 
@@ -192,19 +193,21 @@ def query_facts(
 
 def facts_both_ways(facts: DataFrame) -> DataFrame:
     """Each fact seen from both of its ends; a fact from an entity to itself is seen once."""
-    out = facts.select(
+    out = F.struct(
         F.col("from_id").alias("entity_id"),
         F.col("to_id").alias("other_id"),
         F.col("to_day").alias("other_day"),
-        *[c for c in facts.columns if c not in ("from_id", "to_id", "to_day")],
     )
-    back = facts.filter(F.col("to_id").isNotNull() & (F.col("to_id") != F.col("from_id"))).select(
+    back = F.struct(
         F.col("to_id").alias("entity_id"),
         F.col("from_id").alias("other_id"),
         F.lit(None).cast("date").alias("other_day"),
-        *[c for c in facts.columns if c not in ("from_id", "to_id", "to_day")],
     )
-    return out.unionByName(back)
+    has_back = F.col("to_id").isNotNull() & (F.col("to_id") != F.col("from_id"))
+    ends = F.when(has_back, F.array(out, back)).otherwise(F.array(out))
+    others = [c for c in facts.columns if c not in ("from_id", "to_id", "to_day")]
+    # One scan whose rows are doubled, not a union of two scans.
+    return facts.select(F.explode(ends).alias("_end"), *others).select("_end.*", *others)
 
 
 def _name_other(rows: DataFrame, entities: DataFrame) -> DataFrame:
@@ -250,7 +253,7 @@ def facts_for_entities(
 ) -> DataFrame:
     """`facts_for_entity` for a whole table of entity ids."""
     kept = facts_both_ways(filter_facts(facts, include_stale=include_stale))
-    wanted = kept.join(chosen.select("entity_id").distinct(), "entity_id", "left_semi")
+    wanted = kept.join(chosen.select("entity_id").distinct(), "entity_id")
     return _name_other(wanted, entities)
 
 
@@ -447,7 +450,7 @@ def schema_vocabulary(vocab: DataFrame, records: DataFrame, entity_types=ENTITY_
     fixed = [("entity_type", None, t) for t in entity_types]
     fixed += [("op_area", None, a) for a in OP_AREAS]
     fixed += [("edge_label", None, label) for label in FACT_TYPES]
-    named = spark.createDataFrame(fixed, "kind string, label string, name string")
+    named = small_table(spark, fixed, "kind string, label string, name string")
     types = vocab.select(
         F.lit("fact_type").alias("kind"), F.col("edge_label").alias("label"), "fact_type"
     ).toDF("kind", "label", "name")
@@ -537,7 +540,7 @@ def top_facts_per_entity(
     """The newest `k` current facts at each entity."""
     seen = facts_both_ways(filter_facts(facts))
     if chosen is not None:
-        seen = seen.join(chosen.select("entity_id").distinct(), "entity_id", "left_semi")
+        seen = seen.join(chosen.select("entity_id").distinct(), "entity_id")
     return top_per_key(seen, ["entity_id"], newest_first("source_at", "edge_id"), k)
 
 
@@ -548,7 +551,7 @@ def connection_names(
     pairs = facts_both_ways(facts.filter(is_current() & F.col("to_id").isNotNull()))
     pairs = pairs.filter(F.col("other_id") != F.col("entity_id")).select("entity_id", "other_id")
     if chosen is not None:
-        pairs = pairs.join(chosen.select("entity_id").distinct(), "entity_id", "left_semi")
+        pairs = pairs.join(chosen.select("entity_id").distinct(), "entity_id")
     names = entities.filter(blank_to_null("name").isNotNull()).select(
         F.col("entity_id").alias("other_id"),
         F.col("name").alias("connection"),

@@ -201,12 +201,14 @@ def typed_by_key(records: DataFrame, typed: DataFrame, column: str, value: str)
 
 
 def list_typed(records: DataFrame, typed: DataFrame, limit: int = 20) -> DataFrame:
-    """Newest typed rows. Only the record columns are sorted; wide typed rows join afterwards."""
-    return (
-        with_typed(records, typed)
+    """Newest typed rows. Only narrow record columns are ordered; wide typed rows join the result."""
+    few = (
+        records.select("record_id", "source", "created_at")
+        .join(typed.select("record_id"), "record_id", "left_semi")
         .orderBy(*newest_first("created_at", "record_id"))
         .limit(limit)
     )
+    return few.join(typed, "record_id")
 
 
 def list_records(records: DataFrame, limit: int = 20) -> DataFrame:

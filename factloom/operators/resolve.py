@@ -141,8 +141,10 @@ def resolve_entities(mentions: DataFrame, entities: DataFrame, aliases: DataFram
 def _fuzzy(open_: DataFrame, entities: DataFrame) -> DataFrame:
     """The three closest entities whose name, email or domain contains the open name."""
     needles = open_.filter(F.col("key") != "").select("entity_type", "key").distinct()
-    kinds = needles.select("entity_type").distinct()
-    pool = entities.filter(F.col("name").isNotNull()).join(kinds, "entity_type", "left_semi")
+    kinds = needles.agg(F.collect_set("entity_type").alias("kinds")).scalar()
+    pool = entities.filter(
+        F.col("name").isNotNull() & F.array_contains(kinds, F.col("entity_type"))
+    )
     texts = pool.select(
         "entity_type",
         "entity_id",

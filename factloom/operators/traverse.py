@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.columns import is_current, target_node
-from factloom.session import durable
+from factloom.session import durable, small_table
 
 BROADCAST_ROWS = 200_000
 
@@ -86,7 +86,7 @@ def connections(
     spark = facts.sparkSession
     edges = _edges(facts, include_stale, labels, need_fact=False)
     links = _links(edges).select("node", "other")
-    origin = spark.createDataFrame([(start, 0)], "node string, depth int")
+    origin = small_table(spark, [(start, 0)], "node string, depth int")
     reached, frontier = origin, None
     for hop in range(1, depth + 1):
         if frontier is None:
@@ -134,7 +134,7 @@ def shortest_path(
     spark = facts.sparkSession
     edges = _edges(facts, include_stale=False, labels=None, need_fact=True)
     links = _links(edges, "edge_id")
-    reached = spark.createDataFrame([(a, [])], "node string, path array<string>")
+    reached = small_table(spark, [(a,)], "node string")
     frontier, target = reached, None
     for hop in range(1, max_depth + 1):
         if hop == 1:
@@ -144,21 +144,21 @@ def shortest_path(
                 "path", F.array_append("path", F.col("edge_id"))
             )
         best = step.groupBy(F.col("other").alias("node")).agg(F.min("path").alias("path"))
-        fresh = best.join(reached.select("node"), "node", "left_anti")
+        fresh = best.join(reached, "node", "left_anti")
         frontier = durable(fresh)
         hit = frontier.filter(F.col("node") == b).select("path").first()
         if hit is not None:
             target = list(hit.path)
             break
-        reached = reached.unionByName(frontier)
+        reached = reached.unionByName(frontier.select("node"))
     return _hops(edges, entities, a, target or [])
 
 
 def _hops(edges: DataFrame, entities: DataFrame, start: str, path: list[str]) -> DataFrame:
     """The edges of one path in walking order, with names and directions."""
     spark = edges.sparkSession
-    places = spark.createDataFrame(list(enumerate(path)), "hop int, edge_id string")
-    on_path = edges.filter(F.col("edge_id").isin(path)).join(F.broadcast(places), "edge_id")
+    places = small_table(spark, list(enumerate(path)), "hop int, edge_id string")
+    on_path = edges.filter(F.col("edge_id").isin(path)).join(places, "edge_id")
     by_hop = {
         r.hop: (r.from_id, r.to_node)
         for r in on_path.select("hop", "from_id", "to_node").collect()
@@ -170,8 +170,8 @@ def _hops(edges: DataFrame, entities: DataFrame, start: str, path: list[str]) ->
         there = target if outgoing else source
         walk.append((hop, here, there, "outgoing" if outgoing else "incoming"))
         here = there
-    steps = spark.createDataFrame(
-        walk, "hop int, node string, next_node string, direction string"
+    steps = small_table(
+        spark, walk, "hop int, node string, next_node string, direction string"
     )
     detailed = steps.join(
         on_path.select("hop", "edge_id", "edge_label", "fact_type", "fact"), "hop"

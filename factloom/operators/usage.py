@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.columns import fresh_input, provider_of, stop_reason
 from factloom.operators.grouped import running_total
+from factloom.session import small_table
 
 TOKENS = ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens")
 
@@ -28,7 +29,8 @@ PRICES = {
 
 
 def price_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
+    return small_table(
+        spark,
         [(model, *rates) for model, rates in PRICES.items()],
         "model string, input double, output double, cache_write double, cache_read double",
     )

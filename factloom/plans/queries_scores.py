@@ -504,7 +504,7 @@ def _er_diagnostics(t: Tables):
 )
 def _er_scores(t: Tables):
     rates = ("node_count_accuracy", "merge_recall", "entity_merge_rate", "false_merge_rate")
-    scored = evaluate.er_scores(_expected_forms(t), _forms(t)).drop("_one")
+    scored = evaluate.er_scores(_expected_forms(t), _forms(t))
     return scored.withColumns({c: F.round(c, 6) for c in rates})
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.columns import is_current
-from factloom.operators import build
+from factloom.operators import build, usage
 from factloom.operators.records import save_records
 from factloom.plans.batch import rebuild_graph
 from factloom.plans.catalog import query
@@ -200,10 +200,55 @@ def _rebuild(t: Tables):
     return facts.groupBy("edge_label", "fact_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "write_usage_report",
+    "SNK2 AG2 AG3",
+    """SELECT 'model' AS part, model AS key, count(*) AS n FROM priced GROUP BY model
+    UNION ALL SELECT 'record', coalesce(record_id, session_id), count(*) FROM priced GROUP BY 2
+    UNION ALL SELECT 'calls', run_id, count(*) FROM priced GROUP BY run_id""",
+)
+def _usage_report(t: Tables):
+    path = scratch(t.spark, "usage-report")
+    calls = usage.priced(t.model_calls(), t.prices())
+    summary = usage.usage_summary(calls).filter("level = 'model'")
+    files.write_usage_report(summary, usage.usage_by_record(calls), calls, path)
+
+    def part(name, folder, schema, key, n):
+        df = t.spark.read.schema(schema).json(f"{path}/{folder}")
+        return df.select(F.lit(name).alias("part"), F.col(key).alias("key"), F.expr(n).alias("n"))
+
+    per_call = part("calls", "calls", "run_id string", "run_id", "1")
+    return (
+        part("model", "summary", "model string, calls long", "model", "calls")
+        .unionByName(part("record", "per_record", "key string, turns long", "key", "turns"))
+        .unionByName(per_call.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")))
+    )
+
+
+@query(
+    "write_eval_results",
+    "SNK1",
+    """SELECT 'v1' AS engine_version, o_orderpriority AS dataset_version,
+      count(*) AS matched FROM orders WHERE o_orderstatus = 'F' GROUP BY 2""",
+)
+def _eval_results(t: Tables):
+    path = scratch(t.spark, "eval")
+    done = t.raw("orders").filter("o_orderstatus = 'F'")
+    for r in t.raw("orders").select("o_orderpriority").distinct().collect():
+        scores = done.filter(F.col("o_orderpriority") == r[0]).agg(
+            F.count(F.lit(1)).alias("matched")
+        )
+        files.write_eval_results(scores, path, "v1", r[0])
+    schema = "matched long, engine_version string, dataset_version string"
+    return t.spark.read.schema(schema).json(path).select(
+        "engine_version", "dataset_version", "matched"
+    )
+
+
 @query(
     "alias_sources",
     "AG7",
-    """SELECT resolved_to AS entity_id, name AS surface_form, record_id FROM ex_entities
+    """SELECT DISTINCT resolved_to AS entity_id, name AS surface_form, record_id FROM ex_entities
     WHERE resolved_to <> 'new' AND lower(name) <> lower(canonical_name)""",
 )
 def _alias_sources(t: Tables):

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.session import small_table
+
 # --- fixed values: they must equal what users of the data model already store -----------------
 
 ENTITY_TYPES = ("person", "company", "project", "event")
@@ -117,7 +119,7 @@ def vocabulary(spark: SparkSession, additions: DataFrame | None = None) -> DataF
     there is kept once.
     """
     rows = [(label, name) for label, names in FACT_TYPES.items() for name in names]
-    base = spark.createDataFrame(rows, "edge_label string, fact_type string")
+    base = small_table(spark, rows, "edge_label string, fact_type string")
     if additions is None:
         return base
     allowed = additions.select("edge_label", "fact_type").filter(

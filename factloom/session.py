@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that a cluster job of this package is meant to run with.  Shuffle width is left to the
@@ -60,6 +61,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few given rows as a local relation, whose size the planner knows (and may broadcast).
+
+    Rows turned into an RDD have no known size, and a join with them would shuffle the other side.
+    """
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = [part.split()[1] for part in schema.split(", ")]
+    arrow = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    columns = [
+        pa.array([row[i] for row in rows], arrow[kind]) for i, kind in enumerate(kinds)
+    ]
+    return spark.createDataFrame(pa.table(columns, names=names))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write `df` to reliable storage once and read it from there: survives executor loss."""
     spark = df.sparkSession

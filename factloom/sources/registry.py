@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators.grouped import top_per_key
 from factloom.schema import ENTITY_TYPES
+from factloom.session import small_table
 
 KEY = ["name", "version"]
 
@@ -106,7 +107,8 @@ def vocab_collisions(
     `records_claimed` has (kind, source, claimed_name) of the installed sources.
     """
     spark = proposed.sparkSession
-    base = spark.createDataFrame(
+    base = small_table(
+        spark,
         [("entity_type", None, t) for t in ENTITY_TYPES],
         "kind string, source string, claimed_name string",
     )

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.session import small_table
+
 
 # Declared, so that opening a table needs no job to look into its files.
 TABLE_SCHEMAS = {
@@ -561,8 +563,10 @@ class Tables:
             ("m-mid", 1.0, 5.0, 1.25, 0.1),
             ("m-large", 3.0, 15.0, 3.75, 0.3),
         ]
-        return self.spark.createDataFrame(
-            rows, "model string, input double, output double, cache_write double, cache_read double"
+        return small_table(
+            self.spark,
+            rows,
+            "model string, input double, output double, cache_write double, cache_read double",
         )
 
     # -- extractions ---------------------------------------------------------------------------
