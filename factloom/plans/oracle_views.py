@@ -164,11 +164,11 @@ VIEWS = {
   FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey""",
     "ex_entities": """
   SELECT record_id, s_name AS name, 'company' AS type, 'n' || s_nationkey || '.example' AS domain,
-         'new' AS resolved_to, s_name AS canonical_name FROM ex_base
+         'new' AS resolved_to, s_name AS canonical_name, even FROM ex_base
   UNION ALL
   SELECT record_id, pname2, 'project', NULL,
          CASE WHEN mark = 7 THEN 'project:-1' WHEN even THEN 'project:' || l_partkey ELSE 'new' END,
-         p_name FROM ex_base""",
+         p_name, even FROM ex_base""",
     "ex_facts": """
   SELECT record_id, content, even, mark, 0 AS pos,
          CASE WHEN mark = 11 THEN 'CLAIMED' ELSE 'AFFILIATED' END AS edge_label,

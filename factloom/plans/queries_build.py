@@ -36,7 +36,7 @@ MENTION_TIME = (
     "GB1 AG8",
     f"""SELECT type AS entity_type, name, domain, strftime(min(ts), {SEC}) AS created_at,
       count(*) AS n FROM (SELECT e.*, {MENTION_TIME} AS ts FROM ex_entities e
-        JOIN ex_base b USING (record_id) WHERE e.resolved_to = 'new')
+        WHERE e.resolved_to = 'new')
     GROUP BY type, name, domain""",
 )
 def _commit_entities(t: Tables):
@@ -67,7 +67,7 @@ def _entity_properties(t: Tables):
     f"""SELECT resolved_to AS entity_id, name AS surface_form, 'inferred' AS confidence,
       'Extractor agent resolved ''' || name || ''' to ''' || min(canonical_name) || ''''
         AS reasoning, strftime(max(ts), {SEC}) AS resolved_at, count(DISTINCT record_id) AS n_sources
-    FROM (SELECT e.*, {MENTION_TIME} AS ts FROM ex_entities e JOIN ex_base b USING (record_id)
+    FROM (SELECT e.*, {MENTION_TIME} AS ts FROM ex_entities e
       WHERE e.resolved_to <> 'new' AND lower(e.name) <> lower(e.canonical_name))
     GROUP BY resolved_to, name""",
 )

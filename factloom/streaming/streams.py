@@ -24,15 +24,19 @@ def stream_files(
     format: str = "json",
     glob: str | None = None,
     files_per_batch: int | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """New files of a folder as a stream; the checkpoint is the cursor."""
+    """New files of a folder as a stream; the checkpoint is the cursor.
+
+    JSON files hold one object or one list each, or one object per line if `multi_line` is off.
+    """
     reader = spark.readStream.format(format).schema(schema)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if format == "json":
-        reader = reader.option("multiLine", True)
+        reader = reader.option("multiLine", multi_line)
     return reader.load(path)
 
 
