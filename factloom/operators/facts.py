@@ -207,7 +207,7 @@ def facts_both_ways(facts: DataFrame) -> DataFrame:
     ends = F.when(has_back, F.array(out, back)).otherwise(F.array(out))
     others = [c for c in facts.columns if c not in ("from_id", "to_id", "to_day")]
     # One scan whose rows are doubled, not a union of two scans.
-    return facts.select(F.explode(ends).alias("_end"), *others).select("_end.*", *others)
+    return facts.select(F.explode_outer(ends).alias("_end"), *others).select("_end.*", *others)
 
 
 def _name_other(rows: DataFrame, entities: DataFrame) -> DataFrame:

@@ -125,7 +125,8 @@ def containing(
     size = F.length(text)
     pieces = (
         texts.withColumn("_lengths", lengths.scalar())
-        .withColumn("_n", F.explode(F.filter("_lengths", lambda n: n <= size)))
+        .withColumn("_n", F.explode_outer(F.filter("_lengths", lambda n: n <= size)))
+        .filter(F.col("_n").isNotNull())
         .drop("_lengths")
         .withColumn("_starts", F.sequence(F.lit(1), size - F.col("_n") + 1))
         .withColumn(
@@ -134,7 +135,7 @@ def containing(
                 F.transform("_starts", lambda i: F.substring(F.col(text), i, F.col("_n")))
             ),
         )
-        .withColumn("_piece", F.explode("_pieces"))
+        .withColumn("_piece", F.explode_outer("_pieces"))
         .drop("_starts", "_pieces", "_n")
     )
     keyed = needles.withColumn("_piece", F.col(needle))

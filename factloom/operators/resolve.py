@@ -139,13 +139,17 @@ def resolve_entities(mentions: DataFrame, entities: DataFrame, aliases: DataFram
 
 
 def _fuzzy(open_: DataFrame, entities: DataFrame) -> DataFrame:
-    """The three closest entities whose name, email or domain contains the open name."""
+    """The three closest entities whose name, email or domain contains the open name.
+
+    Closeness depends on the names alone, so of the entities that share a text and a name three are
+    enough, and every distinct text is searched once.
+    """
     needles = open_.filter(F.col("key") != "").select("entity_type", "key").distinct()
     kinds = needles.agg(F.collect_set("entity_type").alias("kinds")).scalar()
     pool = entities.filter(
         F.col("name").isNotNull() & F.array_contains(kinds, F.col("entity_type"))
     )
-    texts = pool.select(
+    spelled = pool.select(
         "entity_type",
         "entity_id",
         F.lower("name").alias("_name"),
@@ -153,11 +157,14 @@ def _fuzzy(open_: DataFrame, entities: DataFrame) -> DataFrame:
             F.array_distinct(F.transform(F.array("name", "email", "domain"), lambda x: F.lower(x)))
         ).alias("_text"),
     ).filter(F.col("_text").isNotNull())
-    hits = containing(needles, "key", texts, "_text", on=["entity_type"]).select(
-        "entity_type", "key", "entity_id", "_name"
+    bearers = top_per_key(
+        spelled, ["entity_type", "_text", "_name"], [F.col("entity_id")], MAX_FUZZY
     )
+    texts = spelled.select("entity_type", "_text").distinct()
+    hits = containing(needles, "key", texts, "_text", on=["entity_type"])
+    named = hits.join(bearers, ["entity_type", "_text"]).drop("_text").distinct()
     order = [*closeness("_name", F.col("key")), F.col("entity_id")]
-    return top_per_key(hits.distinct(), ["entity_type", "key"], order, MAX_FUZZY).select(
+    return top_per_key(named, ["entity_type", "key"], order, MAX_FUZZY).select(
         "entity_type", "key", "entity_id"
     )
 

@@ -68,8 +68,8 @@ def fact_errors(extractions: DataFrame) -> DataFrame:
         error(F.col("label_ok") & low, "low_grounding", "fact"),
     )
     found = c.select(
-        "record_id", "position", F.explode(F.filter(errors, lambda e: e["is"])).alias("e")
-    )
+        "record_id", "position", F.explode_outer(F.filter(errors, lambda e: e["is"])).alias("e")
+    ).filter(F.col("e").isNotNull())
     return found.select("record_id", "position", "e.error", "e.detail")
 
 

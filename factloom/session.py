@@ -75,6 +75,17 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.table(columns, names=names))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spreads an input that has fewer partitions than there are cores before heavy per-row work.
+
+    Only a small unsplittable input is moved; one with enough splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write `df` to reliable storage once and read it from there: survives executor loss."""
     spark = df.sparkSession

@@ -232,8 +232,8 @@ def history_changes(history: DataFrame, since: str | None = None) -> DataFrame:
         "issue_id",
         t("createdAt").alias("created_at"),
         t("actor.name").alias("actor"),
-        F.explode(F.filter(changes, lambda c: c["keep"])).alias("c"),
-    )
+        F.explode_outer(F.filter(changes, lambda c: c["keep"])).alias("c"),
+    ).filter(F.col("c").isNotNull())
     return exploded.select(
         "c.id", "issue_id", "created_at", "actor", "c.field", "c.from_value", "c.to_value"
     )

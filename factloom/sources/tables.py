@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.session import small_table
+from factloom.session import small_table, spread
 
 
 # Declared, so that opening a table needs no job to look into its files.
@@ -574,6 +574,7 @@ class Tables:
     def extractions(self) -> DataFrame:
         """Nested extractor output, one per order line, with planted mistakes by key."""
         li = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        li = spread(li, "l_orderkey")
         part = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
         supp = self.raw("supplier").select(
             F.col("s_suppkey").alias("l_suppkey"), "s_name", "s_nationkey"
