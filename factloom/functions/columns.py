@@ -100,16 +100,6 @@ def harmonic(precision: Column | str, recall: Column | str) -> Column:
     return F.when(p + r == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r))
 
 
-def dot(a: Column | str, b: Column | str) -> Column:
-    products = F.zip_with(as_col(a), as_col(b), lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
-
-
-def cosine(a: Column | str, b: Column | str) -> Column:
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms > 0, dot(a, b) / norms)
-
-
 def lookup(value: Column, table: dict, default: Column) -> Column:
     """A small fixed table as a CASE expression."""
     result = None

@@ -97,9 +97,12 @@ def stream_commit(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        made = commit(batch, recorded_at, mode=mode)
+        # Four tables come from one micro-batch; what is lost of the kept rows is read again.
+        kept = batch.persist()
+        made = commit(kept, recorded_at, mode=mode)
         for name in ("entities", "aliases", "facts", "fact_sources"):
             getattr(made, name).write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
+        kept.unpersist()
 
     return to_batches(extractions, write, checkpoint, once=once)
 

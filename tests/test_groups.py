@@ -70,6 +70,7 @@ def test_top_per_key_limits_before_the_shuffle(spark, skewed):
     assert top.filter("key = 'hot'").count() == 3
 
 
+VECTOR = {"vector_search", "search"}
 STREAMED = {"stream_commit", "stream_current_facts", "rebuild_graph", "write_eval_results"}
 
 
@@ -77,8 +78,9 @@ STREAMED = {"stream_commit", "stream_current_facts", "rebuild_graph", "write_eva
 def test_no_nested_loops_and_no_python_in_plans(spark, tables, name):
     df = catalogue()[name].run(spark, tables.folder)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "PythonUDF"):
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert bad not in plan
+    assert ("ArrowEvalPython" in plan) == (name in VECTOR)
 
 
 def test_filters_and_columns_reach_the_scan(spark, tables):
