@@ -245,6 +245,56 @@ def _eval_results(t: Tables):
     )
 
 
+@query(
+    "json_records",
+    "SRC1",
+    "SELECT doc_id, source, length(text) AS chars FROM documents",
+)
+def _json_records(t: Tables):
+    """Documents as JSON files that hold a list each, read back as records."""
+    path = scratch(t.spark, "json")
+    row = F.struct("doc_id", "source", "text")
+    lists = t.raw("documents").groupBy(F.floor(F.col("doc_id") / 200)).agg(
+        F.to_json(F.collect_list(row)).alias("value")
+    )
+    writer = lists.select("value").write.option("maxRecordsPerFile", 1)
+    writer.option("lineSep", " ").format("text").save(path)
+    back = files.read_json_records(
+        t.spark, path, "doc_id long, source string, text string", glob="part-*"
+    )
+    return back.select("doc_id", "source", F.length("text").alias("chars"))
+
+
+@query(
+    "er_truth",
+    "SRC15",
+    """SELECT CAST(NULL AS VARCHAR) AS slice, c_name AS canonical_name, unnest([c_name,
+      'Cust ' || c_custkey]) AS surface_form FROM customer
+    UNION ALL SELECT 'b' || (c_custkey // 100), c_name, c_name FROM customer""",
+)
+def _er_truth(t: Tables):
+    """Ground-truth documents of 100 expected entities each, read back as rows."""
+    path = scratch(t.spark, "truth")
+    forms = F.array("c_name", F.concat(F.lit("Cust "), "c_custkey"))
+    whole = F.struct(
+        F.col("c_name").alias("canonical_name"), forms.alias("surface_forms")
+    )
+    part = F.struct(
+        F.col("c_name").alias("canonical_name"), F.array("c_name").alias("surface_forms")
+    )
+    block = F.floor(F.col("c_custkey") / 100).alias("block")
+    docs = t.raw("customer").groupBy(block).agg(
+        F.collect_list(whole).alias("global"), F.collect_list(part).alias("entities")
+    )
+    slices = F.array(
+        F.struct(F.concat(F.lit("b"), "block").alias("record"), F.col("entities"))
+    )
+    text = F.to_json(F.struct("global", slices.alias("timeslices")))
+    writer = docs.select(text.alias("value")).write.option("maxRecordsPerFile", 1)
+    writer.format("text").save(path)
+    return files.read_er_truth(t.spark, path)
+
+
 @query(
     "alias_sources",
     "AG7",

@@ -29,13 +29,15 @@ SENTENCES = {
 # --- end of fixed values ----------------------------------------------------------------------
 
 
-def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+def read_json_records(
+    spark: SparkSession, path: str, schema: T.StructType | str, glob: str = "*.json"
+) -> DataFrame:
     """JSON files under a path; a file holds a list of objects or one object."""
     return (
         spark.read.schema(schema)
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
+        .option("pathGlobFilter", glob)
         .json(path)
     )
 
