@@ -123,8 +123,12 @@ def containing(
         .agg(F.array_sort(F.collect_set("n")).alias("_lengths"))
     )
     size = F.length(text)
+    # A short text becomes a hundred pieces, so small partitions of texts must not be put together:
+    # a fixed number of partitions is not coalesced.
+    width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = (
-        texts.withColumn("_lengths", lengths.scalar())
+        texts.repartition(width, text)
+        .withColumn("_lengths", lengths.scalar())
         .withColumn("_n", F.explode_outer(F.filter("_lengths", lambda n: n <= size)))
         .filter(F.col("_n").isNotNull())
         .drop("_lengths")
