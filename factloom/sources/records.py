@@ -1,7 +1,8 @@
 """Source payloads to records: one DataFrame mapping per record type.
 
 Every mapping gives `content` (the text an extractor reads), `metadata` (flat text values; lists as
-JSON text), `dedup_key` and `classification` (only set where the mapping itself can decide).
+JSON text), `dedup_key` and `classification` (only set where the mapping itself can decide). The
+labels and the line order of `content` are fixed values: stored records already have this form.
 """
 
 from __future__ import annotations
