@@ -228,19 +228,11 @@ def read_fact_truth(spark: SparkSession, path: str) -> tuple[DataFrame, list[str
 # -- sinks ------------------------------------------------------------------------------------
 
 
-def write_eval_results(
-    scores: DataFrame, path: str, engine_version: str, dataset_version: str
-) -> None:
-    """Scores as JSON under (engine_version, dataset_version); a repeated run replaces its own."""
-    out = scores.withColumns(
-        {
-            "engine_version": F.lit(engine_version),
-            "dataset_version": F.lit(dataset_version),
-            "run_at": F.current_timestamp(),
-        }
-    )
+def write_eval_results(scores: DataFrame, path: str) -> None:
+    """Scores as JSON under their engine_version and dataset_version; a repeated run replaces its own."""
     (
-        out.write.mode("overwrite")
+        scores.withColumn("run_at", F.current_timestamp())
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("engine_version", "dataset_version")
         .json(path)

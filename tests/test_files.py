@@ -100,10 +100,11 @@ def test_evaluation_dataset(spark, tmp_path):
 
 def test_eval_results_replace_only_their_own_run(spark, tmp_path):
     out = str(tmp_path / "results")
-    scores = spark.createDataFrame([(0.5,)], "f1 double")
-    files.write_eval_results(scores, out, "v1", "d1")
-    files.write_eval_results(scores, out, "v2", "d1")
-    files.write_eval_results(spark.createDataFrame([(0.9,)], "f1 double"), out, "v1", "d1")
+    columns = "f1 double, engine_version string, dataset_version string"
+    files.write_eval_results(
+        spark.createDataFrame([(0.5, "v1", "d1"), (0.5, "v2", "d1")], columns), out
+    )
+    files.write_eval_results(spark.createDataFrame([(0.9, "v1", "d1")], columns), out)
     got = {(r.engine_version, r.f1) for r in spark.read.json(out).collect()}
     assert got == {("v1", 0.9), ("v2", 0.5)}
 
