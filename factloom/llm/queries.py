@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import lines
+from factloom.llm import language, lines, secrets
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -14,11 +14,21 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.language_query(_table(spark, folder, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_scan_query(_table(spark, folder, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_dedup_query(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op4_secret_scan": op4_secret_scan,
     "op10_line_dedup": op10_line_dedup,
 }
 

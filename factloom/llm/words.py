@@ -64,7 +64,9 @@ class Piece:
         return self.data[self.offsets[row] : self.offsets[row + 1]].tobytes().decode("utf-8", "replace")
 
 
-def pieces(column: pa.Array | pa.ChunkedArray, limit: int = PIECE_BYTES) -> Iterator[Piece]:
+def pieces(
+    column: pa.Array | pa.ChunkedArray, limit: int = PIECE_BYTES, max_rows: int = 1 << 20
+) -> Iterator[Piece]:
     """The texts of an Arrow column, at most `limit` bytes at a time unless one text is longer."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -77,7 +79,7 @@ def pieces(column: pa.Array | pa.ChunkedArray, limit: int = PIECE_BYTES) -> Iter
     row = 0
     while row < len(column):
         end = int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1
-        end = min(max(end, row + 1), len(column))
+        end = min(max(end, row + 1), row + max_rows, len(column))
         yield Piece(row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row])
         row = end
 
