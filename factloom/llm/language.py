@@ -11,9 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.store import bounded_sample
 from factloom.llm.words import Piece, pieces
 
 BUCKETS = 1 << 12
@@ -139,9 +140,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
 
     Rows without letters teach nothing.  Returns None if nothing can be learned.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.select("doc_id", "lang").filter("lang is not null and doc_id is not null")
-    chosen = known.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= per_language)
+    chosen = bounded_sample(known, "lang", per_language)
     texts = docs.select("doc_id", "lang", "text").join(
         chosen.select("doc_id").distinct(), "doc_id", "left_semi"
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import language, lines, secrets
+from factloom.llm import attribution, decontam, language, lines, secrets, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -14,21 +14,43 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    """Where a vocabulary file of the public tokenizers is; executors have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.language_query(_table(spark, folder, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_scan_query(_table(spark, folder, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return attribution.token_count_query(_table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_query(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_dedup_query(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_decontamination": op3_decontamination,
     "op4_secret_scan": op4_secret_scan,
+    "op6_token_counts": op6_token_counts,
+    "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
 

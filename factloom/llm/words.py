@@ -18,6 +18,9 @@ PIECE_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Letters and digits, for rules that look past punctuation; all bytes beyond ASCII count as letters.
+WORD_BYTES = np.zeros(256, dtype=bool)
+WORD_BYTES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
