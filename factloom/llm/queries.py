@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import attribution, decontam, language, lines, secrets, toxicity
+from factloom.llm import attribution, decontam, language, lines, packing, secrets, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return attribution.token_count_query(_table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_query(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_secret_scan": op4_secret_scan,
     "op6_token_counts": op6_token_counts,
+    "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
