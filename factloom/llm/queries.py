@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import attribution, decontam, language, lines, packing, secrets, toxicity
+from factloom.llm import attribution, decontam, jaccard, language, lines, packing, secrets, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_scan_query(_table(spark, folder, "documents"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_sets(_table(spark, folder, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return attribution.token_count_query(_table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_decontamination": op3_decontamination,
     "op4_secret_scan": op4_secret_scan,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_token_counts": op6_token_counts,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
