@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import attribution, decontam, jaccard, language, lines, packing, secrets, toxicity
+from factloom.llm import attribution, decontam, jaccard, language, lines, packing, secrets, toxicity, vectors
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.language_query(_table(spark, folder, "documents"))
 
 
+def op2_near_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, folder, "embeddings"))
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -55,6 +59,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_near_embeddings": op2_near_embeddings,
     "op3_decontamination": op3_decontamination,
     "op4_secret_scan": op4_secret_scan,
     "op5_ngram_jaccard": op5_ngram_jaccard,
