@@ -12,7 +12,7 @@ import os
 
 import numpy as np
 
-from factloom.llm.words import Piece, words
+from factloom.llm.words import Piece, Words, distinct, words
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -31,6 +31,13 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        marked = [i for token, i in vocabulary.items() if token.endswith("</w>")]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool) if marked else None
+        if marked:
+            self.ends[marked] = True
+        # without offsets where the library can do that
+        self._batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self._forget()
 
     def _forget(self) -> None:
@@ -39,25 +46,46 @@ class ChunkEncoder:
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks in order, and how many each has.
+
+        Chunks of letters alone are encoded many at a time: each is one word to the tokenizer, whose last
+        token is marked as a word's end.  Where the marks do not add up, each is encoded by itself.
+        """
+        parts: list[np.ndarray | None] = [None] * len(chunks)
+        plain = [k for k, c in enumerate(chunks) if self.ends is not None and c.lower().isalpha()]
+        for a in range(0, len(plain), 1000):
+            run = plain[a : a + 1000]
+            text = " ".join(chunks[k] for k in run)
+            ids = np.array(self._batch([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(run) and stops[-1] == len(ids):
+                for k, part in zip(run, np.split(ids, stops[:-1]), strict=True):
+                    parts[k] = part
+        rest = [k for k, part in enumerate(parts) if part is None]
+        for k, e in zip(rest, self._batch([chunks[k] for k in rest], add_special_tokens=False), strict=True):
+            parts[k] = np.array(e.ids, dtype=np.uint32)
+        size = np.array([len(part) for part in parts], dtype=np.int64)
+        return np.concatenate([np.zeros(0, np.uint32), *parts]), size
+
     def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
-        size = np.array([len(i) for i in found], dtype=np.int64)
+        ids, size = self._encoded(chunks)
         start = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, *(np.array(i, dtype=np.uint32) for i in found)])
+        self.ids = np.concatenate([self.ids, ids])
         hashes = np.concatenate([self.hashes, hashes])
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         self.start = np.concatenate([self.start, start])[order]
         self.size = np.concatenate([self.size, size])[order]
 
-    def __call__(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a piece in order, and where each row's begin (one more entry than rows)."""
+    def __call__(self, piece: Piece) -> tuple[np.ndarray, np.ndarray, Words]:
+        """All ids of a piece in order, where each row's begin (one more entry than rows), and the chunks."""
         data = piece.data
         breaks = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1 if len(data) else np.zeros(0, np.int64)
         w = words(piece, extra_breaks=breaks)
         if len(self.hashes) > KEPT_CHUNKS:
             self._forget()
-        unique, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
+        unique, first, back = distinct(w.hash)
         place = np.searchsorted(self.hashes, unique)
         place[place == len(self.hashes)] = 0
         new = self.hashes[place] != unique if len(self.hashes) else np.ones(len(unique), bool)
@@ -74,7 +102,7 @@ class ChunkEncoder:
         ids = self.ids[np.repeat(start - total, size) + np.arange(n)]
         per_row = np.bincount(w.row, weights=size, minlength=piece.rows).astype(np.int64)
         bounds = np.concatenate([[0], np.cumsum(per_row)])
-        return self._whole(piece, ids, bounds)
+        return *self._whole(piece, ids, bounds), w
 
     def _whole(self, piece: Piece, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Encodes the rows that hold a special string as a whole."""

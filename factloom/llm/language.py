@@ -148,8 +148,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
     sparse = F.arrow_udf(_sparse, "struct<cell: array<int>, count: array<float>, letters: bigint>")
     rows = (
         texts.filter("lang is not null").select("doc_id", "lang", sparse("text").alias("v"))
-        .filter("v.letters > 0").orderBy("lang", "doc_id").collect()
+        .filter("v.letters > 0").collect()
     )
+    rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["v"]["letters"]))
     if not rows:
         return None
     counts = np.zeros((len(rows), BUCKETS), dtype=np.float32)

@@ -1,7 +1,7 @@
 """Packing by lexical retrieval: each window is filled with unused neighbours of its seed document.
 
 One scan encodes every text, cuts it into full windows and a rest, and keeps of each document only
-lengths, checksums and a bag of hashed words.  Documents are then sharded so that those with the same
+lengths, checksums and a bag of hashed words (the tokenizer's chunks).  Documents are then sharded so that those with the same
 leading words meet; a shard of a few thousand has a BM25 inverted index, from which each seed (the
 longest unused rest) draws its best unused neighbours that fit.  What gap remains is closed by the unused
 rests whose lengths fit best, the last of which may take the place of a neighbour.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.encode import encoder
 from factloom.llm.store import stored
-from factloom.llm.words import WORD_BYTES, pieces, words
+from factloom.llm.words import pieces
 
 WINDOW = 4096
 END = 2
@@ -53,8 +53,7 @@ def _encode(tokenizer: str):
         for batch in batches:
             keys = batch.column(0)
             for piece in pieces(batch.column(1)):
-                ids, bounds = encode(piece)
-                w = words(piece, WORD_BYTES[piece.data])
+                ids, bounds, w = encode(piece)
                 cut = np.searchsorted(w.row, np.arange(piece.rows + 1))
                 out: dict[str, list] = {name: [] for name in _ENCODED.names[1:]}
                 for r in range(piece.rows):

@@ -8,7 +8,7 @@ quotation marks, which speaks for quotation rather than abuse; a logistic regres
 
 from __future__ import annotations
 
-import math
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.language import held_out
-from factloom.llm.store import bounded_sample
-from factloom.llm.words import Words, mix, pieces, words
+from factloom.llm.store import bounded_sample, stored
+from factloom.llm.words import Words, distinct, mix, pieces, running, span_hashes, words
 
 TRAINING_ROWS = 8_000
 LEXICON_SIZE = 2_000
 WINDOW = 25
 FUZZY_FROM = 5
-TWO_EDITS_FROM = 9
+TWO_EDITS_FROM = 12
 _EVIDENCE = 12.0
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -120,19 +120,53 @@ class Automaton:
         return (min(hits)[2], min(hits)[0]) if hits else None
 
 
+def _hash_all(parts: set[bytes]) -> np.ndarray:
+    """Hashes of byte strings as `span_hashes` gives them."""
+    data = np.frombuffer(b"".join(sorted(parts)), dtype=np.uint8)
+    end = np.cumsum([len(p) for p in sorted(parts)])
+    return span_hashes(running(data), end - [len(p) for p in sorted(parts)], end)
+
+
 @dataclass
 class Matcher:
-    """Finds terms in hashed words; what a word matches is remembered by its hash."""
+    """Finds terms in hashed words of lower-cased texts; what a word matches is remembered by its hash."""
 
     terms: dict[str, float]
-    known: dict[int, tuple[float, int] | None] = field(default_factory=dict)
     hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     edits: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int8))
+    middles: set[bytes] = field(default_factory=set)
 
     def __post_init__(self):
         self.automaton = Automaton(self.terms)
-        self.longest = max((len(t.encode()) for t in self.terms), default=0) + 2
+        self.longest = max((len(t.encode()) for t in self.terms), default=0) + 8
+        heads: dict[int, set[bytes]] = {}
+        tails: dict[int, set[bytes]] = {}
+        for term in self.terms:
+            parts = Automaton.allowed(term) + 1
+            cuts = [len(term) * k // parts for k in range(parts + 1)]
+            cut = [term[a:b].encode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            heads.setdefault(len(cut[0]), set()).add(cut[0])
+            tails.setdefault(len(cut[-1]), set()).add(cut[-1])
+            for part in cut[1:-1]:
+                self.middles.add(part)
+        self.heads, self.tails = ({n: _hash_all(s) for n, s in x.items()} for x in (heads, tails))
+
+    def _possible(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Words that can be within reach of a term: of a term cut into one part more than its edits, one
+        part is untouched, the first at the word's head, the last at its tail, another inside."""
+        some, total = np.zeros(len(start), bool), running(data)
+        for sides, at_head in ((self.heads, True), (self.tails, False)):
+            for n, known in sides.items():
+                at = np.flatnonzero(~some & (end - start >= n))
+                a = start[at] if at_head else end[at] - n
+                some[at] = np.isin(span_hashes(total, a, a + n), known)
+        if self.middles:
+            inside = re.compile(b"|".join(re.escape(m) for m in sorted(self.middles)))
+            for i in np.flatnonzero(~some & (end - start >= TWO_EDITS_FROM - 2)):
+                word = data[start[i] : end[i]].tobytes()
+                some[i] = inside.search(word) is not None
+        return some
 
     def __call__(self, data: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Weight (0: no term) and edits of each word."""
@@ -140,22 +174,23 @@ class Matcher:
         if not self.terms or not len(w.hash):
             return weight, edits
         at = np.flatnonzero(w.end - w.start <= self.longest)
-        unique, first, back = np.unique(w.hash[at], return_index=True, return_inverse=True)
+        unique, first, back = distinct(w.hash[at])
         place = np.searchsorted(self.hashes, unique)
         place[place == len(self.hashes)] = 0
         new = np.ones(len(unique), bool) if not len(self.hashes) else self.hashes[place] != unique
         if new.any():
-            more_w, more_e = [], []
-            for i in at[first[new]]:
-                word = data[w.start[i] : w.end[i]].tobytes().decode("utf-8", "replace").lower()
-                hit = self.automaton.find(word)
-                more_w.append(self.terms[hit[0]] if hit else 0.0)
-                more_e.append(hit[1] if hit else 0)
+            fresh = at[first[new]]
+            more_w, more_e = np.zeros(len(fresh), np.float32), np.zeros(len(fresh), np.int8)
+            for k in np.flatnonzero(self._possible(data, w.start[fresh], w.end[fresh])):
+                i = fresh[k]
+                hit = self.automaton.find(data[w.start[i] : w.end[i]].tobytes().decode("utf-8", "replace"))
+                if hit:
+                    more_w[k], more_e[k] = self.terms[hit[0]], hit[1]
             hashes = np.concatenate([self.hashes, unique[new]])
             order = np.argsort(hashes)
             self.hashes = hashes[order]
-            self.weight = np.concatenate([self.weight, np.array(more_w, np.float32)])[order]
-            self.edits = np.concatenate([self.edits, np.array(more_e, np.int8)])[order]
+            self.weight = np.concatenate([self.weight, more_w])[order]
+            self.edits = np.concatenate([self.edits, more_e])[order]
             place = np.searchsorted(self.hashes, unique)
         weight[at] = self.weight[place][back]
         edits[at] = self.edits[place][back]
@@ -164,6 +199,18 @@ class Matcher:
         return weight, edits
 
 
+_MATCHERS: dict[int, Matcher] = {}
+
+
+def _matcher(terms: dict[str, float]) -> Matcher:
+    """The worker's matcher for a lexicon."""
+    key = hash(tuple(sorted(terms.items())))
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(terms)
+    return _MATCHERS[key]
+
+
 FEATURES = ("hits", "misspelled", "quoted", "weight", "dense", "share")
 
 
@@ -251,7 +298,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, size: int
     marked = labels.filter("doc_id is not null and toxic is not null")
     marked = marked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     chosen = bounded_sample(marked, "y", rows)
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    # at most 2 * rows ids, so they can be sent to the scan of the texts
+    texts = docs.select("doc_id", F.lower("text").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = stored(texts.dropDuplicates(["doc_id"]), "training-texts")
     sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
@@ -275,38 +324,31 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, size: int
 
     @F.arrow_udf("array<double>")
     def lines(text: pa.Array) -> pa.Array:
-        return pa.array(list(features(text, Matcher(terms))), pa.list_(pa.float64()))
+        return pa.array(list(features(text, _matcher(terms))), pa.list_(pa.float64()))
 
-    sample = texts.select("doc_id", "y", lines("text").alias("x")).orderBy("doc_id").collect()
+    # at most 2 * rows lines of six numbers
+    sample = sorted(texts.select("doc_id", "y", lines("text").alias("x")).collect(), key=lambda r: r["doc_id"])
     x = np.array([r["x"] for r in sample], dtype=np.float64)
     y = np.array([r["y"] for r in sample], dtype=np.float64)
     return Model(terms, *_fit_logistic(x, y))
 
 
-_MATCHERS: dict[int, Matcher] = {}
-
-
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """`docs` with `score` (0 to 1) of the whole text and `predicted` (1 from 0.5 on).
 
     A null or empty text has no hits and gets the score of such texts; with no model every score is 0.
     Columns of those two names are replaced, all others kept; repeated rows get equal results.
     """
-    key = hash(tuple(sorted(model.terms.items()))) if model else 0
-
     @F.arrow_udf("double")
     def scored(column: pa.Array) -> pa.Array:
         if model is None:
             return pa.array(np.zeros(len(column)))
-        if key not in _MATCHERS:
-            _MATCHERS.clear()
-            _MATCHERS[key] = Matcher(model.terms)
-        x = features(column, _MATCHERS[key])
+        x = features(column, _matcher(model.terms))
         z = model.coefficients[0] + ((x - model.mean) / model.scale) @ model.coefficients[1:]
         return pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     given = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
-    out = docs.select(*given, scored(F.col(f"`{text}`")).alias("score"))
+    out = docs.select(*given, scored(F.lower(F.col(f"`{text}`"))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -116,15 +117,27 @@ def runs(inside: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges, equal for equal bytes wherever they stand."""
-    n = len(data)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_VALUES[data] * powers(n), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(n + 1, inverse=True)[starts]
+def running(data: np.ndarray) -> np.ndarray:
+    """Running sums from which the hash of any byte range follows."""
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_VALUES[data] * powers(len(data)), out=total[1:])
+    return total
+
+
+def span_hashes(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges (from `running`), equal for equal bytes wherever they stand."""
+    h = (total[ends] - total[starts]) * powers(len(total), inverse=True)[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, where each stands first, and for every value the number of its distinct one."""
+    codes, unique = pd.factorize(values)
+    first = np.empty(len(unique), dtype=np.int64)
+    first[codes[::-1]] = np.arange(len(values) - 1, -1, -1)
+    return unique, first, codes
+
+
 def words(piece: Piece, inside: np.ndarray | None = None, extra_breaks: np.ndarray | None = None) -> Words:
     """The words of a piece, or the runs of `inside` where another rule says what a word is."""
     data = _LOWER[piece.data]
@@ -132,8 +145,8 @@ def words(piece: Piece, inside: np.ndarray | None = None, extra_breaks: np.ndarr
         inside = ~_SPACE[piece.data]
     breaks = piece.offsets if extra_breaks is None else np.concatenate([piece.offsets, extra_breaks])
     starts, ends = runs(inside, breaks)
-    row = np.searchsorted(piece.offsets, starts, side="right") - 1
-    return Words(row, starts, ends, span_hashes(data, starts, ends))
+    row = np.repeat(np.arange(piece.rows), np.diff(np.searchsorted(starts, piece.offsets)))
+    return Words(row, starts, ends, span_hashes(running(data), starts, ends))
 
 
 def shingles(w: Words, size: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
