@@ -59,8 +59,8 @@ def _sum(tokens: np.ndarray) -> int:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Which of at least four times as many bits (a power of two) the tokens hit."""
-    m = max(256, 1 << int(4 * len(tokens) - 1).bit_length())
+    """Which of at least as many bits (a power of two) the tokens hit."""
+    m = max(64, 1 << int(len(tokens) - 1).bit_length())
     hit = np.zeros(m, dtype=bool)
     hit[mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(m - 1)] = True
     return np.packbits(hit).tobytes()
@@ -289,12 +289,12 @@ def _overlaps(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(linked, pa.bool_())
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, heads: DataFrame, size: int) -> DataFrame:
-    """The pairs (`a`, `b`) whose whole sets are similar enough; of repeated ids the text in `heads` counts."""
+def _verified(pairs: DataFrame, texts: DataFrame, heads: DataFrame | None, size: int) -> DataFrame:
+    """The pairs (`a`, `b`) whose whole sets are similar enough; where ids repeat, `heads` tells which texts count."""
     ids = stored(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "pair-ids")
-    few = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-    sets = texts.join(few, "doc", "left_semi").mapInArrow(_whole_sets(size), "doc bigint, s1 bigint, s binary")
-    sets = sets.join(heads.select("doc", "s1"), ["doc", "s1"], "left_semi").dropDuplicates(["doc"])
+    sets = _picked(texts, ids, "left_semi").mapInArrow(_whole_sets(size), "doc bigint, s1 bigint, s binary")
+    if heads is not None:
+        sets = sets.join(heads.select("doc", "s1"), ["doc", "s1"], "left_semi").dropDuplicates(["doc"])
     sets = stored(sets.drop("s1"), "sets")
     linked = F.arrow_udf(_overlaps, "boolean")
     both = (
@@ -340,6 +340,16 @@ def _node_rows(rows: DataFrame, node_docs: int) -> DataFrame:
     return plain.select(*columns).union(first.select(*columns)).union(second.select(*columns))
 
 
+def _picked(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """`df` with (`left_semi`) or without (`left_anti`) the documents of `ids`, which are sent if few."""
+    few = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    return df.join(few, "doc", how)
+
+
+def _without(df: DataFrame, ids: DataFrame) -> DataFrame:
+    return _picked(df, ids, "left_anti")
+
+
 def similar_sets(docs: DataFrame, size: int = SIZE, node_docs: int = NODE_DOCS) -> DataFrame:
     """`doc_id`, `n_shingles` and `component_id` of every row of `docs` (a row per row).
 
@@ -353,21 +363,30 @@ def similar_sets(docs: DataFrame, size: int = SIZE, node_docs: int = NODE_DOCS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").filter("doc is not null")
     frequent, rank = _frequent(texts, size)
     scanned = stored(texts.mapInArrow(_scan(size, frequent, rank), _SCAN), "scanned")
-    one = scanned.groupBy("doc").agg(F.max(F.struct("n", "s1", "s2")).alias("m")).select("doc", "m.*")
-    one = stored(one, "one-text-each")
+    one = scanned.groupBy("doc").agg(F.max(F.struct("n", "s1", "s2")).alias("m"), F.count("*").alias("times"))
+    one = stored(one.select("doc", "m.*", "times"), "one-text-each")
     classes = stored(one.groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep")), "classes")
-    heads = classes.select(F.col("rep").alias("doc"), "s1", "s2", "n")
-    heads = scanned.join(heads, ["doc", "s1", "s2", "n"], "left_semi").dropDuplicates(["doc"])
-    heads = stored(heads.select("doc", "n", "s1", "prefix", "bits"), "heads")
+    member = stored(one.join(classes, ["s1", "s2", "n"]).select("doc", "n", "rep"), "members")
+    # the head of each class is searched, the other members are not
+    heads = _without(scanned, member.filter("doc <> rep").select("doc"))
+    repeated = not one.filter("times > 1").isEmpty()
+    if repeated:
+        heads = heads.join(one, ["doc", "n", "s1", "s2"], "left_semi").dropDuplicates(["doc"])
     rows = heads.select("doc", "n", F.explode("prefix").alias("token"))
-    roots = stored(rows.groupBy("token").agg(F.count("*").alias("all"), F.min("doc").alias("lead")).filter("all > 1").drop("all"), "roots")
+    # roots that lead to the same documents are one root that counts several times
+    held = rows.groupBy("token").agg(
+        F.count("*").alias("all"), F.min("doc").alias("lead"),
+        F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(5), "doc")).alias("x2"),
+    )
+    roots = held.filter("all > 1").groupBy("all", "lead", "x1", "x2")
+    roots = stored(roots.agg(F.min("token").alias("token"), F.count("*").alias("weight")).select("token", "lead", "weight"), "roots")
     rows = stored(rows.join(roots, "token"), "root-rows")
     # first links: every document with the leading document it shares most roots with
-    shared = rows.filter("doc <> lead").groupBy("doc", "lead").agg(F.count("*").alias("times"), F.max("n").alias("n"))
-    shared = shared.filter(F.col("times") * 25 >= F.col("n"))
+    shared = rows.filter("doc <> lead").groupBy("doc", "lead").agg(F.sum("weight").alias("times"), F.max("n").alias("n"))
+    shared = shared.filter(F.col("times") * 12 >= F.col("n"))
     best = shared.groupBy("doc").agg(F.max(F.struct("times", (-F.col("lead")).alias("lead"))).alias("m"))
     stars = stored(best.select(F.col("doc").alias("a"), (-F.col("m.lead")).alias("b")), "stars")
-    first = stored(_verified(stars, texts, heads, size), "links")
+    first = stored(_verified(stars, texts, heads if repeated else None, size), "links")
     early = stored(components(first), "components")
     # roots under which more than one component is left
     known = rows.drop("n").join(early.select(F.col("id").alias("doc"), "component"), "doc", "left")
@@ -378,10 +397,9 @@ def similar_sets(docs: DataFrame, size: int = SIZE, node_docs: int = NODE_DOCS)
     groups = _node_rows(stored(left, "tree-rows"), node_docs)
     groups = groups.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "side", "doc")
     pairs = stored(groups.mapInArrow(_candidates, "a bigint, b bigint").distinct(), "candidates")
-    links = first.union(_verified(pairs, texts, heads, size))
+    links = first.union(_verified(pairs, texts, heads if repeated else None, size))
     reached = stored(components(links), "components")
     # a class has the component of its head, or is one itself
-    member = one.join(classes, ["s1", "s2", "n"]).select("doc", "n", "rep")
     member = member.join(reached, member["rep"] == reached["id"], "left")
     member = member.select("doc", "n", F.coalesce("component", "rep").alias("component"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
