@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.store import components, stored
+from factloom.llm.store import components, picked, stored
 from factloom.llm.words import mix, pieces, shingles, words
 
 SIZE = 5
@@ -29,8 +29,6 @@ FREQUENT = 200_000
 # Documents of one root that a task compares; more are cut into nodes of about this size.
 NODE_DOCS = 2_048
 FANOUT = 8
-# A set of candidate ids of up to this many rows (8 bytes each) is broadcast to pick their texts.
-SENT_IDS = 1_000_000
 
 _SCAN = "doc bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>, bits binary"
 _SCANNED = pa.schema(
@@ -292,7 +290,7 @@ def _overlaps(a: pa.Array, b: pa.Array) -> pa.Array:
 def _verified(pairs: DataFrame, texts: DataFrame, heads: DataFrame | None, size: int) -> DataFrame:
     """The pairs (`a`, `b`) whose whole sets are similar enough; where ids repeat, `heads` tells which texts count."""
     ids = stored(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "pair-ids")
-    sets = _picked(texts, ids, "left_semi").mapInArrow(_whole_sets(size), "doc bigint, s1 bigint, s binary")
+    sets = picked(texts, ids, "doc", "left_semi").mapInArrow(_whole_sets(size), "doc bigint, s1 bigint, s binary")
     if heads is not None:
         sets = sets.join(heads.select("doc", "s1"), ["doc", "s1"], "left_semi").dropDuplicates(["doc"])
     sets = stored(sets.drop("s1"), "sets")
@@ -340,16 +338,6 @@ def _node_rows(rows: DataFrame, node_docs: int) -> DataFrame:
     return plain.select(*columns).union(first.select(*columns)).union(second.select(*columns))
 
 
-def _picked(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """`df` with (`left_semi`) or without (`left_anti`) the documents of `ids`, which are sent if few."""
-    few = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-    return df.join(few, "doc", how)
-
-
-def _without(df: DataFrame, ids: DataFrame) -> DataFrame:
-    return _picked(df, ids, "left_anti")
-
-
 def similar_sets(docs: DataFrame, size: int = SIZE, node_docs: int = NODE_DOCS) -> DataFrame:
     """`doc_id`, `n_shingles` and `component_id` of every row of `docs` (a row per row).
 
@@ -368,7 +356,7 @@ def similar_sets(docs: DataFrame, size: int = SIZE, node_docs: int = NODE_DOCS)
     classes = stored(one.groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep")), "classes")
     member = stored(one.join(classes, ["s1", "s2", "n"]).select("doc", "n", "rep"), "members")
     # the head of each class is searched, the other members are not
-    heads = _without(scanned, member.filter("doc <> rep").select("doc"))
+    heads = picked(scanned, member.filter("doc <> rep").select("doc"), "doc", "left_anti")
     repeated = not one.filter("times > 1").isEmpty()
     if repeated:
         heads = heads.join(one, ["doc", "n", "s1", "s2"], "left_semi").dropDuplicates(["doc"])

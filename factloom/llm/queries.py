@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import attribution, decontam, jaccard, language, lines, packing, secrets, toxicity, vectors
+from factloom.llm import attribution, decontam, jaccard, language, lines, packing, repeats, secrets, toxicity, vectors
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return attribution.token_count_query(_table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op7_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.repeats_query(_table(spark, folder, "documents"))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_token_counts": op6_token_counts,
+    "op7_repeated_strings": op7_repeated_strings,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,

@@ -16,6 +16,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Up to this many ids (two longs each) are sent to all tasks to pick rows; more are joined by a shuffle.
+SENT_IDS = 1_000_000
+
+
+def picked(df: DataFrame, ids: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """`df` with (`left_semi`) or without (`left_anti`) the rows of `ids`, which are sent if they are few."""
+    few = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    return df.join(few, on, how)
+
+
 def bounded_sample(df: DataFrame, key: str, size: int, id: str = "doc_id") -> DataFrame:
     """At most `size` rows of each `key`, the first ones by hash of `id`; all of a key that has no more.
 
