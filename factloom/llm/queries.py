@@ -14,7 +14,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_file(name: str) -> str:
     """Where a vocabulary file of the public tokenizers is; executors have it at the same place."""
     import public_tokenizers
 
@@ -42,7 +42,7 @@ def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return attribution.token_count_query(_table(spark, folder, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
+    return attribution.token_count_query(_table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
 def op7_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op7_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(_table(spark, folder, "documents"), _tokenizer("word_bpe_49k.json"))
+    return packing.pack(_table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
