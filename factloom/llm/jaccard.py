@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.store import components, picked, stored
+from factloom.llm.store import SENT_IDS, components, picked, stored
 from factloom.llm.words import mix, pieces, shingles, words
 
 SIZE = 5
@@ -57,8 +57,8 @@ def _sum(tokens: np.ndarray) -> int:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Which of at least as many bits (a power of two) the tokens hit."""
-    m = max(64, 1 << int(len(tokens) - 1).bit_length())
+    """Which of at least four times as many bits (a power of two) the tokens hit."""
+    m = max(64, 1 << int(4 * len(tokens) - 1).bit_length())
     hit = np.zeros(m, dtype=bool)
     hit[mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(m - 1)] = True
     return np.packbits(hit).tobytes()
@@ -213,13 +213,17 @@ def _forest(doc: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[bytes])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each group of rows (root, left node, right node); side 0: left, 1: right, 2: both."""
+    """Pairs of each group of rows (root, left node, right node); side 0: left, 1: right, 2: both.
+
+    A pair that several roots lead to is given out under the first of them only (`mine`: a document's roots).
+    """
     held: list[pa.Table] = []
 
     def solved(table: pa.Table) -> pa.RecordBatch:
         key = [table.column(c).to_numpy() for c in ("token", "x", "y")]
         side, doc, n, comp = (table.column(c).to_numpy() for c in ("side", "doc", "n", "comp"))
         bits = table.column("bits").to_pylist()
+        roots = {d: set(m.as_py()) for d, m in zip(doc.tolist(), table.column("mine"), strict=True)}
         edge = np.zeros(len(doc), bool)
         edge[0] = True
         for k in key:
@@ -237,6 +241,9 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if len(forests) == 1 and v not in (w, 2 * w) or v not in (w, 2 * w, w // 2):
                         continue
                     i, j = traverse(tree, other, len(forests) == 1 and v == w)
+                    a, b = d[i].tolist(), e[j].tolist()
+                    first = [min(roots[p] & roots[q]) == key[0][lo] for p, q in zip(a, b, strict=True)]
+                    i, j = i[first], j[first]
                     left.append(np.minimum(d[i], e[j]))
                     right.append(np.maximum(d[i], e[j]))
         pairs = np.stack([np.concatenate([*s, np.zeros(0, np.int64)]) for s in (left, right)])
@@ -304,7 +311,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, heads: DataFrame | None, size:
 
 
 def _node_rows(rows: DataFrame, node_docs: int) -> DataFrame:
-    """Rows (token, doc, n, comp, bits) with the node pair they are compared under (x, y) and their side.
+    """Rows (token, doc, n, comp, bits, mine) with the node pair they are compared under (x, y) and their side.
 
     The documents of a large root are cut by size band, by the component that fills a node on its own,
     and by hash; pairs of nodes of one component or of sizes too far apart go.
@@ -312,7 +319,7 @@ def _node_rows(rows: DataFrame, node_docs: int) -> DataFrame:
     size = rows.groupBy("token").agg(F.count("*").alias("all"))
     large = stored(size.filter(F.col("all") > node_docs), "large-roots")
     plain = rows.join(large, "token", "left_anti")
-    plain = plain.select("token", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(2).alias("side"), "doc", "n", "comp", "bits")
+    plain = plain.select("token", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(2).alias("side"), "doc", "n", "comp", "bits", "mine")
     if large.isEmpty():
         return plain
     many = rows.join(large, "token", "left_semi").withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.12))))
@@ -330,11 +337,11 @@ def _node_rows(rows: DataFrame, node_docs: int) -> DataFrame:
     right = nodes.select("token", F.col("node").alias("y"), F.col("who").alias("wy"), F.col("low").alias("ly"), F.col("high").alias("hy"))
     met = left.join(right, "token").filter("x <= y and (wx < 0 or wx <> wy) and 5 * hy >= 4 * lx and 5 * hx >= 4 * ly")
     met = stored(met.select("token", "x", "y"), "node-pairs")
-    split = split.select("token", "node", "doc", "n", "comp", "bits")
+    split = split.select("token", "node", "doc", "n", "comp", "bits", "mine")
     side = F.when(F.col("x") == F.col("y"), 2)
     first = split.join(met.withColumn("node", F.col("x")), ["token", "node"]).withColumn("side", side.otherwise(0))
     second = split.join(met.filter("x <> y").withColumn("node", F.col("y")), ["token", "node"]).withColumn("side", F.lit(1))
-    columns = ["token", "x", "y", "side", "doc", "n", "comp", "bits"]
+    columns = ["token", "x", "y", "side", "doc", "n", "comp", "bits", "mine"]
     return plain.select(*columns).union(first.select(*columns)).union(second.select(*columns))
 
 
@@ -368,7 +375,8 @@ def similar_sets(docs: DataFrame, size: int = SIZE, node_docs: int = NODE_DOCS)
     )
     roots = held.filter("all > 1").groupBy("all", "lead", "x1", "x2")
     roots = stored(roots.agg(F.min("token").alias("token"), F.count("*").alias("weight")).select("token", "lead", "weight"), "roots")
-    rows = stored(rows.join(roots, "token"), "root-rows")
+    few = F.broadcast(roots) if roots.count() <= SENT_IDS else roots
+    rows = stored(rows.join(few, "token"), "root-rows")
     # first links: every document with the leading document it shares most roots with
     shared = rows.filter("doc <> lead").groupBy("doc", "lead").agg(F.sum("weight").alias("times"), F.max("n").alias("n"))
     shared = shared.filter(F.col("times") * 12 >= F.col("n"))
@@ -381,7 +389,9 @@ def similar_sets(docs: DataFrame, size: int = SIZE, node_docs: int = NODE_DOCS)
     known = stored(known.select("token", "doc", F.coalesce("component", "doc").alias("comp")), "known")
     mixed = known.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
     mixed = stored(mixed.select("token"), "mixed-roots")
-    left = known.join(mixed, "token", "left_semi").join(heads.select("doc", "n", "bits"), "doc")
+    left = stored(picked(known, mixed, "token", "left_semi"), "mixed-rows")
+    mine = left.groupBy("doc").agg(F.array_sort(F.collect_set("token")).alias("mine"))
+    left = left.join(mine.join(heads.select("doc", "n", "bits"), "doc"), "doc")
     groups = _node_rows(stored(left, "tree-rows"), node_docs)
     groups = groups.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "side", "doc")
     pairs = stored(groups.mapInArrow(_candidates, "a bigint, b bigint").distinct(), "candidates")

@@ -25,6 +25,8 @@ LEXICON_SIZE = 2_000
 WINDOW = 25
 FUZZY_FROM = 5
 TWO_EDITS_FROM = 12
+# What a misspelled term counts for, of what the term itself does.
+MISSPELLED = 0.7
 _EVIDENCE = 12.0
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -231,20 +233,21 @@ def features(column: pa.Array, matcher: Matcher) -> np.ndarray:
         behind = marks[piece.offsets[row + 1]] - marks[w.end[at]]
         quoted = (since % 2 == 1) & (behind > 0)
         # context window: weight of the hits within WINDOW words on both sides, in the same text
-        total = np.concatenate([[0], np.cumsum(np.where(weight > 0, weight, 0))])
+        total = np.concatenate([[0], np.cumsum(np.where(edits > 0, MISSPELLED, 1.0) * weight)])
         first = np.concatenate([[0], np.cumsum(counts)])
         low = np.maximum(at - WINDOW, first[row])
         high = np.minimum(at + WINDOW + 1, first[row + 1])
         near = (total[high] - total[low]) * np.where(quoted, 0.5, 1.0)
-        exact = (edits[at] == 0) & ~quoted
         line = np.zeros((piece.rows, len(FEATURES)))
-        line[:, 0] = np.log1p(np.bincount(row[exact], minlength=piece.rows))
+        sure = np.where(edits[at] > 0, MISSPELLED, 1.0)
+        plain = np.bincount(row[~quoted], weights=sure[~quoted], minlength=piece.rows)
+        line[:, 0] = np.log1p(plain)
         line[:, 1] = np.log1p(np.bincount(row[(edits[at] > 0) & ~quoted], minlength=piece.rows))
         line[:, 2] = np.log1p(np.bincount(row[quoted], minlength=piece.rows))
-        np.maximum.at(line[:, 3], row, np.where(quoted, 0.5, 1.0) * weight[at] / (1.0 + edits[at]))
+        np.maximum.at(line[:, 3], row, np.where(quoted, 0.5, 1.0) * weight[at] * sure)
         np.maximum.at(line[:, 4], row, near)
         line[:, 4] = np.log1p(line[:, 4])
-        line[:, 5] = np.bincount(row[exact], minlength=piece.rows) / np.maximum(counts, 1) ** 0.5
+        line[:, 5] = plain / np.maximum(counts, 1) ** 0.5
         out[piece.first : piece.first + piece.rows] = line
     return out
 

@@ -2,8 +2,8 @@
 
 Vectors of one label are clustered into shards of bounded size; a vector near a border belongs to several.
 Each shard builds a graph in which a node keeps a neighbour only if no kept one is clearly closer to it.
-The adjacency lists of all shards are united, and every vector searches its shards over the united lists:
-greedily from the shards' medoids, then, range-expanding, through all nodes within the similarity.  Pairs
+The adjacency lists of all shards are united, and every vector searches over the united lists:
+greedily from its home shard's medoids, then, range-expanding, through all nodes within the similarity.  Pairs
 are verified in double precision, and a bounded set of queries is compared with all vectors to audit the
 recall; below the target the borders and the beam are widened.
 """
@@ -11,7 +11,7 @@ recall; below the target the borders and the beam are widened.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from factloom.llm.store import bounded_sample, components, stored
 
 SIMILAR = 0.93
-SHARD = 2_048
 LEVELS = 8
 SAMPLE = 2_048
 AUDIT_QUERIES = 200
@@ -30,7 +29,12 @@ RECALL = 0.9
 
 @dataclass(frozen=True)
 class Search:
-    """How wide to search: border width (chord), copies of a vector, lists, candidates, beam."""
+    """How wide to search: border width (chord), copies of a vector, lists, candidates, beam.
+
+    `shard` is the number of vectors that a task builds a graph of.
+    """
+
+    shard: int = 4_096
 
     border: float = 0.2
     copies: int = 3
@@ -41,7 +45,10 @@ class Search:
     alpha: float = 1.2
 
     def wider(self) -> Search:
-        return Search(self.border * 2, self.copies + 3, self.degree * 2, self.candidates * 2, self.beam * 2, self.medoids * 2)
+        return replace(
+            self, border=self.border * 2, copies=self.copies + 3, degree=self.degree * 2,
+            candidates=self.candidates * 2, beam=self.beam * 2, medoids=self.medoids * 2,
+        )
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -77,28 +84,34 @@ def _means(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
-def _centres(table: pa.Table) -> pa.Table:
-    """The centres of one shard from its sample, so many that parts come out well under SHARD."""
-    x = _matrix(table.column("v"))
-    size = table.column("size")[0].as_py()
-    k = int(min(16, max(2, np.ceil(1.5 * size / SHARD)), len(x)))
-    return pa.table(
-        {
-            "shard": table.column("shard").slice(0, 1),
-            "centres": pa.array([_means(x, k).astype(np.float32).ravel()], pa.list_(pa.float32())),
-        }
-    )
+PARTS = 64
+
+
+def _centres(how: Search):
+    def run(table: pa.Table) -> pa.Table:
+        """The centres of one shard from its sample, so many that parts, with copies, come out small enough."""
+        x = _matrix(table.column("v"))
+        size = table.column("size")[0].as_py()
+        k = int(min(PARTS, max(how.copies + 1, np.ceil(1.25 * how.copies * size / how.shard)), len(x)))
+        return pa.table(
+            {
+                "shard": table.column("shard").slice(0, 1),
+                "centres": pa.array([_means(x, k).astype(np.float32).ravel()], pa.list_(pa.float32())),
+            }
+        )
+
+    return run
 
 
 def _nearest(border: float, copies: int):
-    def assign(vector: pa.Array, centres: pa.Array) -> pa.Array:
-        """The parts a vector belongs to, its home first."""
+    def assign(vector: pa.Array, centres: pa.Array, home: pa.Array) -> pa.Array:
+        """The parts a vector belongs to, its home first; a copy of it goes to the nearest part only."""
         parts = []
         x = _matrix(vector)
-        for row, c in zip(x, centres, strict=True):
+        for row, c, own in zip(x, centres, home.to_pylist(), strict=True):
             c = c.values.to_numpy().reshape(-1, len(row))
             chord = np.sqrt(np.maximum(0, 2 - 2 * (c @ row)))
-            order = np.argsort(chord, kind="stable")[:copies]
+            order = np.argsort(chord, kind="stable")[: copies if own else 1]
             parts.append(order[chord[order] <= chord[order[0]] + border].astype(np.int32))
         return pa.array(parts, pa.list_(pa.int32()))
 
@@ -113,7 +126,7 @@ def _shards(vectors: DataFrame, how: Search) -> DataFrame:
     before: dict[int, int] | None = None
     for _ in range(LEVELS):
         sizes = stored(rows.groupBy("shard").agg(F.count("*").alias("size")), "sizes")
-        large = stored(sizes.filter(F.col("size") > SHARD), "large")
+        large = stored(sizes.filter(F.col("size") > how.shard), "large")
         if large.isEmpty():
             break
         small = rows.join(large, "shard", "left_anti")
@@ -121,9 +134,9 @@ def _shards(vectors: DataFrame, how: Search) -> DataFrame:
         many = rows.join(large.select("shard"), "shard", "left_semi")
         sample = bounded_sample(many.select("shard", "id", "v"), "shard", SAMPLE, "id").join(large, "shard")
         centres = stored(
-            sample.groupBy("shard").applyInArrow(_centres, "shard bigint, centres array<float>"), "centres"
+            sample.groupBy("shard").applyInArrow(_centres(how), "shard bigint, centres array<float>"), "centres"
         )
-        parts = many.join(centres, "shard").select("shard", "id", "v", "home", assign("v", "centres").alias("p"))
+        parts = many.join(centres, "shard").select("shard", "id", "v", "home", assign("v", "centres", "home").alias("p"))
         parts = parts.select("shard", "id", "v", "home", F.posexplode("p").alias("place", "part"))
         split = parts.select(
             F.xxhash64("shard", "part").alias("shard"), "id", "v", (F.col("home") & (F.col("place") == 0)).alias("home")
@@ -296,7 +309,8 @@ def _search(how: Search, least: float):
         lists[row, place] = at
         c = _means(x, min(how.medoids, n))
         medoids = np.unique(np.argmax(x @ c.T, axis=0))
-        i, j = range_search(x, lists, np.arange(n), medoids, how, least)
+        at_home = np.flatnonzero(table.column("home").to_numpy()[order])
+        i, j = range_search(x, lists, at_home, medoids, how, least)
         a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
         pairs = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
         return pa.table({"a": pairs[0], "b": pairs[1]})
@@ -308,7 +322,7 @@ def _pairs(vectors: DataFrame, how: Search, least: float) -> DataFrame:
     shards = stored(_shards(vectors, how), "shards")
     edges = shards.select("shard", "id", "v").groupBy("shard").applyInArrow(_build(how), "id bigint, to bigint")
     lists = stored(edges.distinct().groupBy("id").agg(F.collect_list("to").alias("to")), "lists")
-    members = shards.select("shard", "id", "v").join(lists, "id", "left")
+    members = shards.join(lists, "id", "left")
     pairs = members.groupBy("shard").applyInArrow(_search(how, least), "a bigint, b bigint")
     return stored(pairs.distinct(), "pairs")
 

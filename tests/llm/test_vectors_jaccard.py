@@ -47,11 +47,10 @@ def near_rows(seed=3):
     return rows
 
 
-def test_vectors_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "SHARD", 100)
+def test_vectors_against_brute_force(spark):
     rows = near_rows()
     df = spark.createDataFrame([(*r, "x", "x", "x", "x") for r in rows], VECTORS)
-    out = vectors.near_vectors(df).collect()
+    out = vectors.near_vectors(df, how=vectors.Search(shard=100)).collect()
     assert len(out) == len(rows)
     good = {}
     for i, v, label in rows:
