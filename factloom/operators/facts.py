@@ -29,6 +29,11 @@ def newest_first(at: str, *ties: str) -> list[Column]:
 # -- names ------------------------------------------------------------------------------------
 
 
+def _spread_null(key: str) -> Column:
+    """A join key whose nulls, which many rows may have, meet nothing and are dealt out evenly."""
+    return F.coalesce(F.col(key), F.concat(F.lit("none of "), F.col("edge_id")))
+
+
 def with_names(facts: DataFrame, entities: DataFrame) -> DataFrame:
     """Every fact with the names and types of its two ends; a day shows as its date."""
     near = entities.select(
@@ -37,11 +42,11 @@ def with_names(facts: DataFrame, entities: DataFrame) -> DataFrame:
         F.col("entity_type").alias("from_type"),
     )
     far = entities.select(
-        F.col("entity_id").alias("to_id"),
+        F.col("entity_id").alias("_far"),
         F.col("name").alias("_to_name"),
         F.col("entity_type").alias("_to_type"),
     )
-    joined = facts.join(near, "from_id").join(far, "to_id", "left")
+    joined = facts.join(near, "from_id").join(far, _spread_null("to_id") == F.col("_far"), "left")
     return joined.select(
         *[F.col(c) for c in facts.columns],
         "from_name",
@@ -77,7 +82,8 @@ def name_few(rows: DataFrame, entities: DataFrame) -> DataFrame:
         pick("from", "entity_type").alias("from_type"),
         pick("to", "name").alias("_to_name"),
         pick("to", "entity_type").alias("_to_type"),
-    )
+        F.max(F.col("side") == "from").alias("_known"),
+    ).filter("_known")
     return named.select(
         "_row.*",
         "from_name",
@@ -154,11 +160,13 @@ def query_facts(
     entities: DataFrame,
     subject: str | None = None,
     target: str | None = None,
-    limit: int = 50,
+    limit: int | None = 50,
     aliases: DataFrame | None = None,
     **conditions,
 ) -> DataFrame:
-    """The fact query: exact names for the two ends, simple conditions, newest first, limited.
+    """The fact query: exact names for the two ends, simple conditions, newest first.
+
+    At most `limit` facts come back, all of them if it is None.
 
     A name is turned into the set of its entity ids first (a semi-join that filters the fact scan);
     names of the result are looked up after the limit.
@@ -184,6 +192,8 @@ def query_facts(
             .join(wanted, "_node", "left_semi")
             .drop("_node")
         )
+    if limit is None:
+        return with_names(kept, entities).orderBy(*newest_first("source_at", "edge_id"))
     top = kept.orderBy(*newest_first("source_at", "edge_id")).limit(limit)
     return name_few(top, entities).orderBy(*newest_first("source_at", "edge_id"))
 
@@ -212,11 +222,11 @@ def facts_both_ways(facts: DataFrame) -> DataFrame:
 
 def _name_other(rows: DataFrame, entities: DataFrame) -> DataFrame:
     names = entities.select(
-        F.col("entity_id").alias("other_id"),
+        F.col("entity_id").alias("_far"),
         F.col("name").alias("_other"),
         F.col("entity_type").alias("_other_type"),
     )
-    joined = rows.join(names, "other_id", "left")
+    joined = rows.join(names, _spread_null("other_id") == F.col("_far"), "left")
     return joined.select(
         *rows.columns,
         display_name("_other", "other_day").alias("other_name"),

@@ -72,9 +72,6 @@ VIEWS = {
     "facts": """
   SELECT * FROM commitments UNION ALL SELECT * FROM completions
   UNION ALL SELECT * FROM contributions UNION ALL SELECT * FROM geography""",
-    "sparse_facts": """
-  SELECT * FROM commitments UNION ALL SELECT * FROM completions
-  UNION ALL SELECT * FROM geography""",
     "case_facts": """
   SELECT prefix || o_orderkey AS edge_id, 'person:' || o_custkey AS from_id,
          CAST(NULL AS VARCHAR) AS to_id, CAST(o_orderdate AS DATE) AS to_day, edge_label,

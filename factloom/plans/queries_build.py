@@ -93,19 +93,22 @@ COMMITTED = """committed AS (
   FROM ex_facts f JOIN ex_base b USING (record_id))"""
 
 
-@query(
-    "commit_facts",
-    "GB3 GB4 GB5",
-    f"""WITH {COMMITTED} SELECT source_record, edge_label, fact_type, fact, confidence, op_area,
-      to_day, n FROM (
+COMMIT_ROWS = """SELECT source_record, edge_label, fact_type, fact, confidence, op_area,
+      to_day, from_name, to_ref FROM (
       SELECT record_id AS source_record, edge_label, fact_type, fact, min(confidence) AS confidence,
         min(op_area) AS op_area, CASE WHEN to_key IS NULL THEN CAST(local_day AS VARCHAR) END
-          AS to_day, count(DISTINCT from_key) AS n
+          AS to_day, min(from_entity) AS from_name,
+        CASE WHEN to_key LIKE 'new %' THEN substr(to_key, 5) ELSE to_key END AS to_ref
       FROM committed WHERE from_key IS NOT NULL
-      GROUP BY record_id, edge_label, fact_type, fact, to_key, local_day)""",
-)
-def _commit_facts(t: Tables):
-    rows = build.dedup_facts(build.commit_facts(_with_ids(t), _recorded()))
+      GROUP BY record_id, edge_label, fact_type, fact, to_key, local_day)"""
+
+
+def _with_ends(made: build.Commit):
+    """Facts with the names of their ends, found through the ids; a resolved object shows as its id."""
+    named = made.entities.select("entity_id", "name")
+    near = named.withColumnsRenamed({"entity_id": "from_id", "name": "from_name"})
+    far = named.withColumnsRenamed({"entity_id": "to_id", "name": "to_name"})
+    rows = made.facts.join(near, "from_id").join(far, "to_id", "left")
     return rows.select(
         "source_record",
         "edge_label",
@@ -114,10 +117,28 @@ def _commit_facts(t: Tables):
         "confidence",
         "op_area",
         "to_day",
-        F.lit(1).cast("long").alias("n"),
+        "from_name",
+        F.coalesce("to_name", "to_id").alias("to_ref"),
     )
 
 
+@query(
+    "commit_facts",
+    "GB3 GB4 GB5",
+    f"WITH {COMMITTED} {COMMIT_ROWS}",
+)
+def _commit_facts(t: Tables):
+    return _with_ends(build.commit(t.extractions(), _recorded()))
+
+
+@query("commit_incremental", "AG6 AG7 AG8 DD2 GB3", f"WITH {COMMITTED} {COMMIT_ROWS}")
+def _commit_incremental(t: Tables):
+    """The later half of the lines on top of the committed earlier half."""
+    first = F.pmod(F.xxhash64("record_id"), F.lit(2)) == 0
+    before = build.commit(t.extractions().filter(first), _recorded())
+    return _with_ends(build.commit(t.extractions().filter(~first), _recorded(), stored=before))
+
+
 @query(
     "dedup_facts_merge",
     "DD2 AG6",
@@ -355,9 +376,9 @@ def _resolve(t: Tables):
     f"""WITH {RESOLVED},
       told AS (SELECT from_id AS entity_id, '[' || edge_label || '] ' || fact AS text,
         row_number() OVER (PARTITION BY from_id ORDER BY source_at DESC NULLS FIRST, edge_id) AS rn
-        FROM sparse_facts WHERE from_id LIKE 'person:%'),
+        FROM facts WHERE from_id LIKE 'person:%'),
       linked AS (SELECT f.from_id AS entity_id, e.name || ' (' || e.entity_type || ')' AS text
-        FROM sparse_facts f JOIN entities e ON e.entity_id = f.to_id
+        FROM facts f JOIN entities e ON e.entity_id = f.to_id
         WHERE f.from_id LIKE 'person:%'),
       context AS (SELECT entity_id, 'fact' AS context, text FROM told WHERE rn <= 3
         UNION ALL SELECT entity_id, 'connection', text FROM linked)
@@ -367,7 +388,7 @@ def _resolve(t: Tables):
 def _resolve_context(t: Tables):
     people = _mentions(t).filter("entity_type = 'person'")
     found = durable(resolve.resolve_entities(people, t.entities(), t.aliases()))
-    told = resolve.with_brief_context(found, t.sparse_facts(), t.entities())
+    told = resolve.with_brief_context(found, t.facts(), t.entities())
     return told.select("name", "identifier", "via", "entity_id", "context", "text")
 
 
@@ -443,14 +464,14 @@ def _connections(t: Tables):
 @query(
     "connections_by_label",
     "TR1",
-    f"""WITH geo AS (SELECT * FROM sparse_facts WHERE edge_label = 'AFFILIATED'),
+    f"""WITH geo AS (SELECT * FROM facts WHERE edge_label = 'AFFILIATED'),
       {_levels("geo", "region:0", 3)}
     SELECT depth, count(*) AS n FROM (SELECT 1 AS depth FROM l1 UNION ALL SELECT 2 FROM l2
       UNION ALL SELECT 3 FROM l3) GROUP BY depth""",
 )
 def _connections_label(t: Tables):
     found = traverse.connections(
-        t.sparse_facts(), t.entities(), "region:0", depth=3, labels=["affiliated"]
+        t.facts(), t.entities(), "region:0", depth=3, labels=["affiliated"]
     )
     return found.nodes.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
@@ -458,11 +479,11 @@ def _connections_label(t: Tables):
 @query(
     "connection_edges",
     "TR1",
-    f"""WITH {_levels("facts", "company:3", 1)}, near AS (SELECT node FROM l0 UNION ALL
-      SELECT node FROM l1)
-    SELECT edge_id, from_id, coalesce(to_id, 'day:' || CAST(to_day AS VARCHAR)) AS to_node
-    FROM facts WHERE from_id IN (SELECT node FROM near)
-      OR coalesce(to_id, 'day:' || CAST(to_day AS VARCHAR)) IN (SELECT node FROM near)""",
+    f"""WITH {_levels("facts", "company:3", 1)}, near AS MATERIALIZED (SELECT node FROM l0 UNION
+      SELECT node FROM l1), ends AS MATERIALIZED (SELECT edge_id, from_id,
+        coalesce(to_id, 'day:' || CAST(to_day AS VARCHAR)) AS to_node FROM facts)
+    SELECT * FROM ends SEMI JOIN near ON from_id = node
+    UNION SELECT * FROM ends SEMI JOIN near ON to_node = node""",
 )
 def _connection_edges(t: Tables):
     found = traverse.connections(t.facts(), t.entities(), "company:3", depth=2)
@@ -472,16 +493,16 @@ def _connection_edges(t: Tables):
 @query(
     "shortest_path",
     "TR2",
-    f"""WITH {_levels("sparse_facts", "person:7", 4)},
+    f"""WITH {_levels("facts", "person:7", 4)},
       hit AS (SELECT path FROM (SELECT path FROM l1 WHERE node = 'company:3'
         UNION ALL SELECT path FROM l2 WHERE node = 'company:3'
         UNION ALL SELECT path FROM l3 WHERE node = 'company:3'
         UNION ALL SELECT path FROM l4 WHERE node = 'company:3')),
       hops AS (SELECT unnest(path) AS edge_id, generate_subscripts(path, 1) - 1 AS hop FROM hit)
-    SELECT h.hop, f.edge_id, f.edge_label, f.fact_type, f.fact FROM hops h JOIN sparse_facts f USING (edge_id)""",
+    SELECT h.hop, f.edge_id, f.edge_label, f.fact_type, f.fact FROM hops h JOIN facts f USING (edge_id)""",
 )
 def _path(t: Tables):
-    found = traverse.shortest_path(t.sparse_facts(), t.entities(), "person:7", "company:3")
+    found = traverse.shortest_path(t.facts(), t.entities(), "person:7", "company:3")
     return found.select("hop", "edge_id", "edge_label", "fact_type", "fact")
 
 
@@ -541,11 +562,11 @@ def _entity_context(t: Tables):
     "entity_context_clustered",
     "BQ1 AG4",
     """SELECT edge_label, edge_id, count(*) OVER (PARTITION BY edge_label) AS cluster_size
-    FROM sparse_facts WHERE from_id = 'person:7' OR to_id = 'person:7'""",
+    FROM facts WHERE from_id = 'person:7' OR to_id = 'person:7'""",
 )
 def _context_clustered(t: Tables):
     c = bundles.entity_context(
-        t.sparse_facts(), t.entities(), t.records(), "customer#000000007", format="clustered"
+        t.facts(), t.entities(), t.records(), "customer#000000007", format="clustered"
     )
     return c.facts.select("edge_label", "edge_id", "cluster_size")
 
@@ -553,7 +574,7 @@ def _context_clustered(t: Tables):
 @query(
     "relationship",
     "BQ2",
-    f"""WITH {_levels("sparse_facts", "nation:5", 4)},
+    f"""WITH {_levels("facts", "nation:5", 4)},
       hops AS (SELECT unnest(path) AS edge_id, generate_subscripts(path, 1) - 1 AS hop FROM (
         SELECT path FROM l1 WHERE node = 'nation:6' UNION ALL SELECT path FROM l2
           WHERE node = 'nation:6' UNION ALL SELECT path FROM l3 WHERE node = 'nation:6'
@@ -562,7 +583,7 @@ def _context_clustered(t: Tables):
 )
 def _relationship(t: Tables):
     names = {r.n_nationkey: r.n_name for r in t.raw("nation").filter("n_nationkey in (5, 6)").collect()}
-    found = bundles.relationship(t.sparse_facts(), t.entities(), names[5], names[6])
+    found = bundles.relationship(t.facts(), t.entities(), names[5], names[6])
     return found.path.select("hop", "edge_id")
 
 
@@ -571,14 +592,14 @@ def _relationship(t: Tables):
     "BQ3 WN8",
     """SELECT entity_id, 'fact' AS part, fact AS text, edge_label AS detail FROM (
       SELECT from_id AS entity_id, fact, edge_label, row_number() OVER (PARTITION BY from_id
-        ORDER BY source_at DESC NULLS FIRST, edge_id) AS rn FROM sparse_facts
+        ORDER BY source_at DESC NULLS FIRST, edge_id) AS rn FROM facts
       WHERE from_id LIKE 'person:%') WHERE rn <= 10
-    UNION ALL SELECT f.from_id, 'connection', e.name, e.entity_type FROM sparse_facts f
+    UNION ALL SELECT f.from_id, 'connection', e.name, e.entity_type FROM facts f
       JOIN entities e ON e.entity_id = f.to_id WHERE f.from_id LIKE 'person:%'""",
 )
 def _resolver_context(t: Tables):
     people = t.entities().filter("entity_type = 'person'")
-    return bundles.resolver_context(t.sparse_facts(), t.entities(), people)
+    return bundles.resolver_context(t.facts(), t.entities(), people)
 
 
 @query(

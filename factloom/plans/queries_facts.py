@@ -105,7 +105,7 @@ def _query_facts_date(t: Tables):
 )
 def _query_facts_aliases(t: Tables):
     found = facts.query_facts(
-        t.facts(), t.entities(), subject="red plate", aliases=t.aliases(), limit=100000
+        t.facts(), t.entities(), subject="red plate", aliases=t.aliases(), limit=None
     )
     return found.select("fact", "from_name", "edge_label", "confidence")
 

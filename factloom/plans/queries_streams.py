@@ -44,28 +44,24 @@ def _landed(stream: DataFrame, t: Tables, name: str) -> DataFrame:
     return t.spark.read.schema(stream.schema).parquet(out)
 
 
-@query(
-    "stream_records",
-    "SS1",
-    """SELECT type, count(*) AS n, min(record_id) AS first_id FROM records
-    WHERE type <> 'document' GROUP BY type""",
-)
+@query("stream_records", "SS1", "SELECT record_id, type, dedup_key FROM records")
 def _stream_records(t: Tables):
-    live = StreamTables(t, "events", "documents").records()
-    landed = _landed(live.filter("type <> 'document'"), t, "records")
-    return landed.groupBy("type").agg(
-        F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first_id")
-    )
+    landed = _landed(StreamTables(t, "events", "documents").records(), t, "records")
+    return landed.select("record_id", "type", "dedup_key")
 
 
 @query(
     "stream_dedup",
     "SS2",
-    "SELECT DISTINCT md5(text) AS dedup_key FROM documents",
+    """SELECT record_id, type, dedup_key FROM (SELECT *, row_number() OVER (PARTITION BY dedup_key
+        ORDER BY created_at NULLS LAST, record_id) AS rn FROM records)
+    WHERE rn = 1 OR coalesce(trim(dedup_key), '') = ''""",
 )
 def _stream_dedup(t: Tables):
-    live = StreamTables(t, "documents", "events").records().filter("type = 'document'")
-    return _landed(streams.stream_dedup(live), t, "dedup").select("dedup_key")
+    live = StreamTables(t, "documents", "events").records()
+    out, cursor = scratch(t.spark, "dedup"), scratch(t.spark, "dedup-cursor")
+    streams.stream_dedup(live, out, cursor).awaitTermination()
+    return streams.read_landed(t.spark, out, live.schema).select("record_id", "type", "dedup_key")
 
 
 @query(
@@ -85,17 +81,16 @@ def _stream_classify(t: Tables):
 @query(
     "stream_commit",
     "SS4",
-    """SELECT edge_label, fact_type, count(*) AS n FROM (
-      SELECT DISTINCT record_id, edge_label, fact_type, fact FROM ex_facts
-      WHERE from_entity <> 'Somebody') GROUP BY ALL""",
+    """SELECT DISTINCT record_id AS source_record, edge_label, fact_type, fact FROM ex_facts
+    WHERE from_entity <> 'Somebody'""",
 )
 def _stream_commit(t: Tables):
     base, cursor = scratch(t.spark, "commit"), scratch(t.spark, "commit-cursor")
     live = StreamTables(t, "lineitem").extractions()
     recorded = F.lit("2024-06-01").cast("timestamp")
     streams.stream_commit(live, base, cursor, recorded).awaitTermination()
-    facts = streams.read_committed(t.spark, base, "facts")
-    return facts.groupBy("edge_label", "fact_type").agg(F.count(F.lit(1)).alias("n"))
+    facts = streams.read_committed(t.spark, base).facts
+    return facts.select("source_record", "edge_label", "fact_type", "fact")
 
 
 @query(
@@ -122,16 +117,16 @@ def _stream_current(t: Tables):
 @query(
     "stream_usage",
     "SS6",
-    f"""WITH done AS (SELECT max(created_at) - INTERVAL 10 MINUTE AS mark FROM model_calls),
-      w AS (SELECT date_trunc('hour', created_at) AS ws, model, count(*) AS calls,
+    f"""SELECT strftime(ws, {SEC}) AS window_start, strftime(ws + INTERVAL 1 HOUR, {SEC}) AS window_end,
+      model, calls, input_tokens, output_tokens
+    FROM (SELECT date_trunc('hour', created_at) AS ws, model, count(*) AS calls,
         CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
-        CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM model_calls GROUP BY 1, 2)
-    SELECT strftime(ws, {SEC}) AS window_start, strftime(ws + INTERVAL 1 HOUR, {SEC}) AS window_end,
-      model, calls, input_tokens, output_tokens FROM w, done WHERE ws + INTERVAL 1 HOUR <= mark""",
+        CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM model_calls GROUP BY 1, 2)""",
 )
 def _stream_usage(t: Tables):
-    live = StreamTables(t, "conversations").model_calls()
-    return _landed(streams.usage_windows(live), t, "usage")
+    out, cursor = scratch(t.spark, "usage"), scratch(t.spark, "usage-cursor")
+    streams.stream_usage(StreamTables(t, "conversations").model_calls(), out, cursor).awaitTermination()
+    return streams.read_usage(t.spark, out)
 
 
 # -- sinks: written in the shared folder and read back ----------------------------------------

@@ -254,10 +254,6 @@ class Tables:
             .unionByName(self.geography())
         )
 
-    def sparse_facts(self) -> DataFrame:
-        """All facts but the order lines."""
-        return self.commitments().unionByName(self.completions()).unionByName(self.geography())
-
     def case_facts(self) -> DataFrame:
         """Blockers (open orders of one status), resolutions and references per customer."""
         o = self.raw("orders")

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from factloom.functions.columns import blank_to_null, is_current, target_node
-from factloom.operators.build import commit
-from factloom.operators.records import classify_policy
+from factloom.functions.columns import is_current, target_node
+from factloom.operators.build import Commit, Parts, commit_parts, merge_parts
+from factloom.operators.records import classify_policy, dedup_records
 from factloom.schema import SUPERSEDING_LABELS
 
 SLOT = ["from_id", "edge_label", "fact_type", "to_node"]
@@ -40,13 +40,35 @@ def stream_files(
     return reader.load(path)
 
 
-def stream_dedup(records: DataFrame, at: str = "created_at", delay: str = "1 day") -> DataFrame:
-    """First record of each key that arrives within the delay; records without a key all pass."""
-    key = F.coalesce(
-        F.concat(F.lit("k"), blank_to_null("dedup_key")), F.concat(F.lit("r"), "record_id")
-    )
-    marked = records.withColumn("_key", key).withWatermark(at, delay)
-    return marked.dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+def _batches(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """What the batches of a folder (those numbered below `before`) have left; empty at first."""
+    here = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not here.getFileSystem(spark._jsc.hadoopConfiguration()).exists(here):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
+    found = rows.option("recursiveFileLookup", "false").parquet(path)
+    return (found if before is None else found.filter(F.col("batch") < before)).drop("batch")
+
+
+def stream_dedup(
+    records: DataFrame, path: str, checkpoint: str, once: bool = True, every: str = "5 seconds"
+) -> StreamingQuery:
+    """Records whose key has not landed yet under `path`, however late; those without a key all land.
+
+    What has landed is the state: every micro-batch is deduplicated in itself and against the batches
+    before it, and owns the folder `batch=<id>`, so a replay leaves the same rows.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        landed = _batches(batch.sparkSession, path, batch.schema, before=batch_id)
+        dedup_records(batch, landed).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return to_batches(records, write, checkpoint, once=once, every=every)
+
+
+def read_landed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All records that `stream_dedup` has let land."""
+    return _batches(spark, path, schema)
 
 
 def stream_classify(records: DataFrame, policy: Column | str, noise: Column | None = None) -> DataFrame:
@@ -90,35 +112,32 @@ def stream_commit(
     mode: str = "literal",
     once: bool = True,
 ) -> StreamingQuery:
-    """Extractions of relevant records to graph tables under `base`.
+    """Mentions, alias sightings and claims of extractions, as tables under `base`.
 
-    Every micro-batch owns the folder `batch=<id>` of each table and overwrites it, so a replayed
-    batch leaves the same rows. `read_committed` takes each edge and alias once.
+    Extractions with a `classification` count only if it is relevant. Every micro-batch owns the folder
+    `batch=<id>` of each table and overwrites it, so a replayed batch leaves the same rows.
+    `read_committed` merges them: the latest value of every property, the first claim of every fact.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # Four tables come from one micro-batch; what is lost of the kept rows is read again.
+        # Three tables come from one micro-batch; what is lost of the kept rows is read again.
+        if "classification" in batch.columns:
+            batch = batch.filter("classification = 'relevant'")
         kept = batch.persist()
-        made = commit(kept, recorded_at, mode=mode)
-        for name in ("entities", "aliases", "facts", "fact_sources"):
-            getattr(made, name).write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
+        parts = commit_parts(kept, recorded_at, mode=mode)
+        for name in PARTS:
+            getattr(parts, name).write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
         kept.unpersist()
 
     return to_batches(extractions, write, checkpoint, once=once)
 
 
-def read_committed(spark: SparkSession, base: str, table: str) -> DataFrame:
-    """A committed table with each key from the first batch that brought it."""
-    keys = {
-        "entities": ["entity_id"],
-        "aliases": ["entity_id", "surface_form"],
-        "facts": ["edge_id"],
-        "fact_sources": ["edge_id", "record_id"],
-    }[table]
-    rows = spark.read.parquet(f"{base}/{table}")
-    others = [c for c in rows.columns if c not in (*keys, "batch")]
-    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), "batch").alias("r"))
-    return first.select(*keys, "r.*")
+PARTS = ("mentions", "aliases", "claims")
+
+
+def read_committed(spark: SparkSession, base: str) -> Commit:
+    """The graph tables of all batches: the rows that one batch of all extractions would give."""
+    return merge_parts(Parts(*[spark.read.parquet(f"{base}/{name}").drop("batch") for name in PARTS]))
 
 
 def current_facts(facts: DataFrame) -> DataFrame:
@@ -155,11 +174,21 @@ def read_current_facts(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy(*SLOT).agg(newest.alias("r")).select(*SLOT, "r.*")
 
 
-def usage_windows(calls: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Calls and tokens per model and time window, final once the watermark has passed."""
+def stream_usage(
+    calls: DataFrame, path: str, checkpoint: str, width: str = "1 hour", once: bool = True
+) -> StreamingQuery:
+    """Sums of each micro-batch per model and time window; late calls count like all others."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        usage_windows(batch, width).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return to_batches(calls, write, checkpoint, once=once)
+
+
+def usage_windows(calls: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Calls and tokens per model and time window."""
     return (
-        calls.withWatermark("created_at", delay)
-        .groupBy(F.window("created_at", width).alias("w"), "model")
+        calls.groupBy(F.window("created_at", width).alias("w"), "model")
         .agg(
             F.count(F.lit(1)).alias("calls"),
             F.sum("input_tokens").alias("input_tokens"),
@@ -174,3 +203,9 @@ def usage_windows(calls: DataFrame, width: str = "1 hour", delay: str = "10 minu
             "output_tokens",
         )
     )
+
+
+def read_usage(spark: SparkSession, path: str) -> DataFrame:
+    """The windows of all batches so far, the open ones too."""
+    sums = [F.sum(c).alias(c) for c in ("calls", "input_tokens", "output_tokens")]
+    return spark.read.parquet(path).groupBy("window_start", "window_end", "model").agg(*sums)

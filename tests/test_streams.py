@@ -50,27 +50,102 @@ def test_dedup_across_batches_and_restart(spark, make_records, tmp_path):
     r = make_records(*rows)
     folder, out, cp = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
     drip(r, folder, [F.col("source") == "0"])
-    live = streams.stream_dedup(read_stream(spark, folder, RECORDS))
-    streams.to_table(live, out, cp).awaitTermination()
+    streams.stream_dedup(read_stream(spark, folder, RECORDS), out, cp).awaitTermination()
     drip(r, folder, [F.col("source") == s for s in ("1", "2")], start=1)
-    again = streams.stream_dedup(read_stream(spark, folder, RECORDS))
-    streams.to_table(again, out, cp).awaitTermination()
-    got = spark.read.schema(RECORDS).parquet(out)
-    want = dedup_records(r)
-    assert got.count() == want.count() == 4
-    assert {x.dedup_key for x in got.collect()} == {"k1", "k2", ""}
+    streams.stream_dedup(read_stream(spark, folder, RECORDS), out, cp).awaitTermination()
+    got, want = streams.read_landed(spark, out, RECORDS), dedup_records(r)
+    assert sorted(x.record_id for x in got.collect()) == sorted(x.record_id for x in want.collect())
 
 
-def test_replayed_batch_leaves_the_same_rows(spark, tables, tmp_path):
+def test_dedup_loses_no_late_record_and_lets_no_old_duplicate_in(spark, make_records, tmp_path):
+    """Days apart in any order: new keys land, known keys never come back."""
+    rows = [("a", "k1", "2024-06-10", "0"), ("b", "k2", "2024-06-01", "1"), ("c", None, "2024-06-01", "1"),
+            ("d", "k1", "2024-06-20", "2"), ("e", "k1", "2024-06-30", "3"), ("f", None, "2020-01-01", "3")]
+    r = make_records(
+        *[{"record_id": i, "dedup_key": k, "created_at": at, "source": s} for i, k, at, s in rows]
+    )
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    drip(r, folder, [F.col("source") == str(s) for s in range(4)])
+    streams.stream_dedup(read_stream(spark, folder, RECORDS), out, str(tmp_path / "cp")).awaitTermination()
+    got = streams.read_landed(spark, out, RECORDS)
+    assert {x.record_id for x in got.collect()} == {"a", "b", "c", "f"}
+
+
+def test_usage_counts_late_calls_and_the_last_window(spark, tmp_path):
+    calls = spark.createDataFrame(
+        [("2024-01-01 10:05:00", "m", 1, 2, 0), ("2024-01-03 10:05:00", "m", 3, 4, 1),
+         ("2024-01-01 10:55:00", "m", 5, 6, 2), ("2024-01-03 10:06:00", "n", 7, 8, 2)],
+        "created_at string, model string, input_tokens long, output_tokens long, part int",
+    ).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    drip(calls, folder, [F.col("part") == i for i in range(3)])
+    live = read_stream(spark, folder, calls.drop("part").schema)
+    streams.stream_usage(live, out, str(tmp_path / "cp")).awaitTermination()
+    got = streams.read_usage(spark, out)
+    want = streams.usage_windows(calls)
+    assert got.count() == want.count() == 3 and got.select(*want.columns).exceptAll(want).count() == 0
+
+
+def extraction(spark, *rows):
+    """Extractions of one person each: (record_id, name, metadata, day, canonical name or None)."""
+    kind = (
+        "record_id string, record_type string, content string, metadata map<string,string>, created_at timestamp, "
+        "entities array<struct<name: string, type: string, metadata: map<string,string>, resolved_to: string, "
+        "canonical_name: string>>, facts array<struct<edge_label: string, fact_type: string, fact: string, "
+        "from_entity: string, to_entity: string, confidence: string, valid_until: string>>, classification string"
+    )
+    from datetime import datetime
+
+    full = []
+    for record, name, bag, day, canonical, label in rows:
+        at = datetime.fromisoformat(day)
+        told = [(name, "person", bag, "ent-known" if canonical else "new", canonical or name)]
+        claim = [("AFFILIATED", "employee", f"{name} works", name, None, "stated", None)]
+        full.append((record, "email", "", {}, at, told, claim, label))
+    return spark.createDataFrame(full, kind)
+
+
+BATCHES = [
+    ("r1", "Ann", {"role": "old", "only": "x"}, "2024-01-01", None, "relevant"),
+    ("r2", "Ann", {"role": "new", "extra": "1"}, "2024-03-01", None, "relevant"),
+    ("r3", "Annie", {}, "2024-02-01", "Ann", "relevant"),
+    ("r4", "Annie", {}, "2024-05-01", "Ann", "relevant"),
+    ("r5", "Bob", {"role": "mid"}, "2024-02-01", None, "noise"),
+    ("r6", "Ann", {"role": "late batch, early time"}, "2023-01-01", None, "relevant"),
+]
+
+
+def test_batches_in_any_order_equal_one_commit(spark, tmp_path):
+    from factloom.operators.build import commit
+
+    now = F.lit("2024-06-01").cast("timestamp")
+    x = extraction(spark, *BATCHES)
+    want = commit(x.filter("classification = 'relevant'"), now)
+
+    def rows(df):
+        return sorted(str(sorted(r.asDict(recursive=True).items(), key=str)) for r in df.collect())
+
+    for n, order in enumerate((range(6), reversed(range(6)), (2, 5, 0, 4, 1, 3))):
+        folder, base = str(tmp_path / f"in{n}"), str(tmp_path / f"out{n}")
+        drip(x, folder, [F.col("record_id") == f"r{i + 1}" for i in order])
+        live = read_stream(spark, folder, x.schema)
+        streams.stream_commit(live, base, str(tmp_path / f"cp{n}"), now).awaitTermination()
+        got = streams.read_committed(spark, base)
+        for name in ("entities", "aliases", "alias_sources", "facts", "fact_sources"):
+            assert rows(getattr(got, name)) == rows(getattr(want, name)), name
+    assert want.entities.first().metadata == {"role": "new", "extra": "1", "only": "x"}
+
+
+def test_second_load_merges_into_the_first(spark):
     from factloom.operators.build import commit
 
-    x = tables.extractions().limit(50)
-    base = str(tmp_path)
     now = F.lit("2024-06-01").cast("timestamp")
-    for batch in (0, 0, 1):
-        made = commit(x, now)
-        for name in ("entities", "aliases", "facts", "fact_sources"):
-            getattr(made, name).write.mode("overwrite").parquet(f"{base}/{name}/batch={batch}")
-    made = commit(x, now)
-    for name in ("entities", "facts", "fact_sources", "aliases"):
-        assert streams.read_committed(spark, base, name).count() == getattr(made, name).count()
+    x = extraction(spark, *BATCHES)
+    early, late = x.filter("created_at < '2024-02-15'"), x.filter("created_at >= '2024-02-15'")
+    got, want = commit(late, now, stored=commit(early, now)), commit(x, now)
+    for name in ("entities", "aliases", "alias_sources", "facts", "fact_sources"):
+        a, b = (
+            sorted(str(sorted(r.asDict(recursive=True).items(), key=str)) for r in getattr(y, name).collect())
+            for y in (got, want)
+        )
+        assert [len(a), a] == [len(b), b], name
