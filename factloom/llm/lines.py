@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.store import stored
+
 BLANKS = " \t\n\x0b\f\r"
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NO_ID = (1 << 63) - 1
@@ -53,6 +55,8 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10)
         held = rows.select("__h", "__g", "__d").distinct().groupBy("__h", "__g")
         found = held.agg(F.min("__d").alias("__first"), F.count("*").alias("__n"))
         found = found.filter(F.col("__n") >= min_docs).drop("__n")
+    # written first: a join in one stage with the aggregate could not be split at a hot line
+    found = stored(found, "repeated-lines")
     dropped = (
         rows.join(found, ["__h", "__g"])
         .filter(F.col("__d") > F.col("__first"))
