@@ -54,8 +54,9 @@ def upsert_issues(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     fields = [
         c for c in incoming.columns if c in stored.columns and c not in ("linear_id", "created_at")
     ]
+    ties = F.xxhash64(*[F.col(c).cast("string") for c in fields])
     latest = top_per_key(
-        incoming, ["linear_id"], [F.col("updated_at").desc_nulls_last()], 1
+        incoming, ["linear_id"], [F.col("updated_at").desc_nulls_last(), ties], 1
     ).withColumn("_arrived", F.lit(True))
     old, new = stored.alias("o"), latest.alias("n")
     merged = old.join(new, F.col("o.linear_id") == F.col("n.linear_id"), "full_outer")
@@ -102,12 +103,14 @@ def mark_manual(records: DataFrame, manual: DataFrame) -> DataFrame:
 def apply_triage(records: DataFrame, decisions: DataFrame) -> DataFrame:
     """Decisions to labels for records that wait for triage.
 
-    A waiting record without a decision becomes uncertain. `op_area` goes into the metadata only
+    Of several decisions the latest by `decided_at` counts, where that column is given. A waiting
+    record without a decision becomes uncertain. `op_area` goes into the metadata only
     where the source did not set it, `reality` if the decision names none.
     """
     waiting = F.col("classification") == "pending_triage"
+    order = [c for c in ("decided_at",) if c in decisions.columns]
     verdict = decisions.groupBy("record_id").agg(
-        F.min(F.struct("classification", "op_area")).alias("_verdict")
+        F.max(F.struct(*order, "classification", "op_area")).alias("_verdict")
     )
     joined = records.join(verdict, "record_id", "left")
     decided = F.coalesce(waiting, F.lit(False)) & F.col("_verdict").isNotNull()

@@ -129,10 +129,13 @@ def shortest_path(
     """Hops of a shortest undirected path over current facts, empty when there is none in reach.
 
     Of several shortest paths the one with the smallest sequence of edge ids is taken: every node
-    keeps only its own smallest sequence, which is a prefix of any smallest longer one.
+    keeps only its own smallest sequence, which is a prefix of any smallest longer one. From a node to
+    itself the path is empty.
     """
     spark = facts.sparkSession
     edges = _edges(facts, include_stale=False, labels=None, need_fact=True)
+    if a == b:
+        return _hops(edges, entities, a, [])
     links = _links(edges, "edge_id")
     reached = small_table(spark, [(a,)], "node string")
     frontier, target = reached, None

@@ -89,10 +89,10 @@ def _flatten_issues(t: Tables):
         || chr(10) || 'Status: ' || status || chr(10) || 'Priority: ' || priority || chr(10)
         || 'Assignee: ' || assignee || chr(10) || 'Project: ' || project || chr(10)
         || 'URL: ' || url || chr(10)
-        || CASE WHEN doc_id % 6 <> 0 AND text <> '' THEN chr(10) || left(text, 2000) ELSE '' END
+        || CASE WHEN doc_id % 6 <> 0 AND text <> '' THEN chr(10) || text ELSE '' END
         || CASE WHEN doc_id % 4 = 1 THEN chr(10) || chr(10) || 'Comments:' || chr(10)
-             || '  [' || project || '] ' || left(text, 500) || chr(10)
-             || '  [] ' || left(left(text, 20), 500) || chr(10) ELSE '' END) AS content_md5,
+             || '  [' || project || '] ' || text || chr(10)
+             || '  [] ' || left(text, 20) || chr(10) ELSE '' END) AS content_md5,
       stamp AS linear_created_at, 'reality' AS op_area FROM issues""",
 )
 def _issue_records(t: Tables):
@@ -200,7 +200,7 @@ def _flatten_prs(t: Tables):
       md5('PR #' || number || ': ' || title || chr(10) || 'Author: ' || author || chr(10)
         || 'State: ' || state || chr(10) || 'Branch: feat/' || lang || ' → main' || chr(10)
         || 'URL: ' || url || chr(10)
-        || CASE WHEN body <> '' THEN chr(10) || left(body, 2000) ELSE '' END) AS content_md5
+        || CASE WHEN body <> '' THEN chr(10) || body ELSE '' END) AS content_md5
     FROM code WHERE doc_id % 2 = 0""",
 )
 def _pr_records(t: Tables):
@@ -215,7 +215,7 @@ def _pr_records(t: Tables):
     f"""WITH {CODE} SELECT CAST(doc_id AS VARCHAR) AS dedup_key,
       md5('Issue #' || number || ': ' || title || chr(10) || 'Author: ' || author || chr(10)
         || 'State: ' || state || chr(10) || 'URL: ' || url || chr(10)
-        || CASE WHEN body <> '' THEN chr(10) || left(body, 2000) ELSE '' END) AS content_md5,
+        || CASE WHEN body <> '' THEN chr(10) || body ELSE '' END) AS content_md5,
       '["' || source || '","' || lang || '"]' AS assignees
     FROM code WHERE doc_id % 2 = 1""",
 )

@@ -16,18 +16,19 @@ from factloom.session import small_table
 ENTITY_TYPES = ("person", "company", "project", "event")
 
 FACT_TYPES = {
-    "AFFILIATED": (
-        "employee contractor advisor board_member founder investor legal_counsel consultant owner "
-        "contributor reviewer stakeholder subsidiary sub_project other"
-    ).split(),
-    "ASSERTED": (
-        "commitment promise decision evaluation opinion concern blocker request update risk goal "
-        "reference other"
-    ).split(),
-    "TRANSITIONED": (
-        "status_change stage_change role_change ownership_change resolution completion "
-        "cancellation other"
-    ).split(),
+    "AFFILIATED": [
+        "employee", "contractor", "advisor", "board_member", "founder", "investor",
+        "legal_counsel", "consultant", "owner", "contributor", "reviewer", "stakeholder",
+        "subsidiary", "sub_project", "other",
+    ],
+    "ASSERTED": [
+        "commitment", "promise", "decision", "evaluation", "opinion", "concern", "blocker",
+        "request", "update", "risk", "goal", "reference", "other",
+    ],
+    "TRANSITIONED": [
+        "status_change", "stage_change", "role_change", "ownership_change", "resolution",
+        "completion", "cancellation", "other",
+    ],
 }
 ALIAS_LABEL = "IDENTIFIED_AS"
 SUPERSEDING_LABELS = ("AFFILIATED", "ASSERTED")

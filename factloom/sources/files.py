@@ -78,7 +78,7 @@ def seed_lines(raw: DataFrame) -> DataFrame:
     kept = lines.filter((F.trim("line") != "") & ~F.startswith(F.trim("line"), F.lit("#")))
     return kept.select(
         "record_id",
-        (F.col("_part") * 1_000_000 + F.col("_line")).alias("position"),
+        (F.shiftleft(F.col("_part").cast("long"), 32) + F.col("_line")).alias("position"),
         "section",
         cells.alias("cells"),
     )

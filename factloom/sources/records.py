@@ -25,8 +25,6 @@ AUTOMATED_SENDERS = (
     "postmaster@",
 )
 BULK_PRECEDENCE = ("bulk", "list", "junk")
-BODY_CHARS = 2000
-COMMENT_CHARS = 500
 FINISHED_STATE = "Done"
 # --- end of fixed values ----------------------------------------------------------------------
 
@@ -61,9 +59,13 @@ def _lines(*pairs: tuple[str, Column]) -> Column:
     return F.concat(*parts)
 
 
-def _cut_body(body: str) -> Column:
+def _up_to(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.left(text, F.lit(chars))
+
+
+def _body(body: str, chars: int | None) -> Column:
     given = F.coalesce(F.col(body), F.lit("")) != ""
-    return F.when(given, F.concat(F.lit("\n"), F.left(body, F.lit(BODY_CHARS)))).otherwise("")
+    return F.when(given, F.concat(F.lit("\n"), _up_to(F.col(body), chars))).otherwise("")
 
 
 def _list_text(column: str) -> Column:
@@ -151,13 +153,16 @@ def flatten_issues(nodes: DataFrame) -> DataFrame:
     )
 
 
-def issue_records(issues: DataFrame) -> DataFrame:
+def issue_records(
+    issues: DataFrame, body_chars: int | None = None, comment_chars: int | None = None
+) -> DataFrame:
+    """Issues with their comments; whole texts unless a number of characters is given."""
     t = text_or_empty
     spoken = F.filter("comments", lambda c: c["body"] != "")
     comment_lines = F.transform(
         spoken,
         lambda c: F.concat(
-            F.lit("  ["), c["author"], F.lit("] "), F.left(c["body"], F.lit(COMMENT_CHARS)), F.lit("\n")
+            F.lit("  ["), c["author"], F.lit("] "), _up_to(c["body"], comment_chars), F.lit("\n")
         ),
     )
     comments = F.when(
@@ -176,7 +181,7 @@ def issue_records(issues: DataFrame) -> DataFrame:
             ("Project: ", t("project")),
             ("URL: ", t("url")),
         ),
-        _cut_body("description"),
+        _body("description", body_chars),
         comments,
     )
     metadata = _bag(
@@ -320,7 +325,7 @@ def _code_metadata(columns: list[str]) -> Column:
     return _bag(**{c: _list_text(c) if c in lists else text_or_empty(c) for c in columns})
 
 
-def pull_request_records(prs: DataFrame) -> DataFrame:
+def pull_request_records(prs: DataFrame, body_chars: int | None = None) -> DataFrame:
     t = text_or_empty
     content = F.concat(
         F.lit("PR #"),
@@ -335,13 +340,13 @@ def pull_request_records(prs: DataFrame) -> DataFrame:
         t("base_branch"),
         F.lit("\n"),
         _lines(("URL: ", t("url"))),
-        _cut_body("body"),
+        _body("body", body_chars),
     )
     metadata = _code_metadata([c for c in prs.columns if c != "body"])
     return _record(prs, "github_pr", content, metadata, t("github_id"))
 
 
-def code_issue_records(issues: DataFrame) -> DataFrame:
+def code_issue_records(issues: DataFrame, body_chars: int | None = None) -> DataFrame:
     t = text_or_empty
     content = F.concat(
         F.lit("Issue #"),
@@ -350,7 +355,7 @@ def code_issue_records(issues: DataFrame) -> DataFrame:
         t("title"),
         F.lit("\n"),
         _lines(("Author: ", t("author")), ("State: ", t("state")), ("URL: ", t("url"))),
-        _cut_body("body"),
+        _body("body", body_chars),
     )
     metadata = _code_metadata([c for c in issues.columns if c != "body"])
     return _record(issues, "github_issue", content, metadata, t("github_id"))
