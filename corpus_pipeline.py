@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from factloom.llm import decontam, jaccard, language, lines, packing
 from factloom.llm.queries import tokenizer_file
+from factloom.llm.store import prepare
 from factloom.session import scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     model = language.fit(docs.filter(~language.held_out(F.col("doc_id"))))
     found = language.identify(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns}), model, "own_text")
     kept = found.filter(~F.col("rejected"))
@@ -29,15 +31,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return jaccard.one_of_each(docs).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.decontaminate(docs, benchmark).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 

@@ -19,7 +19,7 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MARK = np.zeros(256, dtype=bool)
 _MARK[[i for i in (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)) if i != 39]] = True
 
-KEPT_CHUNKS = 3_000_000
+KEPT_CHUNKS = 1_500_000
 
 
 class ChunkEncoder:
@@ -42,8 +42,8 @@ class ChunkEncoder:
 
     def _forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
-        self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.start = np.zeros(0, np.int32)
+        self.size = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,13 +70,13 @@ class ChunkEncoder:
 
     def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
         ids, size = self._encoded(chunks)
-        start = len(self.ids) + np.cumsum(size) - size
+        start = (len(self.ids) + np.cumsum(size) - size).astype(np.int32)
         self.ids = np.concatenate([self.ids, ids])
         hashes = np.concatenate([self.hashes, hashes])
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         self.start = np.concatenate([self.start, start])[order]
-        self.size = np.concatenate([self.size, size])[order]
+        self.size = np.concatenate([self.size, size.astype(np.int32)])[order]
 
     def __call__(self, piece: Piece) -> tuple[np.ndarray, np.ndarray, Words]:
         """All ids of a piece in order, where each row's begin (one more entry than rows), and the chunks."""
@@ -96,7 +96,7 @@ class ChunkEncoder:
             ]
             self._learn(unique[new], chunks)
             place = np.searchsorted(self.hashes, unique)
-        size, start = self.size[place][back], self.start[place][back]
+        size, start = self.size[place][back].astype(np.int64), self.start[place][back]
         total = np.cumsum(size) - size
         n = int(size.sum())
         ids = self.ids[np.repeat(start - total, size) + np.arange(n)]

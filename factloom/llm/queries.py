@@ -7,11 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import attribution, decontam, jaccard, language, lines, packing, repeats, secrets, toxicity, vectors
-
-
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+from factloom.llm.store import read_table
 
 
 def tokenizer_file(name: str) -> str:
@@ -22,43 +18,43 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
-    return language.language_query(_table(spark, folder, "documents"))
+    return language.language_query(read_table(spark, folder, "documents"))
 
 
 def op2_near_embeddings(spark: SparkSession, folder: str) -> DataFrame:
-    return vectors.near_vectors(_table(spark, folder, "embeddings"))
+    return vectors.near_vectors(read_table(spark, folder, "embeddings"))
 
 
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontam.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return decontam.contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
 def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.secret_scan_query(_table(spark, folder, "documents"))
+    return secrets.secret_scan_query(read_table(spark, folder, "documents"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard.similar_sets(_table(spark, folder, "documents"))
+    return jaccard.similar_sets(read_table(spark, folder, "documents"))
 
 
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return attribution.token_count_query(_table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+    return attribution.token_count_query(read_table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
 def op7_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
-    return repeats.repeats_query(_table(spark, folder, "documents"))
+    return repeats.repeats_query(read_table(spark, folder, "documents"))
 
 
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(_table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return packing.pack(read_table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    return toxicity.toxicity_query(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return toxicity.toxicity_query(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
 
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return lines.line_dedup_query(_table(spark, folder, "documents"))
+    return lines.line_dedup_query(read_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

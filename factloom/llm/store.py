@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.session import scratch
 
 
+# Rows of a batch that a Python task gets at once; texts may be long, and an executor holds several batches.
+BATCH_ROWS = "2000"
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table, with the session set for batches of texts."""
+    prepare(spark)
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def prepare(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written once below the shared folder and read from there, so that its size is known."""
     spark = df.sparkSession

@@ -196,7 +196,7 @@ class Matcher:
             place = np.searchsorted(self.hashes, unique)
         weight[at] = self.weight[place][back]
         edits[at] = self.edits[place][back]
-        if len(self.hashes) > 4_000_000:
+        if len(self.hashes) > 2_000_000:
             self.hashes, self.weight, self.edits = self.hashes[:0], self.weight[:0], self.edits[:0]
         return weight, edits
 

@@ -15,7 +15,9 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
+# What a batch used goes back to the system, so that idle workers stay small.
+pa.set_memory_pool(pa.system_memory_pool())
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
