@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.store import bounded_sample
+from factloom.llm.store import bounded_sample, picked, stored
 from factloom.llm.words import Piece, pieces
 
 BUCKETS = 1 << 12
@@ -142,9 +142,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
     """
     known = docs.select("doc_id", "lang").filter("lang is not null and doc_id is not null")
     chosen = bounded_sample(known, "lang", per_language)
-    texts = docs.select("doc_id", "lang", "text").join(
-        chosen.select("doc_id").distinct(), "doc_id", "left_semi"
-    )
+    chosen = stored(chosen.select("doc_id").distinct(), "training-ids")
+    texts = picked(docs.select("doc_id", "lang", "text"), chosen, "doc_id", "left_semi")
     sparse = F.arrow_udf(_sparse, "struct<cell: array<int>, count: array<float>, letters: bigint>")
     rows = (
         texts.filter("lang is not null").select("doc_id", "lang", sparse("text").alias("v"))
