@@ -1,13 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of the passages they hit.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of the passages they hit.
 
-Documents are scanned once for the word trigrams of the test items.  Trigrams that are common for their
-item are no seeds; the others lead to passages, each of which is aligned with its item word by word, so
-that inserted, missing and replaced words cost a little instead of hiding the copy.
+Documents are scanned once for the word trigrams of the test items.  Every passage of a document that holds
+two of an item's trigrams on near diagonals is aligned with the item word by word, so that inserted, missing
+and replaced words cost a little instead of hiding the copy.  How many documents hold a trigram plays no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,46 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.store import stored
-from factloom.llm.words import WORD_BYTES, pieces, shingles, words
+from factloom.llm.words import WORD_BYTES, Words, pieces, shingles, words
 
 GRAM = 3
 LEAST_SCORE = 0.5
-# Up to this many distinct trigrams of the test items (8 bytes each) are sent to the scanning tasks;
-# beyond it the documents' trigrams are joined with them by a shuffle.
+# About this many trigrams of test items (some 30 bytes each) are sent to the scanning tasks at once; of a
+# larger benchmark, shares of the items are sent one after the other, each with a scan of its own.
 SENT_GRAMS = 2_000_000
+# Hits are matched with items in slices of about this many pairs.
+_SLICE = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
-_HITS = pa.schema([("doc", pa.int64()), ("gram", pa.int64()), ("at", pa.int32()), ("first", pa.int8())])
-
-
-def _grams(known: np.ndarray | None):
-    """Scans (row key, text) batches; with `known` (sorted) only those trigrams are given out."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for piece in pieces(batch.column(1)):
-                w = words(piece, WORD_BYTES[piece.data])
-                begin = np.concatenate([[0], np.cumsum(np.bincount(w.row, minlength=piece.rows))])
-                gram, row, at = shingles(w, GRAM, piece.rows)
-                gram = gram.view(np.int64)
-                if known is not None:
-                    place = np.searchsorted(known, gram)
-                    place[place == len(known)] = 0
-                    hit = known[place] == gram if len(known) else np.zeros(len(gram), bool)
-                    gram, row, at = gram[hit], row[hit], at[hit]
-                first = np.zeros(len(gram), np.int8)
-                if len(gram):
-                    order = np.lexsort((at, gram, row))
-                    g, r = gram[order], row[order]
-                    fresh = np.ones(len(g), bool)
-                    fresh[1:] = (g[1:] != g[:-1]) | (r[1:] != r[:-1])
-                    first[order[fresh]] = 1
-                yield pa.record_batch(
-                    [keys[piece.first + row].astype(np.int64), gram, (at - begin[row]).astype(np.int32), first],
-                    schema=_HITS,
-                )
-
-    return scan
+_FOUND = pa.schema(
+    [("doc", pa.int64()), ("item", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]
+)
+_KIND = "doc bigint, item bigint, score double, start bigint, end bigint"
 
 
 def _keyed(df: DataFrame, key: str) -> DataFrame:
@@ -98,13 +73,81 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _aligned(passage: pa.Array, item: pa.Array) -> pa.Array:
-    rows = []
-    for a, b in zip(passage, item, strict=True):
-        x, y = a.values.to_numpy(), b.values.to_numpy()
-        score, start, end = align(x, y)
-        rows.append({"score": score / (MATCH * len(y)), "start": start, "end": end})
-    return pa.array(rows, pa.struct([("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
+class _Bank:
+    """Test items' words, and where in which item each of their trigrams stands."""
+
+    def __init__(self, ids: list[int], spelled: list[np.ndarray]):
+        self.ids, self.words = np.array(ids, dtype=np.int64), spelled
+        self.size = np.array([len(x) for x in spelled], dtype=np.int64)
+        hashes = np.concatenate(spelled).view(np.uint64)
+        w = Words(np.repeat(np.arange(len(spelled)), self.size), np.zeros(0, np.int64), np.zeros(0, np.int64), hashes)
+        gram, item, at = shingles(w, GRAM, len(spelled))
+        order = np.argsort(gram.view(np.int64), kind="stable")
+        gram, self.item = gram.view(np.int64)[order], item[order].astype(np.int64)
+        self.own = (at - np.concatenate([[0], np.cumsum(self.size)])[item])[order].astype(np.int64)
+        self.gram, first = np.unique(gram, return_index=True)
+        self.first = np.concatenate([first, [len(gram)]])
+
+
+def _bands(bank: _Bank, gram: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, band) in which two trigrams of an item stand: diagonals in one of two overlapping rows of bands."""
+    place = np.searchsorted(bank.gram, gram)
+    place[place == len(bank.gram)] = 0
+    hit = np.flatnonzero(bank.gram[place] == gram)
+    place, gram, row, at = place[hit], gram[hit], row[hit], at[hit]
+    count = bank.first[place + 1] - bank.first[place]
+    total = np.concatenate([[0], np.cumsum(count)])
+    done = [np.zeros(0, np.int64)] * 4
+    a = 0
+    while a < len(hit):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + _SLICE, side="right")) - 1)
+        which = np.repeat(np.arange(a, b), count[a:b])
+        entry = np.arange(total[a], total[b]) - total[which] + bank.first[place[which]]
+        item = bank.item[entry]
+        half = np.floor((at[which] - bank.own[entry]) / bank.size[item] * 2).astype(np.int64)
+        pair, g = row[which] * len(bank.ids) + item, gram[which]
+        new = [np.concatenate([x, y]) for x, y in ((pair, pair), (half, half - 1), (g, g), (g, g))]
+        pair, band, low, high = (np.concatenate([x, y]) for x, y in zip(done, new, strict=True))
+        order = np.lexsort((band, pair))
+        pair, band, low, high = pair[order], band[order], low[order], high[order]
+        fresh = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])]))
+        done = [pair[fresh], band[fresh], np.minimum.reduceat(low, fresh), np.maximum.reduceat(high, fresh)]
+        a = b
+    pair, band, low, high = done
+    row, item = pair // len(bank.ids), pair % len(bank.ids)
+    keep = (low < high) | (bank.size[item] <= GRAM + 1)
+    return row[keep], item[keep], band[keep]
+
+
+def _search(bank: _Bank, least: float):
+    """Scans (row key, text) batches and gives out every passage that aligns with an item."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for piece in pieces(batch.column(1)):
+                w = words(piece, WORD_BYTES[piece.data])
+                begin = np.concatenate([[0], np.cumsum(np.bincount(w.row, minlength=piece.rows))])
+                gram, row, at = shingles(w, GRAM, piece.rows)
+                row = row.astype(np.int64)
+                hash = w.hash.view(np.int64)
+                found = []
+                for r, i, band in zip(*_bands(bank, gram.view(np.int64), row, at - begin[row]), strict=True):
+                    size, own = int(bank.size[i]), bank.words[i]
+                    slack = size / 4 + 8
+                    low = max(0, int(np.floor(band * size / 2 - slack)))
+                    high = int(np.ceil((band + 2) * size / 2 + size + slack))
+                    part = hash[begin[r] + low : min(begin[r] + high, begin[r + 1])]
+                    # no alignment scores more than all words of the item that the passage has
+                    if np.isin(own, part).sum() < least * size:
+                        continue
+                    score, start, end = align(part, own)
+                    if score / (MATCH * size) >= least:
+                        found.append((int(keys[piece.first + r]), int(bank.ids[i]), score / (MATCH * size), low + start, low + end))
+                if found:
+                    yield pa.record_batch([np.array(x) for x in zip(*found, strict=True)], schema=_FOUND)
+
+    return scan
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -120,54 +163,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     to_words = F.arrow_udf(_word_array, "array<bigint>")
     spelled = items.select(F.col("k").alias("item"), to_words("text").alias("item_words"))
     spelled = stored(spelled.filter(F.size("item_words") >= GRAM), "items")
-    kind = "doc bigint, gram bigint, at int, first byte"
-    grams = stored(items.mapInArrow(_grams(None), kind).select(F.col("doc").alias("item"), "gram", "at"), "grams")
-    distinct = grams.select("gram").distinct()
     texts = _keyed(docs, "doc_id")
-    if grams.count() <= SENT_GRAMS:
-        known = np.sort(np.array([r["gram"] for r in distinct.collect()], dtype=np.int64))
-        hits = texts.mapInArrow(_grams(known), kind)
-    else:
-        hits = texts.mapInArrow(_grams(None), kind).join(distinct, "gram", "left_semi")
-    hits = stored(hits.select("doc", "gram", "at", "first"), "hits")
-    # how many documents hold each trigram; common for its item: beyond four times the item's median
-    held = hits.groupBy("gram").agg(F.sum("first").alias("n"))
-    known_items = grams.join(spelled.select("item", F.size("item_words").alias("size")), "item")
-    counted = known_items.join(held, "gram")
-    middle = counted.groupBy("item").agg(F.percentile_approx("n", 0.5).alias("middle"))
-    seeds = counted.join(middle, "item").filter(F.col("n") <= 4 * F.col("middle"))
-    seeds = stored(seeds.select("gram", "item", F.col("at").alias("own"), "size"), "seeds")
-    # passages: seeds of one item whose diagonals fall into one of two overlapping rows of bands
-    diagonal = F.col("at") - F.col("own")
-    half = F.floor(diagonal / F.col("size") * 2)
-    bands = (
-        hits.join(seeds, "gram")
-        .select("doc", "item", "size", "gram", F.explode(F.array(half, half - 1)).alias("band"))
-        .groupBy("doc", "item", "size", "band")
-        .agg(F.min("gram").alias("low"), F.max("gram").alias("high"))
-        .filter((F.col("low") < F.col("high")) | (F.col("size") <= GRAM + 1))
-    )
-    slack = F.col("size") / 4 + 8
-    begin = F.greatest(F.lit(0), F.floor(F.col("band") * F.col("size") / 2 - slack)).cast("int")
-    end = F.ceil((F.col("band") + 2) * F.col("size") / 2 + F.col("size") + slack).cast("int")
-    wanted = bands.select("doc", F.struct("item", begin.alias("begin"), end.alias("end")).alias("w"))
-    wanted = stored(wanted.groupBy("doc").agg(F.collect_set("w").alias("w")), "passages")
-    passages = (
-        texts.withColumnRenamed("k", "doc").join(wanted, "doc")
-        .select("doc", "w", to_words("text").alias("all"))
-        .select("doc", "all", F.explode("w").alias("w"))
-        .select("doc", "w.item", "w.begin", F.slice("all", F.col("w.begin") + 1, F.col("w.end") - F.col("w.begin")).alias("part"))
-    )
-    aligned = F.arrow_udf(_aligned, "struct<score: double, start: bigint, end: bigint>")
-    found = passages.join(spelled, "item").select("doc", "item", "begin", aligned("part", "item_words").alias("a"))
-    best = F.max(F.struct(F.col("a.score").alias("score"), (-F.col("begin") - F.col("a.start")).alias("s"), (F.col("begin") + F.col("a.end")).alias("end")))
-    out = found.filter(F.col("a.score") >= least).groupBy("doc", "item").agg(best.alias("b"))
+    count, grams = spelled.agg(F.count("*"), F.sum(F.size("item_words") - GRAM + 1)).first()
+    shares = min(count, -(-(grams or 0) // max(1, SENT_GRAMS)))
+    parts = []
+    for k in range(shares):
+        own = spelled.filter(F.pmod(F.xxhash64("item", "item_words"), F.lit(shares)) == k).collect()
+        if own:
+            bank = _Bank([r["item"] for r in own], [np.array(r["item_words"], dtype=np.int64) for r in own])
+            parts.append(stored(texts.mapInArrow(_search(bank, least), _KIND), "found"))
+    found = reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], _KIND)
+    best = F.max(F.struct("score", (-F.col("start")).alias("s"), "end"))
+    out = found.groupBy("doc", "item").agg(best.alias("b"))
     return out.select(
         F.col("doc").alias("doc_id"),
         F.col("item").alias("item_id"),
         F.col("b.score").alias("score"),
-        (-F.col("b.s")).cast("long").alias("start"),
-        F.col("b.end").cast("long").alias("end"),
+        (-F.col("b.s")).alias("start"),
+        F.col("b.end").alias("end"),
     )
 
 

@@ -84,6 +84,15 @@ def test_copies_are_found_and_clean_documents_are_not(spark, benchmark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - set(want)
 
 
+def test_copies_edited_alike_are_found_however_many_they_are(spark):
+    item = prose(4100, 40)
+    edited = " ".join(prose(7000 + k, 1) if k % 5 == 4 else word for k, word in enumerate(item.split()))
+    rows = [(0, f"{prose(1, 40)} {item}")] + [(k, f"{prose(k, 40)} {edited} {prose(800 + k, 9)}") for k in range(1, 61)]
+    benchmark = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    got = rows_by_id(decontam.contaminated(documents(spark, rows), benchmark))
+    assert set(got) == set(range(61)) and all(0.5 < got[k]["score"] < 1 for k in range(1, 61))
+
+
 def test_large_benchmarks_are_joined_and_empty_tables_work(spark, benchmark, monkeypatch):
     docs = documents(spark, [(1, prose(1004, 30) + " end"), (2, prose(3, 50))])
     sent = decontam.contaminated(docs, benchmark).collect()
