@@ -4,8 +4,9 @@ Vectors of one label are clustered into shards of bounded size; a vector near a
 Each shard builds a graph in which a node keeps a neighbour only if no kept one is clearly closer to it.
 The adjacency lists of all shards are united, and every vector searches over the united lists:
 greedily from its home shard's medoids, then, range-expanding, through all nodes within the similarity.  Pairs
-are verified in double precision, and a bounded set of queries is compared with all vectors to audit the
-recall; below the target the borders and the beam are widened.
+are verified in double precision, and bounded sets of queries are compared with all vectors to audit the
+recall of each label; labels below the target are searched again with wider borders and beam, and those that
+stay below it are compared exactly, block with block.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ LEVELS = 8
 SAMPLE = 2_048
 AUDIT_QUERIES = 200
 RECALL = 0.9
+# So many queries are sent to the audit of all labels at most.
+AUDIT_ROWS = 4_000
 
 
 @dataclass(frozen=True)
@@ -327,36 +330,158 @@ def _pairs(vectors: DataFrame, how: Search, least: float) -> DataFrame:
     return stored(pairs.distinct(), "pairs")
 
 
-def audit_recall(vectors: DataFrame, pairs: DataFrame, least: float = SIMILAR, queries: int = AUDIT_QUERIES) -> float:
-    """Share of the true pairs of a bounded set of queries (by hash order) that were found; 1 if there are none."""
-    chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(queries).select("id", "label", "v").collect()
-    if not chosen:
-        return 1.0
+def _audited(vectors: DataFrame, pairs: DataFrame, chosen: list, least: float) -> dict[str, tuple[int, int]]:
+    """True pairs of the chosen queries, and how many of them were found, by label."""
     own = np.array([r["id"] for r in chosen])
     labels = np.array([str(r["label"]) for r in chosen])
-    wanted = _matrix(pa.array([r["v"] for r in chosen], pa.list_(pa.float64())))
+    wanted = [_matrix(pa.array([r["v"]], pa.list_(pa.float64())))[0] for r in chosen]
+    groups = {}
+    for name in np.unique(labels):
+        at = np.flatnonzero(labels == name)
+        groups[str(name)] = own[at], np.stack([wanted[i] for i in at])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy()
-            same = np.array(batch.column(1).to_pylist())[:, None] == labels[None, :]
-            width = np.array([len(v) for v in batch.column(2)])
-            found = []
-            for w in np.unique(width[width == wanted.shape[1]]):
-                at = np.flatnonzero(width == w)
-                s = _matrix(batch.column(2).take(pa.array(at))) @ wanted.T
-                r, c = np.nonzero((s >= least) & same[at] & (ids[at][:, None] != own[None, :]))
-                found.append((np.minimum(ids[at[r]], own[c]), np.maximum(ids[at[r]], own[c])))
-            a = np.concatenate([*(f[0] for f in found), np.zeros(0, np.int64)])
-            b = np.concatenate([*(f[1] for f in found), np.zeros(0, np.int64)])
-            yield pa.record_batch([a.astype(np.int64), b.astype(np.int64)], names=["a", "b"])
-
-    true = vectors.select("id", F.col("label").cast("string"), "v").mapInArrow(compare, "a bigint, b bigint")
+            label = np.array(batch.column(1).to_pylist())
+            for name in np.unique(label):
+                if name not in groups:
+                    continue
+                asked, q = groups[name]
+                at = np.flatnonzero(label == name)
+                s = _matrix(batch.column(2).take(pa.array(at))) @ q.T
+                r, c = np.nonzero((s >= least) & (ids[at][:, None] != asked[None, :]))
+                a, b = np.minimum(ids[at[r]], asked[c]), np.maximum(ids[at[r]], asked[c])
+                yield pa.record_batch(
+                    [a.astype(np.int64), b.astype(np.int64), pa.array([str(name)] * len(a), pa.string())],
+                    names=["a", "b", "label"],
+                )
+
+    true = vectors.select("id", F.col("label").cast("string"), "v").mapInArrow(compare, "a bigint, b bigint, label string")
     true = stored(true.distinct(), "audit")
-    n, hit = true.count(), true.join(pairs, ["a", "b"], "left_semi").count()
-    return hit / n if n else 1.0
+    hit = true.join(pairs.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
+    counts = hit.groupBy("label").agg(F.count("*").alias("n"), F.count("hit").alias("found")).collect()
+    return {r["label"]: (r["n"], r["found"]) for r in counts}
+
+
+def audit_recall(vectors: DataFrame, pairs: DataFrame, least: float = SIMILAR, queries: int = AUDIT_QUERIES) -> float:
+    """Share of the true pairs of a bounded set of queries (by hash order) that were found; 1 if there are none."""
+    chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(queries).select("id", "label", "v").collect()
+    counts = _audited(vectors, pairs, chosen, least) if chosen else {}
+    n = sum(c[0] for c in counts.values())
+    return sum(c[1] for c in counts.values()) / n if n else 1.0
+
+
+def missed_labels(vectors: DataFrame, pairs: DataFrame, least: float, queries: int = AUDIT_QUERIES) -> list[str]:
+    """Labels whose recall is under the target, by up to `queries` queries of each (of fewer, if labels are very many)."""
+    labels = vectors.select("label").distinct().count()
+    if not labels:
+        return []
+    each = max(4, min(queries, AUDIT_ROWS // labels))
+    chosen = bounded_sample(vectors.select("id", "label", "v"), "label", each, "id").orderBy(F.xxhash64("id"), "id")
+    counts = _audited(vectors, pairs, chosen.limit(AUDIT_ROWS).collect(), least)
+    return sorted(name for name, (n, found) in counts.items() if found < RECALL * n)
+
+
+def _block(table: pa.Table) -> pa.Table:
+    """A block's centre and the largest chord from it to a member."""
+    x = _matrix(table.column("v"))
+    c = x.mean(axis=0)
+    norm = np.linalg.norm(c)
+    c = c / norm if norm else x[0]
+    radius = float(np.sqrt(np.maximum(0, 2 - 2 * (x @ c))).max())
+    return pa.table(
+        {"label": table.column("label").slice(0, 1), "block": table.column("block").slice(0, 1),
+         "centre": pa.array([c], pa.list_(pa.float64())), "radius": [radius]}
+    )
+
+
+def _compared(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        """All pairs of two blocks: links of each vector (`a`, `n`), and edges (`a`, `b`) that join the same vectors."""
+        ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
+        x, side = _matrix(table.column("v")), table.column("side").to_numpy()
+        left = np.flatnonzero(side == 0)
+        same = bool(table.column("x")[0].as_py() == table.column("y")[0].as_py())
+        right = left if same else np.flatnonzero(side == 1)
+        near = np.empty((len(left), len(right)), bool)
+        for a in range(0, len(left), 512):
+            near[a : a + 512] = x[left[a : a + 512]] @ x[right].T >= least
+        if same:
+            np.fill_diagonal(near, False)
+        node, links = [left], [np.array([copies[right][r].sum() for r in near], dtype=np.int64)]
+        if not same:
+            node.append(right)
+            links.append(np.array([copies[left][r].sum() for r in near.T], dtype=np.int64))
+        node, links = np.concatenate(node), np.concatenate(links)
+        some = links > 0
+        # from each left vector not yet reached, all that is connected with it
+        from_, to = [], []
+        open_l, open_r = near.any(axis=1), np.ones(len(right), bool)
+        for start in np.flatnonzero(open_l):
+            if not open_l[start]:
+                continue
+            wave = np.array([start])
+            open_l[start] = False
+            if same:
+                open_r[start] = False
+            while len(wave):
+                over = np.flatnonzero(near[wave].any(axis=0) & open_r)
+                open_r[over] = False
+                to.append(ids[right[over]])
+                if same:
+                    open_l[over] = False
+                    wave = over
+                else:
+                    wave = np.flatnonzero(near[:, over].any(axis=1) & open_l)
+                    open_l[wave] = False
+                    to.append(ids[left[wave]])
+                from_.append(np.full(sum(map(len, to)) - sum(map(len, from_)), ids[left[start]]))
+        a = np.concatenate([*from_, np.zeros(0, np.int64)])
+        b = np.concatenate([*to, np.zeros(0, np.int64)])
+        return pa.table(
+            {
+                "a": np.concatenate([ids[node][some], a]),
+                "b": pa.array([*[None] * int(some.sum()), *b.tolist()], pa.int64()),
+                "n": np.concatenate([links[some], np.zeros(len(a), np.int64)]),
+            }
+        )
+
+    return run
+
+
+def exact_links(vectors: DataFrame, copies: DataFrame, how: Search, least: float) -> tuple[DataFrame, DataFrame]:
+    """`a`, `others` (links of each vector, counting copies) and edges `a`, `b` that give the same components.
+
+    Home shards, salted to at most about `how.shard` vectors, are blocks; every pair of blocks of a label that
+    can hold a pair within reach, by centre and radius, is compared as a whole in a task of its own.
+    """
+    home = _shards(vectors, how).filter("home").select("shard", "id")
+    home = stored(home.join(vectors, "id").join(copies.withColumnRenamed("b", "id"), "id"), "home")
+    sizes = home.groupBy("shard").agg(F.ceil(F.count("*") / how.shard).alias("salts"))
+    block = F.xxhash64("shard", F.pmod(F.xxhash64("id", F.lit(5)), F.col("salts"))).alias("block")
+    rows = stored(home.join(sizes, "shard").select(F.col("label").cast("string").alias("label"), block, "id", "v", "copies"), "blocks")
+    kind = "label string, block bigint, centre array<double>, radius double"
+    blocks = stored(rows.groupBy("block").applyInArrow(_block, kind), "centres")
+
+    @F.arrow_udf("double")
+    def chord(p: pa.Array, q: pa.Array) -> pa.Array:
+        x, y = _matrix(p), _matrix(q)
+        return pa.array(np.sqrt(np.maximum(0, 2 - 2 * np.einsum("kd,kd->k", x, y))))
+
+    one = blocks.select("label", F.col("block").alias("x"), F.col("centre").alias("p"), F.col("radius").alias("r"))
+    two = blocks.select("label", F.col("block").alias("y"), F.col("centre").alias("q"), F.col("radius").alias("s"))
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
+    both = one.join(two, "label").filter("x <= y").withColumn("d", chord("p", "q"))
+    both = stored(both.filter((F.col("x") == F.col("y")) | (F.col("d") <= F.col("r") + F.col("s") + reach)).select("x", "y"), "block-pairs")
+    sides = both.select("x", "y", F.col("x").alias("block"), F.lit(0).alias("side"))
+    sides = sides.union(both.filter("x < y").select("x", "y", F.col("y").alias("block"), F.lit(1).alias("side")))
+    sent = rows.select("block", "id", "v", "copies").join(sides, "block").select("x", "y", "side", "id", "v", "copies")
+    out = stored(sent.groupBy("x", "y").applyInArrow(_compared(least), "a bigint, b bigint, n bigint"), "compared")
+    links = out.filter("b is null").groupBy("a").agg(F.sum("n").alias("others"))
+    return links, out.filter("b is not null").select("a", "b")
 
 
 def near_vectors(embeddings: DataFrame, least: float = SIMILAR, how: Search | None = None) -> DataFrame:
@@ -386,16 +511,26 @@ def near_vectors(embeddings: DataFrame, least: float = SIMILAR, how: Search | No
     heads = classes.select(F.col("rep").alias("id"), "h1", "h2")
     vectors = rows.join(heads, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).select("id", "label", "v")
     vectors = stored(vectors, "vectors")
-    pairs = _pairs(vectors, how, least)
-    for _ in range(2):
-        if audit_recall(vectors, pairs, least) >= RECALL:
+    copies = stored(classes.select(F.col("rep").alias("b"), "copies"), "copies")
+    pairs, missed = _pairs(vectors, how, least), None
+    edges = counted = None
+    for attempt in range(3):
+        labels = missed_labels(vectors, pairs, least) if missed is None else missed_labels(missed, pairs, least)
+        if not labels:
             break
-        how = how.wider()
-        pairs = stored(pairs.union(_pairs(vectors, how, least)).distinct(), "pairs")
+        missed = stored(vectors.filter(F.col("label").cast("string").isin(labels)), "missed")
+        if attempt < 2:
+            how = how.wider()
+            pairs = stored(pairs.union(_pairs(missed, how, least)).distinct(), "pairs")
+        else:
+            # the exact counts take the place of what was found in these labels
+            counted, edges = exact_links(missed, copies, how, least)
+            pairs = stored(pairs.join(missed.select(F.col("id").alias("a")), "a", "left_anti"), "pairs")
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = classes.select(F.col("rep").alias("b"), "copies")
     links = both.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    reached = components(pairs)
+    if counted is not None:
+        links = links.union(counted)
+    reached = components(pairs if edges is None else pairs.select("a", "b").union(edges))
     member = first.join(classes, ["h1", "h2"]).select("id", "rep", "copies")
     member = member.join(links, member["rep"] == links["a"], "left").drop("a")
     member = member.join(reached.withColumnRenamed("id", "node"), F.col("rep") == F.col("node"), "left")

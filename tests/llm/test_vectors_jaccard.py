@@ -77,6 +77,34 @@ def test_vectors_against_brute_force(spark):
     assert [(r["n_links"], r["component_id"]) for r in lonely] == [(0, None)]
 
 
+def test_a_dense_group_of_unequal_vectors_keeps_its_links(spark, monkeypatch):
+    # no search at all stands for one that misses; two labels, one of which the graph serves well
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=24)
+    rows = [(k, [float(v) for v in (base + rng.normal(size=24) * 0.12).astype(np.float32)], 5) for k in range(900)]
+    rows += [(1000 + k, [float(v) for v in rng.normal(size=24).astype(np.float32)], 5) for k in range(300)]
+    rows += [(2000 + k, rows[3][1], 5) for k in range(4)] + [(3000 + k, rows[k // 2][1], 6) for k in range(20)]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    near = (x @ x.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    ids = [r[0] for r in rows]
+    want = groups(ids, [(ids[a], ids[b]) for a, b in np.argwhere(near)])
+    real, asked = vectors._pairs, []
+
+    def lossy(own, how, least):
+        asked.append(own.count())
+        return real(own, how, least).filter("a % 7 = b % 7 or a >= 3000")
+
+    monkeypatch.setattr(vectors, "_pairs", lossy)
+    df = spark.createDataFrame([(*r, "x", "x", "x", "x") for r in rows], VECTORS)
+    got = rows_by_id(vectors.near_vectors(df, how=vectors.Search(shard=200)), "vec_id")
+    assert asked[1:] == [1200, 1200] and asked[0] > 1200
+    assert {i: got[i]["n_links"] for i in ids} == dict(zip(ids, near.sum(axis=1).tolist()))
+    assert {i: got[i]["component_id"] for i in ids} == want
+
+
 def test_vectors_of_an_empty_table(spark):
     assert vectors.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
