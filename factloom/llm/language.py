@@ -2,7 +2,8 @@
 
 A text is a TF-IDF vector of hashed letter bigrams and trigrams, scaled to length one.  Each language has
 a few centroids from spherical k-means, and a text gets the language of the centroid with the highest
-cosine.  A text farther from it than that centroid's own members reach is marked as rejected.
+cosine.  A text is marked as rejected if it is much farther from it than that language's own texts of the
+same length are; medians tell how far that is, so that junk among the training rows does not.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ BUCKETS = 1 << 12
 PER_LANGUAGE = 600
 CENTROIDS = 4
 UNKNOWN = "und"
-# A text is rejected below this share of what all but 1 % of a language's own texts reach; texts with
-# fewer letters than FULL_LENGTH have fewer grams to agree in and must reach less.
-REACH = 0.25
-FULL_LENGTH = 200
+# A text is rejected below this share of the median cosine of its language's own texts cut to as many letters.
+TYPICAL = 1 / 3
+# The numbers of letters to which texts are cut, and how many texts of each language at most and at least.
+BANDS = 8 << np.arange(10)
+CUT_TEXTS = 100
+LEAST_TEXTS = 10
 _ROWS = 512
 
 
@@ -95,13 +98,38 @@ def unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Centroids (one line each, length one), their languages, the least cosine each accepts, and the IDF."""
+    """Centroids (one line each, length one), their languages, the least cosine each accepts at each of BANDS, and the IDF."""
 
     languages: list[str]
     centroids: np.ndarray
     least: np.ndarray
     idf: np.ndarray
 
+    def limits(self, best: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The least cosine that centroids accept of texts of so many letters."""
+        at = np.log2(np.maximum(letters, 1) / BANDS[0])
+        low = np.clip(np.floor(at), 0, len(BANDS) - 2).astype(int)
+        part = np.clip(at - low, 0, 1)
+        limit = self.least[best, low] * (1 - part) + self.least[best, low + 1] * part
+        return limit * np.minimum(1.0, letters / BANDS[0]) ** 0.5
+
+
+def _limits(texts: list[str], centroids: np.ndarray, idf: np.ndarray) -> list[float]:
+    """Least cosines at BANDS; where too few texts are long enough, that of the band before."""
+    places = [[i for i, ch in enumerate(t) if ch.isalpha()] for t in texts]
+    out: list[float] = []
+    for n in BANDS.tolist():
+        cut = [t[: p[n - 1] + 1] for t, p in zip(texts, places, strict=True) if len(p) >= n]
+        if len(cut) < min(LEAST_TEXTS, len(texts)):
+            if out:
+                out.append(out[-1])
+                continue
+            cut = texts
+        counts = [gram_counts(piece)[0] for piece in pieces(pa.array(cut), max_rows=_ROWS)]
+        reach = np.concatenate([(unit(c, idf) @ centroids.T).max(axis=1) for c in counts])
+        out.append(TYPICAL * float(np.median(reach)))
+    return out
+
 
 def _centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means from far-apart starts; deterministic."""
@@ -146,7 +174,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
     texts = picked(docs.select("doc_id", "lang", "text"), chosen, "doc_id", "left_semi")
     sparse = F.arrow_udf(_sparse, "struct<cell: array<int>, count: array<float>, letters: bigint>")
     rows = (
-        texts.filter("lang is not null").select("doc_id", "lang", sparse("text").alias("v"))
+        texts.filter("lang is not null")
+        .select("doc_id", "lang", sparse("text").alias("v"), F.substring("text", 1, 2 * int(BANDS[-1])).alias("head"))
         .filter("v.letters > 0").collect()
     )
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["v"]["letters"]))
@@ -162,10 +191,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
     for name in sorted(set(names)):
         own = x[names == name]
         c = _centroids(own, centroids)
-        reach = (own @ c.T).max(axis=1)
+        heads = [r["head"] for r in rows if r["lang"] == name]
         languages += [str(name)] * len(c)
         found.append(c)
-        least += [REACH * float(np.quantile(reach, 0.01))] * len(c)
+        least += [_limits(heads[:: -(-len(heads) // CUT_TEXTS)], c, idf)] * len(c)
     return Model(languages, np.concatenate(found).astype(np.float32), np.array(least, np.float32), idf)
 
 
@@ -190,9 +219,10 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
             near = unit(counts, model.idf) @ model.centroids.T
             best = np.argmax(near, axis=1)
             score = np.clip(near[np.arange(len(best)), best], 0, 1)
-            for b, s, n in zip(best, score, letters, strict=True):
+            limit = model.limits(best, letters)
+            for b, s, n, least in zip(best, score, letters, limit, strict=True):
                 if n:
-                    rows.append({"lang": names[b], "score": float(s), "rejected": bool(s < model.least[b] * min(1.0, n / FULL_LENGTH) ** 0.5)})
+                    rows.append({"lang": names[b], "score": float(s), "rejected": bool(s < least)})
                 else:
                     rows.append({"lang": UNKNOWN, "score": 0.0, "rejected": True})
         return pa.array(rows, kind)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import random
 import re
 
 import pytest
@@ -48,6 +49,22 @@ def test_nearest_language_and_rejection(spark, two_languages):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_foreign_text_in_a_known_script_is_rejected(spark):
+    north = "the and ing her that was with ent ion for his ter"
+    south = "che della non per con una sono gli alla piu come ato"
+    rows = [(i, prose(i, 40 + i * 3, north), "north") for i in range(100)]
+    rows += [(200 + i, prose(i, 40 + i * 3, south), "south") for i in range(100)]
+    rows += [(400 + i, "zq " * (5 + i), "north") for i in range(3)]  # junk among the training rows
+    model = language.fit(documents(spark, rows))
+    rng = random.Random(3)
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(n)) for n in (100, 541, 3375) for _ in range(5)]
+    own = [prose(900 + i, n, which) for i, n in enumerate((6, 20, 100, 900)) for which in (north, south)]
+    unseen = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto"
+    asked = [(i, t) for i, t in enumerate([*noise, unseen, unseen * 6])] + [(100 + i, t) for i, t in enumerate(own)]
+    got = rows_by_id(language.identify(documents(spark, asked), model))
+    assert all(r["rejected"] == (i < 100) for i, r in got.items())
+
+
 def test_language_learns_from_nothing(spark):
     empty = documents(spark, [])
     assert language.fit(empty) is None
