@@ -2,7 +2,7 @@
 
 The lexicon holds words that labelled toxic documents use far more often than others.  A Levenshtein
 automaton is intersected with the lexicon's trie, determinised as it is used, and finds terms within one
-edit (two in long terms).  Windows around the hits tell how dense they are and whether they stand in
+edit (two in long terms), also if digits or marks stand between a word's letters.  Windows around the hits tell how dense they are and whether they stand in
 quotation marks, which speaks for quotation rather than abuse; a logistic regression weighs it all.
 """
 
@@ -24,12 +24,18 @@ TRAINING_ROWS = 8_000
 LEXICON_SIZE = 2_000
 WINDOW = 25
 FUZZY_FROM = 5
-TWO_EDITS_FROM = 12
+TWO_EDITS_FROM = 9
 # What a misspelled term counts for, of what the term itself does.
 MISSPELLED = 0.7
 _EVIDENCE = 12.0
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+# Digits and marks that may stand for a letter inside a word; at most MOST_EDITS in all.
+_MARK = np.zeros(256, dtype=bool)
+_MARK[33:127] = True
+_MARK[_LETTER] = False
+_MARK[ord('"')] = False
+MOST_EDITS = 2
 
 
 def _quote_marks(data: np.ndarray) -> np.ndarray:
@@ -213,6 +219,38 @@ def _matcher(terms: dict[str, float]) -> Matcher:
     return _MATCHERS[key]
 
 
+def _joined(data: np.ndarray, w: Words, weight: np.ndarray, edits: np.ndarray, matcher: Matcher) -> None:
+    """Terms written with up to MOST_EDITS digits or marks between letters, put to the first of their pieces.
+
+    Pieces that are terms by themselves stay so.
+    """
+    gap = w.start[1:] - w.end[:-1]
+    close = np.flatnonzero((w.row[1:] == w.row[:-1]) & (gap >= 1) & (gap <= MOST_EDITS))
+    inside = np.concatenate([[0], np.cumsum(_MARK[data])])
+    close = close[inside[w.start[close + 1]] - inside[w.end[close]] == gap[close]]
+    if not len(close):
+        return
+    joins = np.zeros(len(w.hash), bool)
+    joins[close] = True
+    two = close[(gap[close] == 1) & joins[np.minimum(close + 1, len(joins) - 1)]]
+    two = two[gap[two + 1] == 1]
+    first, last = np.concatenate([close, two]), np.concatenate([close + 1, two + 2])
+    free = np.concatenate([[0], np.cumsum(weight > 0)])
+    some = (free[last + 1] == free[first]) & (w.end[last] - w.start[first] <= matcher.longest)
+    first, last = first[some], last[some]
+    if not len(first):
+        return
+    start, end = w.start[first], w.end[last]
+    more = Words(w.row[first], start, end, span_hashes(running(data), start, end))
+    found, how_far = matcher(data, more)
+    taken = np.zeros(len(w.hash), bool)
+    hits = np.flatnonzero(found > 0)
+    for k in hits[np.lexsort((first[hits], how_far[hits]))]:
+        if not taken[first[k] : last[k] + 1].any():
+            taken[first[k] : last[k] + 1] = True
+            weight[first[k]], edits[first[k]] = found[k], how_far[k]
+
+
 FEATURES = ("hits", "misspelled", "quoted", "weight", "dense", "share")
 
 
@@ -222,6 +260,7 @@ def features(column: pa.Array, matcher: Matcher) -> np.ndarray:
     for piece in pieces(column):
         w = words(piece, _LETTER[piece.data])
         weight, edits = matcher(piece.data, w)
+        _joined(piece.data, w, weight, edits, matcher)
         at = np.flatnonzero(weight > 0)
         if not len(at):
             continue

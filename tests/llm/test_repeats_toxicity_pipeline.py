@@ -8,6 +8,7 @@ import random
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_helpers import documents, prose, rows_by_id
 from pyspark.sql import functions as F
@@ -132,6 +133,18 @@ def toxic_rows():
     return rows, labels
 
 
+def test_two_edits_in_nine_letters_and_marks_between_letters():
+    matcher = toxicity.Matcher({"blorgface": 3.0, "snarfwits": 3.0, "mudwump": 3.0, "grub": 3.0})
+    hit = ["blrgfce", "xblorgfacey", "snarfwits", "bl0rgf4ce", "bl0rgface", "m*dwump", "mudw@mp", "mud-wump", "sn--rfwits", "blorg7ace now"]
+    miss = ["m*dw*mp", "gr*b", "mud wump", 'mud"wump', "b10rgf4ce", "mud, wump", "blorg 7ace", "12 !! 3a4", "a-b-c-d-e"]
+    for word in hit + miss:
+        out = toxicity.features(pa.array([f"some words {word} and more", None]), matcher)
+        assert (out[0, 0] > 0) == (word in hit), word
+        assert not out[1].any()
+    once = toxicity.features(pa.array(["mudwump-like mudwump"]), matcher)[0, 0]
+    assert once == np.log1p(2)
+
+
 def test_toxicity_learns_misspellings_and_quotation(spark):
     rows, labels = toxic_rows()
     marks = spark.createDataFrame([*labels, (None, 1, 1), (3, 0, None), (7, 1, 0)], "doc_id bigint, quality int, toxic int")
