@@ -156,8 +156,12 @@ def prose_sections(text: Column) -> Column:
 
 
 def token_count_query(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Per document and section (null: outside all): tokens, and those that cross a border."""
+    """Per document and section (null: outside all): tokens, and those that cross a border.
+
+    A document without tokens has one row: no section, and counts of 0.
+    """
     rows = token_counts(docs.select("doc_id", "text"), prose_sections(F.col("text")), tokenizer)
-    return rows.select("doc_id", F.explode("tokens").alias("t")).select(
-        "doc_id", "t.section", "t.n_tokens", "t.n_crossing"
+    count = lambda name: F.coalesce(f"t.{name}", F.lit(0).cast("bigint")).alias(name)
+    return rows.select("doc_id", F.explode_outer("tokens").alias("t")).select(
+        "doc_id", "t.section", count("n_tokens"), count("n_crossing")
     )

@@ -232,3 +232,11 @@ def test_counts_add_up_to_the_tokens(spark):
     assert attribution.token_count_query(documents(spark, []), path).count() == 0
     with pytest.raises(ValueError):
         attribution.token_counts(docs, F.col("own"), path, rule="half")
+
+
+def test_documents_without_tokens_have_a_row_of_zero(spark):
+    path = tokenizer_file("byte_bpe_50k.tiktoken")
+    out = attribution.token_count_query(documents(spark, [(1, None), (2, ""), (3, "some words")]), path).collect()
+    empty = sorted(tuple(r) for r in out if r["doc_id"] < 3)
+    assert empty == [(1, None, 0, 0), (2, None, 0, 0)]
+    assert sum(r["n_tokens"] for r in out if r["doc_id"] == 3) > 0
