@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import attribution, decontam, jaccard, language, lines, packing, repeats, secrets, toxicity, vectors
+from factloom.llm import (
+    attribution,
+    decontam,
+    jaccard,
+    language,
+    lines,
+    merkle,
+    packing,
+    repeats,
+    secrets,
+    topk,
+    toxicity,
+    vectors,
+)
 from factloom.llm.store import read_table
 
 
@@ -57,6 +70,14 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_dedup_query(read_table(spark, folder, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest_query(read_table(spark, folder, "documents"))
+
+
+def op12_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k_query(read_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_near_embeddings": op2_near_embeddings,
@@ -68,6 +89,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_top_k": op12_top_k,
 }
 
-SQL: dict[str, str] = {"op10_line_dedup": lines.ORACLE}
+SQL: dict[str, str] = {
+    "op10_line_dedup": lines.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op12_top_k": topk.ORACLE,
+}
