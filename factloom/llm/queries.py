@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import (
+    aligned,
     attribution,
     decontam,
     jaccard,
@@ -78,6 +79,11 @@ def op12_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k_query(read_table(spark, folder, "embeddings"))
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return aligned.alignment_query(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_near_embeddings": op2_near_embeddings,
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_top_k": op12_top_k,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 SQL: dict[str, str] = {
