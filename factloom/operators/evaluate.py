@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.columns import harmonic, ratio, text_or_empty
+from factloom.operators.grouped import cumulative_at
 
 FACT_KEY = ("edge_label", "fact_type", "from_entity", "to_entity")
 LABELS = ("AFFILIATED", "ASSERTED", "TRANSITIONED")
@@ -183,6 +184,58 @@ def confidence_mismatches(extracted: DataFrame, expected: DataFrame) -> DataFram
     )
 
 
+def _fact_counts(extracted: DataFrame, expected: DataFrame) -> DataFrame:
+    """Per key: facts matched, extracted and expected, and pairs of equal facts that differ in confidence.
+
+    Of n extracted and m expected facts of a key n * m pairs are equal, less those of equal confidence.
+    """
+    keys = _record_fact_keys()
+
+    def told(df: DataFrame, side: int) -> DataFrame:
+        named = [column.alias(name) for name, column in keys.items()]
+        confidence = text_or_empty("confidence").alias("_confidence")
+        return df.select(*named, confidence, F.lit(1 - side).alias("_got"), F.lit(side).alias("_want"))
+
+    each = told(extracted, 0).unionByName(told(expected, 1)).groupBy(*keys, "_confidence")
+    each = each.agg(F.sum("_got").alias("_got"), F.sum("_want").alias("_want"))
+    got, want = F.sum("_got"), F.sum("_want")
+    return each.groupBy(*keys).agg(
+        F.least(got, want).alias("fact_matched"),
+        got.alias("fact_extracted"),
+        want.alias("fact_expected"),
+        (got * want - F.sum(F.col("_got") * F.col("_want"))).alias("confidence_warnings"),
+    ).select("record_id", "edge_label", "fact_matched", "fact_extracted", "fact_expected", "confidence_warnings")
+
+
+def _entity_counts(extracted: DataFrame, expected: DataFrame) -> DataFrame:
+    """Rows of entity_matched, entity_extracted and entity_expected whose sums are those of `match_entities`."""
+    long, text = F.lit(None).cast("long"), F.lit(None).cast("string")
+    got = extracted.select(
+        "record_id", _low("name").alias("_form"), _low("type").alias("_type"), long.alias("_position"),
+        F.lit(1).alias("_got"),
+    )
+    # an expected entity stands under each of its forms, and once without a form for itself
+    forms = F.array(_low("name"), _low("alias"), text)
+    want = expected.select(
+        "record_id", F.explode(forms).alias("_form"), _low("type").alias("_type"),
+        F.col("position").cast("long").alias("_position"), F.lit(0).alias("_got"),
+    ).filter("_form IS NULL OR _form <> ''")
+    alone = F.when(F.col("_form").isNull(), F.col("_position")).alias("_alone")
+    is_want = F.col("_got") == 0
+    met = got.unionByName(want).groupBy("record_id", "_form", alone).agg(
+        F.max(F.when(is_want, F.struct("_position", "_type"))).alias("_owner"),
+        F.collect_set(F.when(~is_want, F.col("_type"))).alias("_types"),
+        F.sum("_got").alias("_got"),
+    )
+    hit = F.array_contains("_types", F.col("_owner._type")) & (F.col("_form") != "")
+    owners = met.groupBy("record_id", F.col("_owner._position").alias("_position")).agg(
+        F.max(F.coalesce(hit, F.lit(False)).cast("long")).alias("entity_matched"),
+        F.sum("_got").alias("entity_extracted"),
+    )
+    counted = F.col("_position").isNotNull().cast("long").alias("entity_expected")
+    return owners.select("record_id", "entity_matched", "entity_extracted", counted)
+
+
 def score_records(
     records: DataFrame,
     extracted_entities: DataFrame,
@@ -190,27 +243,30 @@ def score_records(
     extracted_facts: DataFrame,
     expected_facts: DataFrame,
 ) -> DataFrame:
-    """All per-record scores. `records` has record_id and is_noise."""
-    counts = [
-        *[f"entity_{m}" for m in ("matched", "extracted", "expected")],
-        *[f"fact_{m}" for m in ("matched", "extracted", "expected")],
-    ]
-    labels = [
-        f"{name.lower()}_{m}" for name in LABELS for m in ("matched", "extracted", "expected")
-    ]
-    warned = (
-        confidence_mismatches(extracted_facts, expected_facts)
-        .groupBy("record_id")
-        .agg(F.sum("warnings").alias("confidence_warnings"))
-    )
-    joined = (
-        records.select("record_id", "is_noise")
-        .join(match_entities(extracted_entities, expected_entities), "record_id", "left")
-        .join(match_facts(extracted_facts, expected_facts), "record_id", "left")
-        .join(per_label_counts(extracted_facts, expected_facts), "record_id", "left")
-        .join(warned, "record_id", "left")
-        .fillna(0, [*counts, *labels, "confidence_warnings"])
-    )
+    """All per-record scores. `records` has record_id (once each) and is_noise.
+
+    Every input is read once. Facts meet under their key and confidence, then under their key, entities
+    under their forms, then under their positions; what comes of that is rows of counts, which are put under
+    the records and summed once. A record of very many facts or entities is spread over its keys until then.
+    """
+    none = F.lit(None).cast("long")
+    facts = _fact_counts(extracted_facts, expected_facts)
+    entities = _entity_counts(extracted_entities, expected_entities)
+    measures = ("matched", "extracted", "expected")
+    counts = [f"{kind}_{m}" for kind in ("entity", "fact") for m in measures]
+    labels = [f"{name.lower()}_{m}" for name in LABELS for m in measures]
+    rows = records.select("record_id", "is_noise", F.lit(True).alias("_known"))
+    for part in (entities, facts):
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts]
+    for name in LABELS:
+        at = F.col("edge_label") == name
+        for m in measures:
+            chosen = F.sum(F.when(at, F.col(f"fact_{m}")).otherwise(none))
+            sums.append(F.coalesce(chosen, F.lit(0)).alias(f"{name.lower()}_{m}"))
+    warned = F.coalesce(F.sum("confidence_warnings"), F.lit(0)).alias("confidence_warnings")
+    summed = rows.groupBy("record_id").agg(F.max("is_noise").alias("is_noise"), F.max("_known").alias("_known"), *sums, warned)
+    joined = summed.filter("_known").select("record_id", "is_noise", *counts, *labels, "confidence_warnings")
     scored = with_scores(
         with_scores(joined, "entity_matched", "entity_extracted", "entity_expected", "entity_"),
         "fact_matched",
@@ -282,6 +338,28 @@ def er_scores(
     """Node count accuracy, merge recall, entity merge rate and false merge rate, per slice."""
     by = list(by)
     diag = er_diagnostics(expected, entity_forms, by)
+    actual = entity_forms.groupBy(*by).agg(F.count_distinct("entity_id").alias("node_count_actual"))
+    held = entity_forms.select(
+        *by, "entity_id", F.explode(F.array("name", "alias")).alias("_form")
+    ).filter(F.col("_form").isNotNull())
+    held = held.withColumn("_form", F.lower("_form")).distinct()
+    holders = held.join(_expected_owners(expected, by), [*by, "_form"])
+    return _er_totals(expected, diag, actual, holders, by)
+
+
+def _expected_owners(expected: DataFrame, by: Sequence[str]) -> DataFrame:
+    return (
+        expected.filter(F.col("surface_form").isNotNull())
+        .groupBy(*by, F.lower("surface_form").alias("_form"))
+        .agg(F.max(F.lower("canonical_name")).alias("_canonical"))
+    )
+
+
+def _er_totals(
+    expected: DataFrame, diag: DataFrame, actual: DataFrame, holders: DataFrame, by: Sequence[str]
+) -> DataFrame:
+    """The scores per slice from diagnostics, node counts, and nodes holding expected forms."""
+    by = list(by)
     per_entity = diag.groupBy(*by, "canonical_name").agg(
         F.count(F.lit(1)).alias("forms"),
         F.count_if(F.col("outcome") == "correct").alias("right"),
@@ -296,25 +374,12 @@ def er_scores(
     wanted = expected.groupBy(*by).agg(
         F.count_distinct("canonical_name").alias("node_count_expected")
     )
-    actual = entity_forms.groupBy(*by).agg(F.count_distinct("entity_id").alias("node_count_actual"))
-
-    owners = (
-        expected.filter(F.col("surface_form").isNotNull())
-        .groupBy(*by, F.lower("surface_form").alias("_form"))
-        .agg(F.max(F.lower("canonical_name")).alias("_canonical"))
-    )
-    held = entity_forms.select(
-        *by, "entity_id", F.explode(F.array("name", "alias")).alias("_form")
-    ).filter(F.col("_form").isNotNull())
-    held = held.withColumn("_form", F.lower("_form")).distinct()
-    per_node = (
-        held.join(owners, [*by, "_form"])
-        .groupBy(*by, "entity_id")
-        .agg(F.count_distinct("_canonical").alias("n"))
+    per_node = holders.groupBy(*by, "entity_id").agg(
+        (F.min("_canonical") < F.max("_canonical")).alias("several")
     )
     false_merges = per_node.groupBy(*by).agg(
         F.count(F.lit(1)).alias("false_merge_total"),
-        F.count_if(F.col("n") > 1).alias("false_merge_count"),
+        F.count_if("several").alias("false_merge_count"),
     )
     # The parts are put under each other and summed per slice: no join, also when `by` is empty.
     rows = wanted
@@ -333,18 +398,51 @@ def er_scores(
     )
 
 
-def forms_by_slice(entity_forms: DataFrame, slices: DataFrame) -> DataFrame:
-    """The graph as it stood at each slice: forms recorded up to the slice's time.
+def er_timeslices(expected: DataFrame, entity_forms: DataFrame, slices: DataFrame) -> DataFrame:
+    """`er_scores` of the graph as it stood at each slice.
 
-    `slices` (slice, at) is a short list of evaluation points; every form belongs to all slices from
-    its own time on, found by exploding the sorted points of the list.
+    `slices` (slice, at) are the moments of evaluation, as many as there may be; `expected` has the
+    slice of each of its rows, and `entity_forms` the moment `recorded_at` from which an entity has a
+    form. No form is repeated per slice: what a form resolves to changes only when a later node takes it
+    over, so an expected form looks up the latest owner before its slice, and node counts are running
+    totals of the moments when entities first appeared. Slices without expected rows have scores too.
+    Rows without a moment are left out, as are expected rows of a slice that `slices` does not have.
     """
-    points = slices.agg(F.array_sort(F.collect_list(F.struct("at", "slice"))).alias("p")).scalar()
-    spread = entity_forms.withColumn("_p", points)
-    later = F.filter("_p", lambda p: p["at"] >= F.col("recorded_at"))
-    return spread.withColumn("_s", F.explode(later)).select(
-        F.col("_s.slice").alias("slice"), *entity_forms.columns
+    forms = entity_forms.filter(F.col("recorded_at").isNotNull()).withColumnRenamed("recorded_at", "at")
+    points = slices.filter(F.col("at").isNotNull()).select("slice", "at").distinct()
+    timed = expected.join(points, "slice")
+    held = forms.select(
+        "entity_id",
+        "name",
+        "at",
+        F.explode(
+            F.array(
+                F.struct(F.lit(0).alias("kind"), F.lower("name").alias("form")),
+                F.struct(F.lit(1).alias("kind"), F.lower("alias").alias("form")),
+            )
+        ).alias("f"),
+    ).filter(F.col("f.form").isNotNull())
+    owners = held.select(
+        F.col("f.form").alias("_form"), "at", F.struct("entity_id", "f.kind", "name").alias("_owner")
+    )
+    asked = timed.filter(F.col("surface_form").isNotNull()).withColumn("_form", F.lower("surface_form"))
+    # owners of a form are few and far between: a slice of moments is a year
+    found = cumulative_at(asked, owners, ["_form"], "at", "_owner", "_found", grain="year")
+    resolved = F.col("_found")["name"]
+    outcome = (
+        F.when(resolved.isNull(), "not_found")
+        .when(F.lower(resolved) == F.lower("canonical_name"), "correct")
+        .otherwise("wrong")
     )
+    diag = found.select("slice", "canonical_name", outcome.alias("outcome"))
+
+    births = forms.groupBy("entity_id").agg(F.min("at").alias("at")).withColumn("_one", F.lit(1).cast("long"))
+    actual = cumulative_at(points, births, [], "at", "_one", "node_count_actual", total=True)
+
+    since = held.groupBy(F.col("f.form").alias("_form"), "entity_id").agg(F.min("at").alias("_since"))
+    wanted = _expected_owners(timed, ["slice", "at"])
+    holders = since.join(wanted, "_form").filter(F.col("_since") <= F.col("at"))
+    return _er_totals(timed, diag, actual.drop("at"), holders, ["slice"])
 
 
 def resolution_accuracy(pairs: DataFrame, entity_forms: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.session import written
+
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first `k` rows of each key.
@@ -104,6 +106,111 @@ def running_total(
     )
 
 
+def cumulative_at(
+    probes: DataFrame,
+    events: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    value: str,
+    out: str,
+    total: bool = False,
+    grain: str = "day",
+) -> DataFrame:
+    """Adds `out` to `probes`: the largest `value` (or their sum) of the key's events up to the row's moment.
+
+    An as-of join on a range of moments without pairing rows: equal probes and the events of one moment
+    collapse first, both are put in one order, and moments are cut into slices of one `grain` as in
+    `neighbour`; one row per key and slice crosses the slices. Without keys that is one row per slice of
+    time. Null without an event. Keys and moments must not be null.
+    """
+    keys = list(keys)
+    combine = F.sum if total else F.max
+    asked = probes.select(*keys, F.col(at).alias("_at")).distinct()
+    told = events.groupBy(*keys, F.col(at).alias("_at")).agg(combine(value).alias("_value"))
+    rows = told.withColumn("_asks", F.lit(False)).unionByName(
+        asked.withColumn("_asks", F.lit(True)), allowMissingColumns=True
+    )
+    rows = rows.withColumn("_slice", F.date_trunc(grain, "_at"))
+    # events of a moment count for a probe of that moment
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_at").rangeBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    within = rows.withColumn("_inside", combine("_value").over(inside)).filter("_asks")
+    across = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = rows.groupBy(*keys, "_slice").agg(combine("_value").alias("_whole"))
+    slices = slices.select(*keys, "_slice", combine("_whole").over(across).alias("_before"))
+    both = F.greatest("_inside", "_before")
+    if total:
+        zero = F.lit(0)
+        both = F.coalesce("_inside", zero) + F.coalesce("_before", zero)
+    found = within.join(slices, [*keys, "_slice"]).select(*keys, F.col("_at").alias(at), both.alias(out))
+    return probes.join(found, [*keys, at], "left")
+
+
+def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(id, component): for every end of `links` (a, b) the smallest end that it is connected to.
+
+    Rounds of two star steps: all larger neighbours of a node are linked to the smallest one, then all
+    smaller ones, until every component is a star; the rounds grow with the logarithm of the longest chain.
+    Minima combine before the shuffle and are joined back, so a node of very many links is no hot group.
+    """
+    pairs = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                    .filter("a <> b").distinct(), "links")
+    for _ in range(rounds):
+        roots = pairs.select(F.col("b").alias("a")).distinct()
+        several = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        if several.isEmpty() and pairs.join(roots, "a", "left_semi").isEmpty():
+            ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("component"))
+            return ends.unionByName(roots.select(F.col("a").alias("id"), F.col("a").alias("component")))
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        across = large.join(small, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        pairs = written(across.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "links")
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+SEGMENT = 256
+
+
+def segments(texts: DataFrame, text: str, overlap: int, out: str = "_segment") -> DataFrame:
+    """`texts` with `out` instead of `text`: a row for every 256 characters and the `overlap` behind them.
+
+    What is at most `overlap` + 1 characters long and stands in a text stands in one of its segments.
+    """
+    cut = texts.withColumn("_pieces", F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0)))
+    ahead = -(-overlap // SEGMENT)
+    tail = F.left(F.array_join(F.slice("_pieces", F.col("_at") + 2, F.lit(max(ahead, 1))), ""), F.lit(overlap))
+    return (
+        cut.drop(text)
+        .select("*", F.posexplode("_pieces").alias("_at", "_piece"))
+        .withColumn(out, F.concat("_piece", tail))
+        .drop("_pieces", "_at", "_piece")
+    )
+
+
+def _grams(df: DataFrame, text: str, sizes: Sequence[int], longest_only: bool) -> DataFrame:
+    """`df` with a row for each distinct gram of `text`, as a hash `_gram` of 2^k characters.
+
+    Of all sizes that fit in, or of the largest one only.
+    """
+    length = F.length(text)
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(length - n + 1, F.lit(1)))
+        hashes = F.transform(starts, lambda i: F.xxhash64(F.lit(n), F.substring(F.col(text), i, F.lit(n))))
+        return F.when(length >= n, F.array_distinct(hashes)).otherwise(F.array().cast("array<bigint>"))
+
+    if longest_only:
+        every = F.array().cast("array<bigint>")
+        for n in sorted(sizes):
+            every = F.when(length >= n, of(n)).otherwise(every)
+    else:
+        every = F.concat(*[of(n) for n in sizes])
+    return df.withColumn("_gram", F.explode(every))
+
+
 def containing(
     needles: DataFrame,
     needle: str,
@@ -111,36 +218,77 @@ def containing(
     text: str,
     on: Sequence[str] = (),
 ) -> DataFrame:
-    """Pairs of a needle row and a text row where the text contains the needle, as an equi-join.
+    """The columns of `needles` and of `texts` but `text`, where the text contains the needle.
 
-    Every piece of a text whose length is the length of some needle is joined to the needles by
-    equality, so the work grows with the texts and the true matches, not with their product. Meant
-    for short texts (names, addresses); pass distinct texts.
+    An inverted index of grams: texts are cut into segments of bounded size and those into grams of 1, 2, 4
+    ... characters, as far as needles are that long; a needle looks up its rarest gram of the largest such
+    size within it and is compared with the segments that hold it. Work and rows grow with the length of the
+    texts and, for the comparison, with the holders of rare grams; there is no row with a whole text. The other
+    columns of `texts` should tell its rows apart (an id or a hash of the text), and rows that do not differ
+    in them count once. Blank needles match nothing.
     """
-    lengths = (
-        needles.select(F.length(needle).alias("n"))
-        .filter("n > 0")
-        .agg(F.array_sort(F.collect_set("n")).alias("_lengths"))
-    )
-    size = F.length(text)
-    # A short text becomes a hundred pieces, so small partitions of texts must not be put together:
-    # a fixed number of partitions is not coalesced.
+    on = list(on)
+    known = needles.filter(F.length(needle) > 0)
+    widths = known.select(F.floor(F.log2(F.length(needle))).cast("int").alias("k")).distinct().collect()
+    longest = known.agg(F.max(F.length(needle))).first()[0]
+    rest = [c for c in texts.columns if c != text]
+    sizes, longest = sorted(1 << row.k for row in widths) or [1], longest or 1
+    cut = segments(texts, text, longest - 1)
+    # a short text becomes many grams, so the grams of few texts must not lie in few partitions
     width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = (
-        texts.repartition(width, text)
-        .withColumn("_lengths", lengths.scalar())
-        .withColumn("_n", F.explode_outer(F.filter("_lengths", lambda n: n <= size)))
-        .filter(F.col("_n").isNotNull())
-        .drop("_lengths")
-        .withColumn("_starts", F.sequence(F.lit(1), size - F.col("_n") + 1))
-        .withColumn(
-            "_pieces",
-            F.array_distinct(
-                F.transform("_starts", lambda i: F.substring(F.col(text), i, F.col("_n")))
-            ),
+    cut = written(cut.withColumn("_seg", F.monotonically_increasing_id()), "segments")
+    held = _grams(cut.select(*on, "_seg", "_segment").repartition(width, "_seg"), "_segment", sizes, False)
+    held = held.drop("_segment")
+    wanted = _grams(known.select(*on, needle).distinct(), needle, sizes, True)
+    # only grams that some needle has are kept, and counted
+    asked = wanted.select(*on, "_gram").distinct()
+    held = written(held.join(asked, [*on, "_gram"], "left_semi"), "grams")
+    counts = held.groupBy(*on, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    # a needle with a gram that no text has is in no text
+    counted = wanted.join(counts, [*on, "_gram"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    chosen = counted.groupBy(*on, needle).agg(F.min(F.struct("_n", "_gram")).alias("_r")).filter("_r._n > 0")
+    chosen = chosen.select(*on, F.col(needle).alias("_needle"), F.col("_r._gram").alias("_gram"))
+    met = chosen.join(held, [*on, "_gram"]).join(cut.drop(*on), "_seg")
+    found = met.filter(F.contains("_segment", F.col("_needle"))).select("_needle", *rest, *[c for c in on if c not in rest])
+    return known.withColumn("_needle", F.col(needle)).join(found.distinct(), ["_needle", *on]).drop("_needle")
+
+
+def near_names(
+    names: DataFrame, name: str, pool: DataFrame, other: str, share: float, on: Sequence[str] = ()
+) -> DataFrame:
+    """Columns of `names` and `pool` and `similarity`, where the trigram sets overlap by `share` or more.
+
+    Similarity is the Jaccard coefficient of the trigrams of "  name ". A set of n trigrams can only reach the
+    share with sets of n * share to n / share, and shares one of its rarest n - ceil(n * share) + 1 trigrams
+    with each of them; these are joined, and the sets decide. Names should be distinct within `on`.
+    """
+    on = list(on)
+
+    def grams(df: DataFrame, column: str, out: str) -> DataFrame:
+        padded = F.concat(F.lit("  "), F.col(column), F.lit(" "))
+        starts = F.sequence(F.lit(1), F.length(padded) - 2)
+        of = F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.substring(padded, i, F.lit(3)))))
+        return df.filter(F.length(column) > 0).withColumn(out, of)
+
+    a, b = grams(names, name, "_a"), grams(pool, other, "_b")
+    counts = b.select(*on, F.explode("_b").alias("_gram")).groupBy(*on, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(counts, "trigrams")
+
+    def prefix(df: DataFrame, column: str, id: str) -> DataFrame:
+        """The rarest trigrams of each name, of which one must be shared."""
+        every = df.select(*on, id, F.explode(column).alias("_gram"), F.size(column).alias("_size"))
+        ranked = every.join(counts, [*on, "_gram"], "left").groupBy(*on, id, "_size").agg(
+            F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram"))).alias("_g")
         )
-        .withColumn("_piece", F.explode_outer("_pieces"))
-        .drop("_starts", "_pieces", "_n")
-    )
-    keyed = needles.withColumn("_piece", F.col(needle))
-    return keyed.join(pieces, ["_piece", *on]).drop("_piece")
+        first = F.col("_size") - F.ceil(F.col("_size") * share - 1e-9).cast("int") + 1
+        return ranked.select(*on, id, "_size", F.explode(F.slice("_g", F.lit(1), first)).alias("_r")).select(
+            *on, id, F.col("_size").alias(f"_size{column}"), F.col("_r._gram").alias("_gram")
+        )
+
+    met = prefix(a, "_a", name).join(prefix(b, "_b", other), [*on, "_gram"])
+    low, high = F.least("_size_a", "_size_b"), F.greatest("_size_a", "_size_b")
+    pairs = met.filter(low >= high * share - 1e-9).select(*on, name, other).distinct()
+    both = F.size(F.array_intersect("_a", "_b"))
+    scored = pairs.join(a, [*on, name]).join(b, [*on, other])
+    scored = scored.withColumn("similarity", both / (F.size("_a") + F.size("_b") - both))
+    return scored.filter(F.col("similarity") >= share - 1e-9).drop("_a", "_b")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.columns import (
@@ -14,6 +14,8 @@ from factloom.functions.columns import (
 )
 from factloom.operators.facts import newest_first
 from factloom.operators.grouped import containing, top_per_key
+from factloom.schema import RECORDS
+from factloom.session import written
 
 # -- dedup and upsert -------------------------------------------------------------------------
 
@@ -90,21 +92,69 @@ def classify_policy(policy: Column | str, explicit: Column | str = "classificati
 
 
 def mark_manual(records: DataFrame, manual: DataFrame) -> DataFrame:
-    """Records that a person hands in are relevant, whatever a filter said about them."""
-    ids = manual.select("record_id").distinct().withColumn("_manual", F.lit(True))
+    """Records that a person hands in are relevant, whatever a filter said about them.
+
+    What the person adds in `human_context`, where `manual` has that column, becomes the record's (the
+    largest of several); a blank one changes nothing.
+    """
+    told = "human_context" in manual.columns and "human_context" in records.columns
+    context = F.max(blank_to_null("human_context")) if told else F.lit(None).cast("string")
+    ids = manual.groupBy("record_id").agg(F.lit(True).alias("_manual"), context.alias("_context"))
     label = F.when(F.col("_manual"), "relevant").otherwise(F.col("classification"))
-    return (
-        records.join(ids, "record_id", "left")
-        .withColumn("classification", label)
-        .select(*records.columns)
+    joined = records.join(ids, "record_id", "left").withColumn("classification", label)
+    if told:
+        joined = joined.withColumn("human_context", F.coalesce("_context", "human_context"))
+    return joined.select(*records.columns)
+
+
+def extraction_text(records: DataFrame) -> Column:
+    """The text that is extracted and grounded: the content and what a person added to it."""
+    content = F.coalesce("content", F.lit(""))
+    if "human_context" not in records.columns:
+        return content
+    # The wording is a fixed value.
+    added = F.concat(content, F.lit("\n\nAdditional context from human:\n"), F.col("human_context"))
+    return F.when(F.coalesce("human_context", F.lit("")) != "", added).otherwise(content)
+
+
+def write_records(
+    new: DataFrame, path: str, policy: Column | str | None = None, at: Column | None = None
+) -> int:
+    """Appends records to the record table at `path`, a folder per type, and returns how many are new.
+
+    Keys that the table has already stay out, and so do ids, so a repeated load adds nothing. New rows
+    without a creation time get `at` (default: now); columns of `RECORDS` that are missing are null.
+    """
+    spark = new.sparkSession
+    full = new.select(
+        *[(F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in RECORDS]
     )
+    stored = read_records(spark, path)
+    fresh = save_records(full, stored.select("dedup_key"), policy)
+    fresh = fresh.join(stored.select("record_id"), "record_id", "left_anti")
+    arrived = F.current_timestamp() if at is None else at
+    fresh = fresh.withColumns(
+        {"created_at": F.coalesce("created_at", arrived), "indexed": F.coalesce("indexed", F.lit(False))}
+    )
+    # written beside the table first: what is appended must not read the folder it goes to
+    fresh = written(fresh.select(*RECORDS.fieldNames()), "new-records")
+    fresh.write.mode("append").partitionBy("type").parquet(path)
+    return fresh.count()
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The record table at `path`, empty before the first write."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], RECORDS)
+    return spark.read.schema(RECORDS).parquet(path).select(*RECORDS.fieldNames())
 
 
-def apply_triage(records: DataFrame, decisions: DataFrame) -> DataFrame:
+def apply_triage(records: DataFrame, decisions: DataFrame, final: bool = True) -> DataFrame:
     """Decisions to labels for records that wait for triage.
 
     Of several decisions the latest by `decided_at` counts, where that column is given. A waiting
-    record without a decision becomes uncertain. `op_area` goes into the metadata only
+    record without a decision becomes uncertain, or goes on waiting if this is not `final`. `op_area` goes into the metadata only
     where the source did not set it, `reality` if the decision names none.
     """
     waiting = F.col("classification") == "pending_triage"
@@ -124,7 +174,7 @@ def apply_triage(records: DataFrame, decisions: DataFrame) -> DataFrame:
                 decided & unset, F.map_concat(without, F.create_map(F.lit("op_area"), area))
             ).otherwise(F.col("metadata")),
             "classification": F.when(decided, F.col("_verdict.classification"))
-            .when(waiting, "uncertain")
+            .when(waiting & F.lit(final), "uncertain")
             .otherwise(F.col("classification")),
         }
     ).select(*records.columns)
@@ -292,8 +342,9 @@ def communications_of_all(
 ) -> DataFrame:
     """`communications` for every entity at once.
 
-    Addresses repeat, so each distinct address text is matched once against the names and addresses
-    of the entities (equal pieces, no nested loop); mail rows then join their two address texts.
+    Addresses repeat, so each distinct address text is matched once against the names and addresses of
+    the entities, by `containing`. Mail to very many recipients is no large row there: its text is cut into
+    segments, and hits name it by its hash.
     """
     kept = mail if since is None else mail.filter(F.col("received_at") >= since)
     needles = entities.select(
@@ -304,9 +355,10 @@ def communications_of_all(
         "record_id", "received_at", F.explode(F.array("sender", "recipients")).alias("_text")
     )
     sides = sides.filter(F.col("_text").isNotNull()).withColumn("_text", F.lower("_text"))
-    texts = sides.select("_text").distinct()
-    hits = containing(needles, "_needle", texts, "_text").select("entity_id", "_text").distinct()
-    found = sides.join(hits, "_text").select("entity_id", "record_id", "received_at").distinct()
+    sides = sides.withColumn("_hash", F.sha2("_text", 256))
+    texts = sides.groupBy("_hash").agg(F.min("_text").alias("_text"))
+    hits = containing(needles, "_needle", texts, "_text").select("entity_id", "_hash").distinct()
+    found = sides.drop("_text").join(hits, "_hash").select("entity_id", "record_id", "received_at").distinct()
     return top_per_key(
         found, ["entity_id"], newest_first("received_at", "record_id"), per_entity
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.columns import is_current, target_node
-from factloom.session import durable, small_table
+from factloom.session import durable, scratch, small_table, written
 
 BROADCAST_ROWS = 200_000
 
@@ -123,38 +123,119 @@ def direct_facts(facts: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+def adjacency(facts: DataFrame, table: str, buckets: int = 64) -> DataFrame:
+    """Current edges by both of their ends, as a table bucketed and sorted by node.
+
+    For many searches over the same facts: a hop from a large frontier joins the table without moving it.
+    The table has its name in the session's catalogue, where it replaces one of that name, and its files
+    below the shared folder.
+    """
+    edges = _edges(facts, include_stale=False, labels=None, need_fact=True)
+    links = _links(edges, "edge_id").drop("out").filter("node IS NOT NULL AND other IS NOT NULL")
+    spark = facts.sparkSession
+    writer = links.write.mode("overwrite").option("path", scratch(spark, table))
+    writer.bucketBy(buckets, "node").sortBy("node").saveAsTable(table)
+    return spark.table(table)
+
+
+@dataclass
+class _Side:
+    """One end of a search: its outermost nodes, each with its smallest list of edges to that end."""
+
+    frontier: DataFrame  # node, path
+    reached: DataFrame  # node
+    count: int = 1
+    depth: int = 0
+
+    def grow(self, step: DataFrame, ahead: bool) -> None:
+        """`step` has (other, edge_id, path): one edge further, at the path's end or at its beginning."""
+        edge = F.array("edge_id")
+        longer = F.concat("path", edge) if ahead else F.concat(edge, F.col("path"))
+        best = step.groupBy(F.col("other").alias("node")).agg(F.min(longer).alias("path"))
+        self.frontier = durable(best.join(self.reached, "node", "left_anti"))
+        self.reached = self.reached.unionByName(self.frontier.select("node"))
+        self.count = self.frontier.count()
+        self.depth += 1
+
+
+def _touching(edges: DataFrame, side: _Side, links: DataFrame | None) -> DataFrame:
+    """(other, edge_id, path) of the edges at a frontier.
+
+    A small frontier is sent to the edges, and only those it touches are turned round.  Beyond that size
+    the links of an adjacency table, or else the edges by either end, are joined with it.
+    """
+    if links is not None:
+        nodes = F.broadcast(side.frontier) if side.count <= BROADCAST_ROWS else side.frontier
+        return links.join(nodes, "node").select("other", "edge_id", "path")
+    ends = [side.frontier.select(F.col("node").alias(f"{e}_node"), F.col("path").alias(f"{e}_path")) for e in "xy"]
+    if side.count > BROADCAST_ROWS:
+        left = edges.join(ends[0], F.col("from_id") == F.col("x_node"))
+        right = edges.join(ends[1], F.col("to_node") == F.col("y_node"))
+        return left.select(F.col("to_node").alias("other"), "edge_id", F.col("x_path").alias("path")).unionByName(
+            right.select(F.col("from_id").alias("other"), "edge_id", F.col("y_path").alias("path"))
+        )
+    met = edges.join(F.broadcast(ends[0]), F.col("from_id") == F.col("x_node"), "left").join(
+        F.broadcast(ends[1]), F.col("to_node") == F.col("y_node"), "left"
+    )
+    ways = F.array(
+        F.struct(F.col("to_node").alias("other"), F.col("x_path").alias("path")),
+        F.struct(F.col("from_id").alias("other"), F.col("y_path").alias("path")),
+    )
+    met = met.filter("x_node IS NOT NULL OR y_node IS NOT NULL").select("edge_id", F.explode(ways).alias("w"))
+    return met.select("w.other", "edge_id", "w.path").filter("path IS NOT NULL")
+
+
 def shortest_path(
-    facts: DataFrame, entities: DataFrame, a: str, b: str, max_depth: int = 4
+    facts: DataFrame,
+    entities: DataFrame,
+    a: str,
+    b: str,
+    max_depth: int = 4,
+    links: DataFrame | None = None,
 ) -> DataFrame:
     """Hops of a shortest undirected path over current facts, empty when there is none in reach.
 
-    Of several shortest paths the one with the smallest sequence of edge ids is taken: every node
-    keeps only its own smallest sequence, which is a prefix of any smallest longer one. From a node to
-    itself the path is empty.
+    Of several shortest paths the one with the smallest sequence of edge ids is taken. From a node to
+    itself the path is empty. `links` is an `adjacency` table of the same facts, if there is one.
+
+    The search goes from both ends, and the end with the smaller frontier grows. A frontier has every
+    node once, with its smallest list of edges to its end. All shortest paths cross the two frontiers
+    when they first meet, in one node each, so the smallest list of a meeting node decides.
     """
-    spark = facts.sparkSession
     edges = _edges(facts, include_stale=False, labels=None, need_fact=True)
     if a == b:
         return _hops(edges, entities, a, [])
-    links = _links(edges, "edge_id")
-    reached = small_table(spark, [(a,)], "node string")
-    frontier, target = reached, None
-    for hop in range(1, max_depth + 1):
-        if hop == 1:
-            step = links.filter(F.col("node") == a).withColumn("path", F.array("edge_id"))
-        else:
-            step = links.join(_small(frontier), "node").withColumn(
-                "path", F.array_append("path", F.col("edge_id"))
-            )
-        best = step.groupBy(F.col("other").alias("node")).agg(F.min("path").alias("path"))
-        fresh = best.join(reached, "node", "left_anti")
-        frontier = durable(fresh)
-        hit = frontier.filter(F.col("node") == b).select("path").first()
-        if hit is not None:
-            target = list(hit.path)
-            break
-        reached = reached.unionByName(frontier.select("node"))
-    return _hops(edges, entities, a, target or [])
+    return _hops(edges, entities, a, _search(edges, a, b, max_depth, links))
+
+
+def _search(edges: DataFrame, a: str, b: str, max_depth: int, links: DataFrame | None) -> list[str]:
+    spark = edges.sparkSession
+    slim = edges.select("edge_id", "from_id", "to_node").filter("from_id IS NOT NULL AND to_node IS NOT NULL")
+    empty = F.expr("cast(array() as array<string>)")
+    sides = []
+    for end in (a, b):
+        node = small_table(spark, [(end,)], "node string")
+        sides.append(_Side(node.withColumn("path", empty), node))
+    ends = (a, b)
+    if links is None:
+        # the first hops of both ends come from one scan, whose filter reaches the source
+        near = durable(slim.filter(F.col("from_id").isin(*ends) | F.col("to_node").isin(*ends)))
+        if max_depth > 2:
+            slim = written(slim, "edges")
+    else:
+        near = slim
+    while sides[0].depth + sides[1].depth < max_depth:
+        grown = int(sides[1].count < sides[0].count)
+        side = sides[grown]
+        step = _touching(near if side.depth == 0 else slim, side, links)
+        side.grow(step, ahead=grown == 0)
+        if not side.count:
+            return []
+        here, there = sides[0].frontier, sides[1].frontier.withColumnRenamed("path", "rest")
+        met = here.join(there, "node").agg(F.min(F.struct("path", "rest")).alias("p")).first().p
+        if met is not None:
+            return [*met.path, *met.rest]
+    return []
 
 
 def _hops(edges: DataFrame, entities: DataFrame, start: str, path: list[str]) -> DataFrame:

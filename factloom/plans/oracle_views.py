@@ -46,6 +46,7 @@ VIEWS = {
   FROM orders WHERE o_orderstatus = 'F'""",
     "contributions": """
   SELECT 'l:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey
+           || ':' || CAST(round(l_extendedprice * 100) AS BIGINT) || ':' || strftime(l_shipdate, '%Y%m%d')
            AS edge_id,
          'company:' || l_suppkey AS from_id, 'project:' || l_partkey AS to_id,
          CAST(NULL AS DATE) AS to_day, 'AFFILIATED' AS edge_label, 'contributor' AS fact_type,
@@ -88,11 +89,13 @@ VIEWS = {
         FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 10 = 1)""",
     "fact_sources": """
   SELECT 'l:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey
+           || ':' || CAST(round(l_extendedprice * 100) AS BIGINT) || ':' || strftime(l_shipdate, '%Y%m%d')
            AS edge_id, 'order_' || l_orderkey AS record_id,
          CASE WHEN l_returnflag = 'R' THEN 'inferred' ELSE 'stated' END AS confidence
   FROM lineitem
   UNION ALL
-  SELECT 'l:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey,
+  SELECT 'l:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey
+           || ':' || CAST(round(l_extendedprice * 100) AS BIGINT) || ':' || strftime(l_shipdate, '%Y%m%d'),
          'order_' || (l_orderkey + 1),
          CASE WHEN l_partkey % 8 = 0 THEN 'stated' ELSE 'inferred' END
   FROM lineitem WHERE l_partkey % 4 = 0""",
@@ -102,11 +105,12 @@ VIEWS = {
          md5(text) AS dedup_key, 'documents' AS expert_name, '0.1.0' AS expert_version,
          doc_id % 3 = 0 AS indexed,
          CASE WHEN doc_id % 5 = 0 THEN 'noise' WHEN doc_id % 5 <> 1 THEN 'relevant' END
-           AS classification FROM documents
+           AS classification, text AS raw,
+         CASE WHEN doc_id % 4 = 0 THEN 'written in ' || lang END AS human_context FROM documents
   UNION ALL
   SELECT 'event_' || event_id, event_type, 'user_' || user_id, ts, '', NULL,
          json_extract_string(props, '$.k'), NULL, 'events', '0.2.0', FALSE,
-         CASE WHEN event_type = 'error' THEN 'noise' ELSE 'relevant' END FROM events""",
+         CASE WHEN event_type = 'error' THEN 'noise' ELSE 'relevant' END, props, CAST(NULL AS VARCHAR) FROM events""",
     "mail": """
   SELECT 'm' || conv_id || '-' || turn AS message_id, 'ses_' || conv_id AS thread_id,
          CASE WHEN pick % 13 = 5 THEN 'No-Reply@shop.example'
@@ -117,8 +121,8 @@ VIEWS = {
                   '%Y-%m-%dT%H:%M:%SZ') AS received_at,
          CASE WHEN turn % 7 = 5 THEN 'bulk' ELSE '' END AS precedence
   FROM (SELECT *, conv_id * 31 + turn * 7 AS pick FROM conversations) c
-  JOIN customer s ON s.c_custkey = c.pick % 150
-  JOIN customer r ON r.c_custkey = (c.pick + 11) % 150""",
+  JOIN customer s ON s.c_custkey = c.pick % (SELECT max(c_custkey) + 1 FROM customer)
+  JOIN customer r ON r.c_custkey = (c.pick + 11) % (SELECT max(c_custkey) + 1 FROM customer)""",
     "messages": """
   SELECT 'ses_' || conv_id AS session_id, turn AS seq,
          CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'human' END AS from_agent,

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions.columns import normalised_company
+from factloom.operators.bearers import bearers
 from factloom.operators import build, resolve, traverse, validate
 from factloom.operators import facts as fq
 from factloom.plans import bundles
 from factloom.plans.catalog import query
+from factloom.plans.queries_facts import BOTH_WAYS
 from factloom.schema import vocabulary
 from factloom.session import durable
 from factloom.sources.tables import Tables
@@ -48,17 +50,50 @@ def _commit_entities(t: Tables):
     )
 
 
+@query(
+    "entity_bearers",
+    "AG8 GB1",
+    """WITH known AS (SELECT 'person:' || c_custkey AS entity_id, 'P' || (c_custkey % 1000) AS name,
+        CASE WHEN c_custkey % 3 > 0 THEN 'p' || c_custkey || '@n.example' END AS email FROM customer),
+      named AS (SELECT min(entity_id) AS entity_id, name, email FROM known GROUP BY name, email),
+      nick AS (SELECT DISTINCT 'person:' || o_custkey AS entity_id, 'P' || (o_orderkey % 1000) AS form FROM orders
+        WHERE o_orderstatus = 'P' AND o_custkey % 3 > 0),
+      candidates AS (SELECT name, count(DISTINCT entity_id) AS n, min(entity_id) AS one FROM (
+        SELECT name, entity_id FROM named WHERE email IS NOT NULL
+        UNION ALL SELECT form, entity_id FROM nick) GROUP BY name)
+    SELECT m.entity_id, CASE WHEN m.email IS NULL AND c.n = 1 THEN c.one ELSE m.entity_id END AS canonical_id,
+      CASE WHEN m.email IS NOT NULL OR c.n IS NULL THEN 'own' WHEN c.n = 1 THEN 'joined' ELSE 'ambiguous' END AS outcome,
+      CASE WHEN m.email IS NULL THEN coalesce(c.n, 0) ELSE 0 END AS candidates
+    FROM named m LEFT JOIN candidates c USING (name)""",
+)
+def _entity_bearers(t: Tables):
+    """Customers under a thousand names, a third without an email; parts of orders tell aliases."""
+    c, o, none = t.raw("customer"), t.raw("orders"), F.lit(None).cast("string")
+    person = F.concat(F.lit("person:"), "c_custkey")
+    email = F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("p"), "c_custkey", F.lit("@n.example")))
+    known = c.select(person.alias("entity_id"), F.concat(F.lit("P"), F.col("c_custkey") % 1000).alias("name"), email.alias("email"))
+    named = known.groupBy("name", "email").agg(F.min("entity_id").alias("entity_id"))
+    entities = named.select("entity_id", F.lit("person").alias("entity_type"), "name", "email", none.alias("domain"))
+    told = o.filter("o_orderstatus = 'P' AND o_custkey % 3 > 0").select(
+        F.concat(F.lit("person:"), "o_custkey").alias("entity_id"),
+        F.concat(F.lit("P"), F.col("o_orderkey") % 1000).alias("surface_form"),
+    )
+    return bearers(entities, told.distinct())
+
+
 @query(
     "entity_properties",
     "AG8",
-    """SELECT name, arg_max(line, ts || lpad(CAST(line AS VARCHAR), 3, '0')) AS line FROM (
+    """SELECT 'project' AS entity_type, name, NULL AS domain,
+      arg_max(line, ts || lpad(CAST(line AS VARCHAR), 3, '0')) AS line FROM (
       SELECT p_name AS name, l_linenumber AS line, '1998' AS ts FROM ex_base
-      WHERE NOT even AND mark <> 7) GROUP BY name""",
+      WHERE NOT even AND mark <> 7) GROUP BY name
+    UNION ALL SELECT DISTINCT 'company', s_name, 'n' || s_nationkey || '.example', NULL FROM ex_base""",
 )
 def _entity_properties(t: Tables):
     merged = build.merge_entities(build.new_mentions(_with_ids(t)))
-    projects = merged.filter("entity_type = 'project'")
-    return projects.select("name", F.col("metadata")["line"].cast("long").alias("line"))
+    line = F.col("metadata")["line"].cast("long").alias("line")
+    return merged.select("entity_type", "name", "domain", line)
 
 
 @query(
@@ -328,15 +363,17 @@ RESOLVED = f"""{MENTIONS},
   left1 AS (SELECT m.* FROM mentions m LEFT JOIN by_id b ON b.entity_type = m.entity_type
     AND b.name = m.name AND b.identifier IS NOT DISTINCT FROM m.identifier
     WHERE b.name IS NULL),
-  exact AS (SELECT *, count(*) OVER (PARTITION BY entity_type, name, identifier) AS hits FROM (
+  exact AS (SELECT * FROM (
     SELECT m.*, e.entity_id, row_number() OVER (PARTITION BY m.entity_type, m.name, m.identifier
-      ORDER BY e.entity_id) AS rn FROM left1 m JOIN entities e ON e.entity_type = m.entity_type
+      ORDER BY e.entity_id) AS rn, count(*) OVER (PARTITION BY m.entity_type, m.name, m.identifier) AS hits
+    FROM left1 m JOIN entities e ON e.entity_type = m.entity_type
       AND lower(e.name) = lower(m.name)) WHERE rn <= 5),
   left2 AS (SELECT m.* FROM left1 m LEFT JOIN (SELECT DISTINCT entity_type, name FROM exact) b
     USING (entity_type, name) WHERE b.name IS NULL),
-  al AS (SELECT *, count(*) OVER (PARTITION BY entity_type, name, identifier) AS hits FROM (
+  al AS (SELECT * FROM (
     SELECT m.*, e.entity_id, row_number() OVER (PARTITION BY m.entity_type, m.name, m.identifier
-      ORDER BY e.entity_id) AS rn FROM left2 m JOIN (SELECT DISTINCT e.entity_id, e.entity_type,
+      ORDER BY e.entity_id) AS rn, count(*) OVER (PARTITION BY m.entity_type, m.name, m.identifier) AS hits
+    FROM left2 m JOIN (SELECT DISTINCT e.entity_id, e.entity_type,
         lower(a.surface_form) AS sf FROM aliases a JOIN entities e USING (entity_id)) e
       ON e.entity_type = m.entity_type AND e.sf = lower(m.name)) WHERE rn <= 5),
   left3 AS (SELECT m.* FROM left2 m LEFT JOIN (SELECT DISTINCT entity_type, name FROM al) b
@@ -345,22 +382,23 @@ RESOLVED = f"""{MENTIONS},
       PARTITION BY m.entity_type, m.name, m.identifier ORDER BY
         CASE WHEN lower(e.name) = lower(m.name) THEN 0
              WHEN starts_with(lower(e.name), lower(m.name)) THEN 1 ELSE 2 END,
-        length(e.name), e.entity_id) AS rn
+        length(e.name), e.entity_id) AS rn,
+      count(*) OVER (PARTITION BY m.entity_type, m.name, m.identifier) AS hits
     FROM left3 m JOIN entities e ON e.entity_type = m.entity_type
       AND (contains(lower(e.name), lower(m.name))
         OR contains(lower(coalesce(e.email, '')), lower(m.name))
         OR contains(lower(coalesce(e.domain, '')), lower(m.name)))) WHERE rn <= 3),
   resolved AS (
-    SELECT entity_type, name, identifier, 'definitive' AS match, 'identifier' AS via, entity_id
-      FROM by_id
+    SELECT entity_type, name, identifier, 'definitive' AS match, 'identifier' AS via, entity_id,
+      CAST(1 AS BIGINT) AS n_candidates FROM by_id
     UNION ALL SELECT entity_type, name, identifier,
       CASE WHEN hits = 1 THEN 'definitive' ELSE 'candidates' END,
-      CASE WHEN hits = 1 THEN 'exact_name' ELSE 'exact_name_ambiguous' END, entity_id FROM exact
+      CASE WHEN hits = 1 THEN 'exact_name' ELSE 'exact_name_ambiguous' END, entity_id, hits FROM exact
     UNION ALL SELECT entity_type, name, identifier,
       CASE WHEN hits = 1 THEN 'definitive' ELSE 'candidates' END,
-      CASE WHEN hits = 1 THEN 'alias' ELSE 'alias_ambiguous' END, entity_id FROM al
-    UNION ALL SELECT entity_type, name, identifier, 'candidates', 'fuzzy_name', entity_id FROM fuzzy
-    UNION ALL SELECT m.entity_type, m.name, m.identifier, 'none', NULL, NULL FROM left3 m
+      CASE WHEN hits = 1 THEN 'alias' ELSE 'alias_ambiguous' END, entity_id, hits FROM al
+    UNION ALL SELECT entity_type, name, identifier, 'candidates', 'fuzzy_name', entity_id, hits FROM fuzzy
+    UNION ALL SELECT m.entity_type, m.name, m.identifier, 'none', NULL, NULL, 0 FROM left3 m
       LEFT JOIN (SELECT DISTINCT entity_type, name FROM fuzzy) b USING (entity_type, name)
       WHERE b.name IS NULL)"""
 
@@ -370,24 +408,60 @@ def _resolve(t: Tables):
     return resolve.resolve_entities(_mentions(t), t.entities(), t.aliases())
 
 
+@query(
+    "resolve_near_names",
+    "RES1",
+    """WITH names AS (SELECT DISTINCT 'project' AS entity_type, lower(p_name) AS name FROM part),
+      typed AS (SELECT DISTINCT 'project' AS entity_type, lower(left(p_name, 1) || substr(p_name, 3)) AS name
+        FROM part WHERE length(p_name) > 6
+        UNION SELECT 'project', 'zz ' || c_custkey FROM customer),
+      open_ AS (SELECT t.* FROM typed t WHERE NOT EXISTS (SELECT 1 FROM names n WHERE contains(n.name, t.name))),
+      grams AS (SELECT name, list_distinct(list_transform(range(1, length(name) + 2),
+        lambda i: substr('  ' || name || ' ', i, 3))) AS g FROM (SELECT name FROM names UNION SELECT name FROM open_)),
+      scored AS (SELECT o.name, n.name AS other, len(list_intersect(a.g, b.g)) AS both_in, len(a.g) + len(b.g) AS total
+        FROM open_ o JOIN names n ON true JOIN grams a ON a.name = o.name JOIN grams b ON b.name = n.name),
+      near AS (SELECT name, other, both_in / (total - both_in) AS similarity FROM scored
+        WHERE both_in >= 0.6 * (total - both_in)),
+      bearers AS (SELECT lower(p_name) AS other, 'project:' || p_partkey AS entity_id FROM part),
+      ranked AS (SELECT n.name, b.entity_id, row_number() OVER (PARTITION BY n.name
+          ORDER BY similarity DESC, n.other, b.entity_id) AS rn, count(*) OVER (PARTITION BY n.name) AS n_candidates
+        FROM near n JOIN bearers b USING (other))
+    SELECT name, 'near_name' AS via, entity_id, n_candidates FROM ranked WHERE rn <= 4
+    UNION ALL SELECT name, NULL, NULL, 0 FROM open_ WHERE name NOT IN (SELECT name FROM ranked)""",
+)
+def _resolve_near(t: Tables):
+    """Project names with a letter left out, and names that are like none."""
+    kind = F.lit("project").alias("entity_type")
+    name = F.lower(F.concat(F.left("p_name", F.lit(1)), F.substring("p_name", 3, 10_000)))
+    none = F.lit(None).cast("string").alias("identifier")
+    typed = t.raw("part").filter(F.length("p_name") > 6).select(kind, name.alias("name"), none)
+    strange = t.raw("customer").select(kind, F.concat(F.lit("zz "), "c_custkey").alias("name"), none)
+    pool, nobody = t.entities().filter("entity_type = 'project'"), t.aliases().limit(0)
+    found = resolve.resolve_entities(typed.unionByName(strange), pool, nobody, max_fuzzy=4, near=0.6)
+    return found.filter("via IS NULL OR via = 'near_name'").select("name", "via", "entity_id", "n_candidates")
+
+
+CONTEXT = """told AS (SELECT entity_id, edge_label, fact, row_number() OVER (PARTITION BY entity_id
+        ORDER BY source_at DESC NULLS FIRST, edge_id) AS rn FROM both_ways),
+      linked AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY connection) AS rn FROM (
+        SELECT p.entity_id, e.name AS connection, arg_min(e.entity_type, e.entity_id) AS connection_type
+        FROM (SELECT DISTINCT entity_id, other_id FROM both_ways
+              WHERE other_id IS NOT NULL AND other_id <> entity_id) p
+        JOIN entities e ON e.entity_id = p.other_id GROUP BY ALL))"""
+
+
 @query(
     "resolve_with_context",
     "RES1 WN8",
-    f"""WITH {RESOLVED},
-      told AS (SELECT from_id AS entity_id, '[' || edge_label || '] ' || fact AS text,
-        row_number() OVER (PARTITION BY from_id ORDER BY source_at DESC NULLS FIRST, edge_id) AS rn
-        FROM facts WHERE from_id LIKE 'person:%'),
-      linked AS (SELECT f.from_id AS entity_id, e.name || ' (' || e.entity_type || ')' AS text
-        FROM facts f JOIN entities e ON e.entity_id = f.to_id
-        WHERE f.from_id LIKE 'person:%'),
-      context AS (SELECT entity_id, 'fact' AS context, text FROM told WHERE rn <= 3
-        UNION ALL SELECT entity_id, 'connection', text FROM linked)
+    f"""WITH {RESOLVED}, {BOTH_WAYS}, {CONTEXT},
+      context AS (SELECT entity_id, 'fact' AS context, '[' || edge_label || '] ' || fact AS text FROM told
+        WHERE rn <= 3 UNION ALL SELECT entity_id, 'connection', connection || ' (' || connection_type || ')'
+        FROM linked WHERE rn <= 3)
     SELECT r.name, r.identifier, r.via, r.entity_id, c.context, c.text FROM resolved r LEFT JOIN context c
-      USING (entity_id) WHERE r.entity_type = 'person'""",
+      USING (entity_id)""",
 )
 def _resolve_context(t: Tables):
-    people = _mentions(t).filter("entity_type = 'person'")
-    found = durable(resolve.resolve_entities(people, t.entities(), t.aliases()))
+    found = durable(resolve.resolve_entities(_mentions(t), t.entities(), t.aliases()))
     told = resolve.with_brief_context(found, t.facts(), t.entities())
     return told.select("name", "identifier", "via", "entity_id", "context", "text")
 
@@ -433,17 +507,18 @@ def _normalised(t: Tables):
 def _levels(source: str, start: str, depth: int) -> str:
     """SQL of a breadth-first search that keeps the smallest edge-id list of every node."""
     parts = [
-        f"""links AS (SELECT edge_id, from_id AS node,
+        f"""links AS MATERIALIZED (SELECT edge_id, from_id AS node,
       coalesce(to_id, 'day:' || CAST(to_day AS VARCHAR)) AS other FROM {source}
     UNION ALL SELECT edge_id, coalesce(to_id, 'day:' || CAST(to_day AS VARCHAR)), from_id
     FROM {source})""",
         f"l0 AS (SELECT '{start}' AS node, CAST([] AS VARCHAR[]) AS path)",
     ]
     for i in range(1, depth + 1):
-        seen = " UNION ALL ".join(f"SELECT node FROM l{j}" for j in range(i))
+        seen = " ".join(f"ANTI JOIN l{j} ON n.node = l{j}.node" for j in range(i))
         parts.append(
-            f"""l{i} AS (SELECT other AS node, min(list_append(path, edge_id)) AS path
-      FROM l{i - 1} JOIN links USING (node) WHERE other NOT IN ({seen}) GROUP BY other)"""
+            f"""n{i} AS MATERIALIZED (SELECT other AS node, min(list_append(path, edge_id)) AS path
+      FROM l{i - 1} JOIN links USING (node) GROUP BY other),
+    l{i} AS MATERIALIZED (SELECT n.* FROM n{i} n {seen})"""
         )
     return ",\n".join(parts)
 
@@ -483,7 +558,8 @@ def _connections_label(t: Tables):
       SELECT node FROM l1), ends AS MATERIALIZED (SELECT edge_id, from_id,
         coalesce(to_id, 'day:' || CAST(to_day AS VARCHAR)) AS to_node FROM facts)
     SELECT * FROM ends SEMI JOIN near ON from_id = node
-    UNION SELECT * FROM ends SEMI JOIN near ON to_node = node""",
+    UNION ALL SELECT * FROM ends SEMI JOIN near ON to_node = node
+      ANTI JOIN near other ON from_id = other.node""",
 )
 def _connection_edges(t: Tables):
     found = traverse.connections(t.facts(), t.entities(), "company:3", depth=2)
@@ -590,16 +666,12 @@ def _relationship(t: Tables):
 @query(
     "resolver_context",
     "BQ3 WN8",
-    """SELECT entity_id, 'fact' AS part, fact AS text, edge_label AS detail FROM (
-      SELECT from_id AS entity_id, fact, edge_label, row_number() OVER (PARTITION BY from_id
-        ORDER BY source_at DESC NULLS FIRST, edge_id) AS rn FROM facts
-      WHERE from_id LIKE 'person:%') WHERE rn <= 10
-    UNION ALL SELECT f.from_id, 'connection', e.name, e.entity_type FROM facts f
-      JOIN entities e ON e.entity_id = f.to_id WHERE f.from_id LIKE 'person:%'""",
+    f"""WITH {BOTH_WAYS}, {CONTEXT}
+    SELECT entity_id, 'fact' AS part, fact AS text, edge_label AS detail FROM told WHERE rn <= 10
+    UNION ALL SELECT entity_id, 'connection', connection, connection_type FROM linked WHERE rn <= 10""",
 )
 def _resolver_context(t: Tables):
-    people = t.entities().filter("entity_type = 'person'")
-    return bundles.resolver_context(t.facts(), t.entities(), people)
+    return bundles.resolver_context(t.facts(), t.entities(), t.entities())
 
 
 @query(
@@ -698,8 +770,9 @@ def _activity_counts(t: Tables):
     FROM case_facts f JOIN entities a ON a.entity_id = f.from_id
     LEFT JOIN entities b ON b.entity_id = f.to_id
     UNION ALL SELECT f.edge_id, a.name, upper(left(a.entity_type, 1)) || substr(a.entity_type, 2),
-      b.name, NULL FROM geography f JOIN entities a ON a.entity_id = f.from_id
-    LEFT JOIN entities b ON b.entity_id = f.to_id""",
+      b.name, 'https://orders.example/' || o.o_orderkey FROM facts f JOIN entities a ON a.entity_id = f.from_id
+    LEFT JOIN entities b ON b.entity_id = f.to_id
+    LEFT JOIN orders o ON 'order_' || o.o_orderkey = f.source_record""",
 )
 def _canonical(t: Tables):
     recs = t.raw("orders").select(
@@ -708,7 +781,7 @@ def _canonical(t: Tables):
             F.lit("url"), F.concat(F.lit("https://orders.example/"), "o_orderkey")
         ).alias("metadata"),
     )
-    made = bundles.canonical_facts(t.case_facts().unionByName(t.geography()), t.entities(), recs)
+    made = bundles.canonical_facts(t.case_facts().unionByName(t.facts()), t.entities(), recs)
     return made.select(
         "edge_id",
         F.col("from_entity.name").alias("from_name"),
@@ -724,8 +797,8 @@ def _canonical(t: Tables):
     """SELECT entity_id, record_id FROM (SELECT *, row_number() OVER (PARTITION BY entity_id
         ORDER BY created_at DESC, record_id) AS rn FROM (
         SELECT DISTINCT f.entity_id, f.source_record AS record_id, o.o_orderdate AS created_at
-        FROM (SELECT from_id AS entity_id, source_record FROM contributions
-              UNION ALL SELECT to_id, source_record FROM contributions) f
+        FROM (SELECT from_id AS entity_id, source_record FROM facts
+              UNION ALL SELECT to_id, source_record FROM facts WHERE to_id IS NOT NULL) f
         JOIN orders o ON 'order_' || o.o_orderkey = f.source_record)) WHERE rn <= 3""",
 )
 def _newest_records(t: Tables):
@@ -733,7 +806,7 @@ def _newest_records(t: Tables):
         F.concat(F.lit("order_"), "o_orderkey").alias("record_id"),
         F.col("o_orderdate").alias("created_at"),
     )
-    found = bundles.newest_records_per_entity(t.contributions(), recs, 3)
+    found = bundles.newest_records_per_entity(t.facts(), recs, 3)
     return found.select("entity_id", "record_id")
 
 
@@ -741,8 +814,9 @@ def _newest_records(t: Tables):
     "connection_names",
     "BQ3 TR1",
     """SELECT DISTINCT p.entity_id, e.name AS connection FROM (
-      SELECT from_id AS entity_id, to_id AS other FROM geography
-      UNION ALL SELECT to_id, from_id FROM geography) p JOIN entities e ON e.entity_id = p.other""",
+      SELECT from_id AS entity_id, to_id AS other FROM facts
+      UNION ALL SELECT to_id, from_id FROM facts WHERE to_id IS NOT NULL) p JOIN entities e ON e.entity_id = p.other
+    WHERE p.other <> p.entity_id""",
 )
 def _connection_names(t: Tables):
-    return fq.connection_names(t.geography(), t.entities()).select("entity_id", "connection")
+    return fq.connection_names(t.facts(), t.entities()).select("entity_id", "connection")

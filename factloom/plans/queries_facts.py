@@ -400,12 +400,10 @@ def _graph_stats(t: Tables):
       count(*) OVER (PARTITION BY entity_id, edge_label) AS cluster_size
     FROM (SELECT from_id AS entity_id, edge_label, edge_id, to_id AS other_id FROM facts
           UNION ALL SELECT to_id, edge_label, edge_id, from_id FROM facts
-          WHERE to_id IS NOT NULL AND to_id <> from_id)
-    WHERE entity_id IN (SELECT 'company:' || s_suppkey FROM supplier)""",
+          WHERE to_id IS NOT NULL AND to_id <> from_id)""",
 )
 def _facts_by_label(t: Tables):
-    chosen = t.entities().filter("entity_type = 'company'")
-    seen = facts.facts_for_entities(t.facts(), t.entities(), chosen)
+    seen = facts.facts_for_entities(t.facts(), t.entities(), t.entities())
     return facts.facts_by_label(seen).select(
         "entity_id", "edge_label", "edge_id", "other_id", "cluster_size"
     )
@@ -423,8 +421,8 @@ def _chronological(t: Tables):
 
 
 BOTH_WAYS = """both_ways AS (
-  SELECT from_id AS entity_id, to_id AS other_id, edge_id, fact, source_at FROM facts
-  UNION ALL SELECT to_id, from_id, edge_id, fact, source_at FROM facts
+  SELECT from_id AS entity_id, to_id AS other_id, edge_id, edge_label, fact, source_at FROM facts
+  UNION ALL SELECT to_id, from_id, edge_id, edge_label, fact, source_at FROM facts
   WHERE to_id IS NOT NULL AND to_id <> from_id)"""
 
 

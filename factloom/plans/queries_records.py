@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions.columns import source_time
-from factloom.operators import messages, records, vectors
+from factloom.operators import ivf, messages, records, vectors
 from factloom.plans.catalog import query
 from factloom.schema import RECORD_TYPES, schema_fingerprint
 from factloom.sources import files, registry, typed
@@ -115,13 +115,13 @@ CHANGES = f"""ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS
     pri AS (SELECT *, CASE WHEN event_type = 'error' THEN k % 6 END AS p1,
       CASE WHEN event_type IN ('error', 'click') THEN k % 4 END AS p2 FROM ev),
     changes AS (
-    SELECT 'h' || event_id AS id, 'iss_' || (event_id % 200) AS issue_id, stamp AS created_at, actor,
+    SELECT 'h' || event_id AS id, 'iss_' || (event_id % (SELECT count(*) FROM documents)) AS issue_id, stamp AS created_at, actor,
       'status' AS field, CASE WHEN k > 50 THEN 'Todo' ELSE '' END AS from_value,
       upper(left(event_type, 1)) || substr(event_type, 2) AS to_value
     FROM ev WHERE event_type IN ('purchase', 'signup')
-    UNION ALL SELECT 'h' || event_id || '_assignee', 'iss_' || (event_id % 200), stamp, actor,
+    UNION ALL SELECT 'h' || event_id || '_assignee', 'iss_' || (event_id % (SELECT count(*) FROM documents)), stamp, actor,
       'assignee', '', 'user ' || k FROM ev WHERE event_type IN ('view', 'click')
-    UNION ALL SELECT 'h' || event_id || '_priority', 'iss_' || (event_id % 200), stamp, actor,
+    UNION ALL SELECT 'h' || event_id || '_priority', 'iss_' || (event_id % (SELECT count(*) FROM documents)), stamp, actor,
       'priority', {PRIORITY.format("p1")}, {PRIORITY.format("p2")}
     FROM pri WHERE p1 IS DISTINCT FROM p2)"""
 
@@ -520,6 +520,27 @@ def _manual(t: Tables):
     return done.groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "manual_context",
+    "CL3 SRC4 SRC8",
+    """WITH told AS (SELECT 'document_' || doc_id AS record_id, CASE WHEN quality = 1 THEN 'checked by hand' ELSE ' ' END
+        AS context FROM labels)
+    SELECT r.record_id, md5(coalesce(r.raw, '')) AS raw_md5, CASE WHEN t.record_id IS NULL THEN r.classification
+        ELSE 'relevant' END AS classification, md5(coalesce(content, '') || CASE
+          WHEN t.context = 'checked by hand' THEN chr(10) || chr(10) || 'Additional context from human:' || chr(10) || t.context
+          WHEN coalesce(r.human_context, '') <> '' THEN chr(10) || chr(10) || 'Additional context from human:' || chr(10)
+            || r.human_context ELSE '' END) AS text_md5
+    FROM records r LEFT JOIN told t USING (record_id)""",
+)
+def _manual_context(t: Tables):
+    """Payload, label and extraction text of all records; what a person said by hand goes before the stored context."""
+    note = F.when(F.col("quality") == 1, "checked by hand").otherwise(" ")
+    manual = t.raw("labels").select(F.concat(F.lit("document_"), "doc_id").alias("record_id"), note.alias("human_context"))
+    done = records.mark_manual(t.records(), manual)
+    text = F.md5(records.extraction_text(done)).alias("text_md5")
+    return done.select("record_id", F.md5(F.coalesce("raw", F.lit(""))).alias("raw_md5"), "classification", text)
+
+
 # -- record queries ---------------------------------------------------------------------------
 
 
@@ -693,12 +714,12 @@ def _mail_view(t: Tables):
     "communications",
     "FLT18 TK1",
     f"""WITH {COMMUNICATION} SELECT message_id AS record_id, received_at FROM hits
-    WHERE entity_id = 'person:42' AND received_at >= '2024-01-02T00:00:00Z'
+    WHERE entity_id = 'person:11' AND received_at >= '2024-01-01T00:00:00Z'
     ORDER BY received_at DESC, message_id LIMIT 20""",
 )
 def _communications(t: Tables):
-    one = t.entities().filter("entity_id = 'person:42'").first()
-    found = records.communications(_mail_view(t), one.name, one.email, "2024-01-02T00:00:00Z")
+    one = t.entities().filter("entity_id = 'person:11'").first()
+    found = records.communications(_mail_view(t), one.name, one.email, "2024-01-01T00:00:00Z")
     return found.select("record_id", "received_at")
 
 
@@ -889,6 +910,40 @@ def _vector_search(t: Tables):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query(
+    "vector_search_many",
+    "TK3 TK4",
+    """SELECT query_id, rank, record_id, round(score, 6) AS score FROM (
+      SELECT 'q' || q.vec_id AS query_id, 'document_' || e.vec_id AS record_id, score,
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, 'document_' || e.vec_id) AS rank
+      FROM embeddings q JOIN LATERAL (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]),
+        CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings) e ON true) WHERE rank <= 5""",
+)
+def _vector_search_many(t: Tables):
+    """Every vector as a query, with all lists probed: the exact result of all in one plan."""
+    index = ivf.build(_vectors(t).drop("label"))
+    found = ivf.search_many(index, _asked(t), 5, probes=len(index.centres))
+    return found.withColumn("score", F.round("score", 6))
+
+
+def _asked(t: Tables):
+    return t.raw("embeddings").select(F.concat(F.lit("q"), "vec_id").alias("query_id"), "embedding")
+
+
+@query(
+    "vector_recall",
+    "TK3 TK4",
+    """SELECT count(*) AS queries, 5 * count(*) AS pairs, true AS enough FROM embeddings""",
+)
+def _vector_recall(t: Tables):
+    """The indexed search against the exact one: the share of its pairs that are found."""
+    index = ivf.build(_vectors(t).drop("label"))
+    lists = len(index.centres)
+    exact = ivf.search_many(index, _asked(t), 5, probes=lists)
+    found = ivf.search_many(index, _asked(t), 5, probes=max(1, lists * 3 // 4))
+    return ivf.recall(found, exact).select("queries", "pairs", (F.col("recall") >= 0.95).alias("enough"))
+
+
 @query(
     "search",
     "TK4 JN5",

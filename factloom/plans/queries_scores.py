@@ -32,6 +32,39 @@ TOTALS = (
 )
 
 
+MODELS = sorted(usage.PRICES)
+LIST_PRICES = ", ".join(f"('{m}', " + ", ".join(f"{x}::DOUBLE" for x in usage.PRICES[m]) + ")" for m in MODELS)
+
+
+@query(
+    "normalised_calls",
+    "SRC17 JN10 AG2",
+    f"""WITH list AS (SELECT * FROM (VALUES {LIST_PRICES}) AS p(model, input, output, cache_write, cache_read)),
+      names AS (SELECT {MODELS} AS m),
+      calls AS (SELECT c.* EXCLUDE (model, finish_reason, cache_read_tokens), m[turn_index % {len(MODELS)} + 1] AS model,
+        CASE WHEN finish_reason = 'stop' THEN 'end_turn' ELSE 'tool_use' END AS stop_reason,
+        input_tokens // 3 AS cached FROM model_calls c, names)
+    SELECT CASE WHEN starts_with(model, 'claude') THEN 'anthropic' ELSE 'openai' END AS provider, model, stop_reason,
+      count(*) AS calls, CAST(sum(fresh) AS BIGINT) AS fresh_tokens, CAST(sum(cached) AS BIGINT) AS cached_tokens,
+      round(sum((fresh * input + output_tokens * output + cached * cache_read) / 1000000), 9) AS cost
+    FROM (SELECT *, CASE WHEN starts_with(model, 'claude') THEN input_tokens ELSE input_tokens - cached END AS fresh
+      FROM calls) JOIN list USING (model) GROUP BY ALL""",
+)
+def _normalised_calls(t: Tables):
+    """Calls of the listed models by provider: fresh input, cached input, and what both cost."""
+    model = F.element_at(F.array(*[F.lit(m) for m in MODELS]), (F.col("turn_index") % len(MODELS) + 1).cast("int"))
+    cached = F.floor(F.col("input_tokens") / 3)
+    raw = t.model_calls().withColumns({"model": model, "cache_read_tokens": cached})
+    calls = usage.normalised_calls(raw).withColumn("input_tokens", F.col("fresh_tokens"))
+    done = usage.priced(calls, usage.price_table(t.spark))
+    return done.groupBy("provider", "model", "stop_reason").agg(
+        F.count(F.lit(1)).alias("calls"),
+        F.sum("fresh_tokens").alias("fresh_tokens"),
+        F.sum("cache_read_tokens").alias("cached_tokens"),
+        F.round(F.sum("cost"), 9).alias("cost"),
+    )
+
+
 @query(
     "usage_summary",
     "AG2",
@@ -511,41 +544,58 @@ def _er_scores(t: Tables):
 @query(
     "er_scores_timeslice",
     "EV3",
-    f"""WITH {FORMS}, born AS (SELECT 'person:' || o_custkey AS entity_id,
-        min(o_orderdate) AS first_at FROM orders GROUP BY 1),
-      slices AS (SELECT DISTINCT 'y' || year(o_orderdate) AS slice,
-        make_timestamp(year(o_orderdate), 12, 31, 0, 0, 0) AS until FROM orders
-        WHERE year(o_orderdate) BETWEEN 1993 AND 1997),
-      sforms AS (SELECT s.slice, f.* FROM forms f JOIN born b USING (entity_id)
-        JOIN slices s ON s.until >= b.first_at),
-      lookup AS (SELECT slice, form, arg_max(name, entity_id || chr(1) || kind) AS resolved_to FROM (
-        SELECT slice, entity_id, name, 0 AS kind, lower(name) AS form FROM sforms
-        UNION ALL SELECT slice, entity_id, name, 1, lower(alias) FROM sforms
-          WHERE alias IS NOT NULL) GROUP BY 1, 2),
-      diag AS (SELECT x.slice, coalesce(lower(l.resolved_to) = lower(canonical_name), FALSE) AS good
-        FROM expected x LEFT JOIN lookup l ON l.slice = x.slice AND l.form = lower(surface_form))
-    SELECT d.slice, count(*) AS merge_recall_total, count(*) FILTER (good) AS merge_recall_correct,
-      (SELECT count(DISTINCT entity_id) FROM sforms f WHERE f.slice = d.slice) AS node_count_actual
-    FROM diag d GROUP BY d.slice""",
+    f"""WITH {FORMS}, born AS MATERIALIZED (SELECT 'person:' || o_custkey AS entity_id,
+        min(o_orderdate) AS first_at, 'd' || strftime(max(o_orderdate), '%Y%m%d') AS slice
+        FROM orders GROUP BY 1),
+      slices AS MATERIALIZED (SELECT DISTINCT 'd' || strftime(o_orderdate, '%Y%m%d') AS slice,
+        date_trunc('day', o_orderdate) AS at FROM orders),
+      wanted AS MATERIALIZED (SELECT x.canonical_name, x.surface_form, lower(x.surface_form) AS form, b.slice, s.at
+        FROM expected x JOIN customer ON c_name = x.canonical_name
+        JOIN born b ON b.entity_id = 'person:' || c_custkey JOIN slices s ON s.slice = b.slice),
+      held AS MATERIALIZED (SELECT f.entity_id, f.name, kind, form, b.first_at FROM (
+          SELECT entity_id, name, 0 AS kind, lower(name) AS form FROM forms
+          UNION SELECT entity_id, name, 1, lower(alias) FROM forms WHERE alias IS NOT NULL) f
+        JOIN born b USING (entity_id)),
+      keyed AS (SELECT DISTINCT form, slice, at FROM wanted),
+      lookup AS (SELECT k.slice, k.form, arg_max(h.name, h.entity_id || chr(1) || h.kind) AS resolved_to
+        FROM keyed k JOIN held h ON h.form = k.form AND h.first_at <= k.at GROUP BY 1, 2),
+      diag AS (SELECT w.slice, w.canonical_name,
+          coalesce(lower(l.resolved_to) = lower(w.canonical_name), FALSE) AS good
+        FROM wanted w LEFT JOIN lookup l ON l.slice = w.slice AND l.form = w.form),
+      merges AS (SELECT slice, sum(n) AS total, sum(good) AS correct, count(*) FILTER (n > 1) AS many,
+          count(*) FILTER (n > 1 AND n = good) AS merged
+        FROM (SELECT slice, canonical_name, count(*) AS n, count(*) FILTER (good) AS good FROM diag
+          GROUP BY 1, 2) GROUP BY 1),
+      owners AS (SELECT slice, at, form, max(lower(canonical_name)) AS canonical FROM wanted GROUP BY 1, 2, 3),
+      nodes AS (SELECT o.slice, h.entity_id, count(DISTINCT o.canonical) AS n FROM owners o
+        JOIN held h ON h.form = o.form AND h.first_at <= o.at GROUP BY 1, 2),
+      wrong AS (SELECT slice, count(*) AS total, count(*) FILTER (n > 1) AS bad FROM nodes GROUP BY 1),
+      births AS (SELECT date_trunc('day', first_at) AS at, count(*) AS n FROM born
+        WHERE entity_id IN (SELECT entity_id FROM forms) GROUP BY 1)
+    SELECT s.slice, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM births b WHERE b.at <= s.at) AS node_count_actual,
+      coalesce((SELECT count(DISTINCT canonical_name) FROM wanted w WHERE w.slice = s.slice), 0) AS node_count_expected,
+      CAST(coalesce(m.total, 0) AS BIGINT) AS merge_recall_total,
+      CAST(coalesce(m.correct, 0) AS BIGINT) AS merge_recall_correct,
+      coalesce(m.many, 0) AS entity_merge_total, coalesce(m.merged, 0) AS entity_merge_correct,
+      coalesce(w.total, 0) AS false_merge_total, coalesce(w.bad, 0) AS false_merge_count
+    FROM slices s LEFT JOIN merges m USING (slice) LEFT JOIN wrong w USING (slice)""",
 )
 def _er_timeslice(t: Tables):
+    """Every order day is a slice; a person is expected on the day of their last order."""
     o = t.raw("orders")
+    day = F.concat(F.lit("d"), F.date_format("o_orderdate", "yyyyMMdd"))
+    slices = o.select(day.alias("slice"), F.date_trunc("day", "o_orderdate").alias("at")).distinct()
     born = o.groupBy(F.concat(F.lit("person:"), "o_custkey").alias("entity_id")).agg(
         F.min("o_orderdate").alias("recorded_at")
     )
-    year = F.year("o_orderdate")
-    slices = (
-        o.select(year.alias("y"))
-        .distinct()
-        .filter("y BETWEEN 1993 AND 1997")
-        .select(
-            F.concat(F.lit("y"), "y").alias("slice"),
-            F.to_timestamp(F.concat("y", F.lit("-12-31"))).alias("at"),
-        )
-    )
-    forms = evaluate.forms_by_slice(_forms(t).join(born, "entity_id"), slices)
-    scored = evaluate.er_scores(_expected_forms(t), forms, by=["slice"])
-    return scored.select("slice", "merge_recall_total", "merge_recall_correct", "node_count_actual")
+    last = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(day).alias("slice"))
+    named = t.raw("customer").select("c_custkey", F.col("c_name").alias("canonical_name"))
+    expected = _expected_forms(t).drop("slice").join(named.join(last, "c_custkey"), "canonical_name")
+    scored = evaluate.er_timeslices(expected, _forms(t).join(born, "entity_id"), slices)
+    return scored.select(
+        "slice", "node_count_actual", "node_count_expected", "merge_recall_total", "merge_recall_correct",
+        "entity_merge_total", "entity_merge_correct", "false_merge_total", "false_merge_count",
+    )
 
 
 @query(

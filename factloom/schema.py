@@ -109,6 +109,8 @@ RECORDS = T.StructType(
         T.StructField("expert_version", T.StringType()),
         T.StructField("indexed", T.BooleanType()),
         T.StructField("classification", T.StringType()),
+        T.StructField("raw", T.StringType()),
+        T.StructField("human_context", T.StringType()),
     ]
 )
 

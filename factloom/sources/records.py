@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.functions.columns import priority_label, stable_id, text_or_empty
+from factloom.functions.columns import blank_to_null, priority_label, stable_id, text_or_empty
 
 # --- fixed values -----------------------------------------------------------------------------
 AUTOMATED_SENDERS = (
@@ -42,6 +42,10 @@ def _record(
     classification: Column | None = None,
 ) -> DataFrame:
     label = F.lit(None) if classification is None else classification
+    # the payload as it came, where the source gives it, else its fields as JSON, nulls included
+    payload = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    given = F.col("raw").cast("string") if "raw" in df.columns else F.lit(None)
+    context = F.col("human_context") if "human_context" in df.columns else F.lit(None)
     return df.select(
         F.when(F.coalesce(key, F.lit("")) != "", stable_id(record_type, key))
         .otherwise(stable_id(record_type, content))
@@ -51,9 +55,17 @@ def _record(
         metadata.alias("metadata"),
         key.alias("dedup_key"),
         label.cast("string").alias("classification"),
+        F.coalesce(given, payload).alias("raw"),
+        context.cast("string").alias("human_context"),
     )
 
 
+def _either(df: DataFrame, *names: str) -> DataFrame:
+    """`df` with the first column named, which has the first value that is not blank of all that it has."""
+    there = [blank_to_null(c) for c in names if c in df.columns]
+    return df.withColumn(names[0], F.coalesce(*there, F.lit(None).cast("string")))
+
+
 def _lines(*pairs: tuple[str, Column]) -> Column:
     parts = [x for label, value in pairs for x in (F.lit(label), value, F.lit("\n"))]
     return F.concat(*parts)
@@ -103,6 +115,8 @@ def mail_noise(sender: str = "sender", headers: str | None = None) -> Column:
 
 
 def email_records(mail: DataFrame) -> DataFrame:
+    """Mail payloads; `recipient` stands for `recipients` where a payload has that name for it."""
+    mail = _either(mail, "recipients", "recipient") if "recipient" in mail.columns else mail
     t = text_or_empty
     fields = ("message_id", "thread_id", "sender", "recipients", "subject", "received_at")
     content = F.concat(
@@ -156,7 +170,11 @@ def flatten_issues(nodes: DataFrame) -> DataFrame:
 def issue_records(
     issues: DataFrame, body_chars: int | None = None, comment_chars: int | None = None
 ) -> DataFrame:
-    """Issues with their comments; whole texts unless a number of characters is given."""
+    """Issues with their comments; whole texts unless a number of characters is given.
+
+    `linear_id` stands for `id`, which is the dedup key, where a payload has that name for it.
+    """
+    issues = _either(issues, "id", "linear_id") if "linear_id" in issues.columns else issues
     t = text_or_empty
     spoken = F.filter("comments", lambda c: c["body"] != "")
     comment_lines = F.transform(

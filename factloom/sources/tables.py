@@ -45,6 +45,13 @@ TABLE_SCHEMAS = {
 }
 
 
+def line_edge() -> Column:
+    """Edge id of an order line; two lines may share all keys, so price and shipping day are part of it."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    day = F.date_format("l_shipdate", "yyyyMMdd")
+    return F.concat_ws(":", F.lit("l"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents, day)
+
+
 class Tables:
     """Lazily built views of one data folder."""
 
@@ -208,7 +215,7 @@ class Tables:
         li = self.raw("lineitem")
         return self._fact(
             li,
-            F.concat_ws(":", F.lit("l"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+            line_edge(),
             F.concat(F.lit("company:"), "l_suppkey"),
             "AFFILIATED",
             "contributor",
@@ -296,7 +303,7 @@ class Tables:
     def fact_sources(self) -> DataFrame:
         """The order behind every order-line fact, and a second order for part of them."""
         li = self.raw("lineitem")
-        edge = F.concat_ws(":", F.lit("l"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        edge = line_edge()
         own = li.select(
             edge.alias("edge_id"),
             self._order_ref("l_orderkey").alias("record_id"),
@@ -327,6 +334,8 @@ class Tables:
             F.when(F.col("doc_id") % 5 == 0, "noise")
             .when(F.col("doc_id") % 5 != 1, "relevant")
             .alias("classification"),
+            F.col("text").alias("raw"),
+            F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("written in "), "lang")).alias("human_context"),
         )
         events = self.raw("events").select(
             F.concat(F.lit("event_"), "event_id").alias("record_id"),
@@ -342,6 +351,8 @@ class Tables:
             F.when(F.col("event_type") == "error", "noise")
             .otherwise("relevant")
             .alias("classification"),
+            F.col("props").alias("raw"),
+            none.alias("human_context"),
         )
         return docs.unionByName(events)
 
@@ -356,9 +367,10 @@ class Tables:
         sender = people.toDF("_s", "_s_name", "_s_nation")
         reader = people.toDF("_r", "_r_name", "_r_nation")
         pick = F.col("conv_id") * 31 + F.col("turn") * 7
+        n = people.agg(F.max("c_custkey") + 1).scalar()
         joined = (
-            conv.withColumn("_s", pick % 150)
-            .withColumn("_r", (pick + 11) % 150)
+            conv.withColumn("_s", pick % n)
+            .withColumn("_r", (pick + 11) % n)
             .join(sender, "_s")
             .join(reader, "_r")
         )
@@ -445,7 +457,7 @@ class Tables:
     def history_nodes(self) -> DataFrame:
         """Issue history in nested API shape, one node per event."""
         e = self.raw("events").withColumn("_k", F.get_json_object("props", "$.k").cast("int"))
-        issues = F.lit(200)
+        issues = self.raw("documents").agg(F.count(F.lit(1))).scalar()
 
         def named(value) -> Column:
             return F.struct(value.alias("name"))

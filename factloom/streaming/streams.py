@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from factloom.functions.columns import is_current, target_node
+from factloom.functions.columns import blank_to_null, is_current, target_node
 from factloom.operators.build import Commit, Parts, commit_parts, merge_parts
-from factloom.operators.records import classify_policy, dedup_records
+from factloom.operators.records import apply_triage, classify_policy
 from factloom.schema import SUPERSEDING_LABELS
+from factloom.streaming.snapshots import Snapshots
 
 SLOT = ["from_id", "edge_label", "fact_type", "to_node"]
 
@@ -40,30 +42,69 @@ def stream_files(
     return reader.load(path)
 
 
-def _batches(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """What the batches of a folder (those numbered below `before`) have left; empty at first."""
+def _batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What the batches of a folder have left; empty at first."""
     here = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not here.getFileSystem(spark._jsc.hadoopConfiguration()).exists(here):
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
-    found = rows.option("recursiveFileLookup", "false").parquet(path)
-    return (found if before is None else found.filter(F.col("batch") < before)).drop("batch")
+    return rows.option("recursiveFileLookup", "false").parquet(path).drop("batch")
+
+
+class FirstOfKey(StatefulProcessor):
+    """The first record of each key, by creation time and id within a micro-batch; the state is the key."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.landed = handle.getValueState("landed", "landed boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.landed.exists():
+            return
+        best: pd.DataFrame | None = None
+        for part in rows:
+            both = part if best is None else pd.concat([best, part])
+            # a large group never lies here as a whole: one row of it is kept
+            best = both.sort_values(["created_at", "record_id"], na_position="last", kind="stable").head(1)
+        self.landed.update((True,))
+        yield best
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def first_of_keys(records: DataFrame) -> DataFrame:
+    """A stream's records whose key has not come before, however late; those without a key all stay.
+
+    Keys are the only state, in a keyed store on disk (RocksDB) with its changes in the checkpoint: a
+    micro-batch looks up the keys it holds, whatever the number of records that have landed.  Records
+    without a key pass by the state, each as a group of its own.
+    """
+    records.sparkSession.conf.set(STATE_STORE, ROCKSDB)
+    key = blank_to_null("dedup_key")
+    keyed = records.filter(key.isNotNull()).withColumn("_key", F.col("dedup_key"))
+    first = keyed.groupBy("_key").transformWithStateInPandas(
+        FirstOfKey(), records.schema, "append", "none"
+    )
+    return first.unionByName(records.filter(key.isNull()))
 
 
 def stream_dedup(
     records: DataFrame, path: str, checkpoint: str, once: bool = True, every: str = "5 seconds"
 ) -> StreamingQuery:
-    """Records whose key has not landed yet under `path`, however late; those without a key all land.
+    """Records whose key has not landed yet (see `first_of_keys`), in a folder of their own per batch.
 
-    What has landed is the state: every micro-batch is deduplicated in itself and against the batches
-    before it, and owns the folder `batch=<id>`, so a replay leaves the same rows.
+    Every micro-batch owns the folder `batch=<id>`, so a replay leaves the same rows; none reads what
+    has landed.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        landed = _batches(batch.sparkSession, path, batch.schema, before=batch_id)
-        dedup_records(batch, landed).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return to_batches(records, write, checkpoint, once=once, every=every)
+    return to_batches(first_of_keys(records), write, checkpoint, once=once, every=every)
 
 
 def read_landed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -79,6 +120,35 @@ def stream_classify(records: DataFrame, policy: Column | str, noise: Column | No
     return records.withColumn("classification", classify_policy(policy, explicit))
 
 
+LATEST_DECISION = ("decided_at", "classification", "op_area")
+
+
+def _latest_decision(rows: DataFrame) -> DataFrame:
+    last = F.max(F.struct(*LATEST_DECISION)).alias("_last")
+    return rows.groupBy("record_id").agg(last).select("record_id", "_last.*")
+
+
+def stream_decisions(decisions: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Triage decisions (record_id, classification, op_area, decided_at) as they come; the latest counts.
+
+    They may come before or after their record: both are kept, and `read_triaged` puts them together.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = _latest_decision(batch.select("record_id", *LATEST_DECISION))
+        Snapshots(batch.sparkSession, path, _latest_decision).commit(batch_id, rows)
+
+    return to_batches(decisions, write, checkpoint, once=once)
+
+
+def read_triaged(records: DataFrame, path: str) -> DataFrame:
+    """Landed records with the decisions that `stream_decisions` has kept; undecided ones go on waiting."""
+    kept = Snapshots(records.sparkSession, path).read()
+    if kept is None:
+        return records
+    return apply_triage(records, kept, final=False)
+
+
 def _start(writer, checkpoint: str, once: bool, every: str) -> StreamingQuery:
     writer = writer.option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
@@ -114,9 +184,9 @@ def stream_commit(
 ) -> StreamingQuery:
     """Mentions, alias sightings and claims of extractions, as tables under `base`.
 
-    Extractions with a `classification` count only if it is relevant. Every micro-batch owns the folder
-    `batch=<id>` of each table and overwrites it, so a replayed batch leaves the same rows.
-    `read_committed` merges them: the latest value of every property, the first claim of every fact.
+    Extractions with a `classification` count only if it is relevant. Each table is a store of
+    `Snapshots`, so few folders are read however many batches came, and a replayed batch leaves the same
+    rows. `read_committed` merges them: the latest value of every property, the first claim of every fact.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -126,7 +196,7 @@ def stream_commit(
         kept = batch.persist()
         parts = commit_parts(kept, recorded_at, mode=mode)
         for name in PARTS:
-            getattr(parts, name).write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
+            _part(batch.sparkSession, base, name).commit(batch_id, getattr(parts, name))
         kept.unpersist()
 
     return to_batches(extractions, write, checkpoint, once=once)
@@ -135,9 +205,14 @@ def stream_commit(
 PARTS = ("mentions", "aliases", "claims")
 
 
+def _part(spark: SparkSession, base: str, name: str) -> Snapshots:
+    """Equal sightings and claims of merged batches are one; mentions hold maps and stay as they are."""
+    return Snapshots(spark, f"{base}/{name}", None if name == "mentions" else DataFrame.distinct)
+
+
 def read_committed(spark: SparkSession, base: str) -> Commit:
     """The graph tables of all batches: the rows that one batch of all extractions would give."""
-    return merge_parts(Parts(*[spark.read.parquet(f"{base}/{name}").drop("batch") for name in PARTS]))
+    return merge_parts(Parts(*[_part(spark, base, name).read() for name in PARTS]))
 
 
 def current_facts(facts: DataFrame) -> DataFrame:
@@ -159,17 +234,20 @@ def current_facts(facts: DataFrame) -> DataFrame:
 def stream_current_facts(
     facts: DataFrame, path: str, checkpoint: str, once: bool = True
 ) -> StreamingQuery:
-    """Changed slots of each micro-batch as upsert rows under `path/batch=<id>`."""
+    """Changed slots of each micro-batch as upsert rows; merged folders keep the newest row of a slot."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        Snapshots(batch.sparkSession, path, _newest).commit(batch_id, batch)
 
     return to_batches(current_facts(facts), write, checkpoint, mode="update", once=once)
 
 
 def read_current_facts(spark: SparkSession, path: str) -> DataFrame:
     """The last state of every slot from its upsert rows."""
-    rows = spark.read.parquet(path)
+    return _newest(Snapshots(spark, path).read())
+
+
+def _newest(rows: DataFrame) -> DataFrame:
     newest = F.max(F.struct("source_at", "edge_id", "fact", "confidence", "source_record"))
     return rows.groupBy(*SLOT).agg(newest.alias("r")).select(*SLOT, "r.*")
 
@@ -180,7 +258,7 @@ def stream_usage(
     """Sums of each micro-batch per model and time window; late calls count like all others."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        usage_windows(batch, width).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        Snapshots(batch.sparkSession, path, _usage_sums).commit(batch_id, usage_windows(batch, width))
 
     return to_batches(calls, write, checkpoint, once=once)
 
@@ -205,7 +283,11 @@ def usage_windows(calls: DataFrame, width: str = "1 hour") -> DataFrame:
     )
 
 
+def _usage_sums(rows: DataFrame) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in ("calls", "input_tokens", "output_tokens")]
+    return rows.groupBy("window_start", "window_end", "model").agg(*sums)
+
+
 def read_usage(spark: SparkSession, path: str) -> DataFrame:
     """The windows of all batches so far, the open ones too."""
-    sums = [F.sum(c).alias(c) for c in ("calls", "input_tokens", "output_tokens")]
-    return spark.read.parquet(path).groupBy("window_start", "window_end", "model").agg(*sums)
+    return _usage_sums(Snapshots(spark, path).read())

@@ -103,6 +103,8 @@ def make_records(spark):
         "expert_version": "1",
         "indexed": False,
         "classification": None,
+        "raw": None,
+        "human_context": None,
     }
 
     def make(*rows: dict):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime
 
 import pytest
@@ -251,3 +252,72 @@ def test_whole_batch(spark, make_records, make_extractions):
         "r1": ("relevant", True),
         "r3": ("noise", False),
     }
+
+
+def plain_path(edges, a, b, max_depth):
+    """The smallest edge list among shortest paths, level by level."""
+    best, seen = {a: []}, {a}
+    for _ in range(max_depth):
+        found = {}
+        for edge, x, y in edges:
+            for here, there in ((x, y), (y, x)):
+                if here in best and there not in seen:
+                    found[there] = min(found.get(there, ["~"]), [*best[here], edge])
+        best = found
+        seen |= set(found)
+        if b in best:
+            return best[b]
+    return []
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_paths_between_all_pairs_against_plain_search(spark, make_facts, make_entities, monkeypatch, limit):
+    monkeypatch.setattr(traverse, "BROADCAST_ROWS", limit)
+    rng = random.Random(11)
+    nodes = [f"n{k}" for k in range(14)]
+    pairs = [(f"e{rng.randrange(10**6):06d}-{k}", rng.choice(nodes), rng.choice(nodes)) for k in range(22)]
+    f = make_facts(*[{"edge_id": i, "from_id": x, "to_id": y} for i, x, y in pairs])
+    e = make_entities(*[(n, "person", n.upper()) for n in nodes])
+    links = traverse.adjacency(f, "test_adjacency", 4)
+    try:
+        for a, b in [rng.sample(nodes, 2) for _ in range(4)]:
+            want = plain_path(pairs, a, b, 4)
+            for table in (None, links):
+                found = traverse.shortest_path(f, e, a, b, links=table).orderBy("hop").collect()
+                assert [r.edge_id for r in found] == want
+    finally:
+        spark.sql("DROP TABLE IF EXISTS test_adjacency")
+
+
+def test_a_hub_is_not_flooded(spark, make_entities, make_facts, monkeypatch):
+    """From a hub of many edges and a node of one: the small end grows."""
+    hub = spark.range(20_000).selectExpr("concat('h', id) AS edge_id", "'hub' AS from_id", "concat('leaf', id) AS to_node")
+    tail = spark.createDataFrame(
+        [("t0", "a", "x"), ("t1", "x", "y"), ("t2", "leaf7", "y"), ("s", "a", "s0")], "edge_id string, from_id string, to_node string"
+    )
+    grown = []
+    grow = traverse._Side.grow
+
+    def counted(self, step, ahead):
+        grow(self, step, ahead)
+        grown.append((ahead, self.count))
+
+    monkeypatch.setattr(traverse._Side, "grow", counted)
+    assert traverse._search(hub.unionByName(tail), "a", "hub", 4, None) == ["t0", "t1", "t2", "h7"]
+    assert [n for ahead, n in grown if not ahead] in ([20_000], []) and sum(n for ahead, n in grown if ahead) <= 4
+
+
+def test_links_are_joined_without_an_exchange(spark, make_facts):
+    f = make_facts(*[{"edge_id": f"e{k}", "from_id": f"n{k}", "to_id": f"n{k + 1}"} for k in range(40)])
+    links = traverse.adjacency(f, "test_links", 4)
+    try:
+        side = traverse._Side(
+            links.select("node").distinct().withColumn("path", F.expr("cast(array() as array<string>)")), links, 10**9
+        )
+        threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = traverse._touching(links, side, links)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 1  # of the frontier, not of the table
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE IF EXISTS test_links")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factloom.operators.records import dedup_records
 from factloom.schema import FACTS, RECORDS
 from factloom.streaming import streams
+from factloom.streaming.snapshots import Snapshots
 
 
 def drip(df, folder, parts, start=0):
@@ -149,3 +150,96 @@ def test_second_load_merges_into_the_first(spark):
             for y in (got, want)
         )
         assert [len(a), a] == [len(b), b], name
+
+
+def test_dedup_of_many_batches_reads_no_landed_record(spark, make_records, tmp_path):
+    """20 micro-batches with one hot key: the rows of a batch dedup, and no plan reads what has landed."""
+    r = make_records(
+        *[{"record_id": f"r{i:03d}", "dedup_key": "hot" if i % 3 else f"k{i % 12}", "created_at": "2024-01-01",
+           "source": f"{i:03d}", "metadata": {"a": str(i)}} for i in range(20)],
+        *[{"record_id": f"b{i}", "dedup_key": "  " if i % 2 else None, "source": f"{i * 6:03d}"} for i in range(3)],
+    )
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    rows = r.toJSON().collect()
+    for i in range(20):
+        (folder / f"part={i:03d}").mkdir(parents=True)
+        own = [x for x in rows if f'"source":"{i:03d}"' in x]
+        (folder / f"part={i:03d}" / "x.json").write_text("\n".join(own))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        query = streams.stream_dedup(read_stream(spark, str(folder), RECORDS), out, str(tmp_path / "cp"))
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = streams.read_landed(spark, out, RECORDS).collect()
+    want = dedup_records(r).collect()
+    assert sorted(x.record_id for x in got) == sorted(x.record_id for x in want)
+    assert {x.record_id: x.metadata for x in got} == {x.record_id: x.metadata for x in want}
+    progress = [p for p in query.recentProgress if p["numInputRows"]]
+    states = [p["stateOperators"][0] for p in progress]
+    # the state holds keys; each batch updates the keys it brings, and nothing else
+    assert max(s["numRowsTotal"] for s in states) <= 5
+    assert all(s["numRowsUpdated"] <= 2 for s in states)
+    assert all(len(p["sources"]) <= 2 for p in progress)
+
+
+def test_dedup_keeps_the_first_by_time_then_id_and_whole_rows(spark, make_records, tmp_path):
+    rows = [("b", "2024-01-02"), ("a", "2024-01-02"), ("c", "2024-01-01"), ("d", None)]
+    r = make_records(*[{"record_id": i, "dedup_key": "k", "created_at": at, "metadata": {"x": i}, "indexed": True}
+                       for i, at in rows])
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    drip(r, folder, [F.lit(True)])
+    streams.stream_dedup(read_stream(spark, folder, RECORDS), out, str(tmp_path / "cp")).awaitTermination()
+    got = streams.read_landed(spark, out, RECORDS)
+    assert got.collect() == dedup_records(r).select(*got.columns).collect() and got.first().record_id == "c"
+
+
+def newest_value(rows):
+    return rows.groupBy("key").agg(F.max(F.struct("at", "value")).alias("m")).select("key", "m.*")
+
+
+def test_fifty_batches_lie_in_few_folders(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path / "s"), newest_value)
+    assert store.read() is None
+    most = 0
+    for batch in range(50):
+        rows = spark.createDataFrame([("hot", batch * 7 % 50, batch), (f"k{batch % 5}", batch, batch)], "key string, at int, value int")
+        store.commit(batch, rows.coalesce(1))
+        most = max(most, len(store.runs()))
+    # log2(50) + 1, and merged folders hold one row of a key
+    assert most <= 6 and sum(r.batches for r in store.runs()) == 50
+    assert store.read().count() <= 6 * len(store.runs())
+    got = {r.key: r.value for r in newest_value(store.read()).collect()}
+    assert got == {"hot": 7, **{f"k{k}": 45 + k for k in range(5)}}
+    folders = [p.name for p in (tmp_path / "s").iterdir() if p.name.startswith("run-")]
+    assert len(folders) <= 2 * 6
+
+
+def test_crash_between_merge_and_switch_and_replay(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    rows = lambda n: spark.createDataFrame([("k", n, n)], "key string, at int, value int")
+    store = Snapshots(spark, path)
+    for batch in range(3):
+        store.commit(batch, rows(batch))
+    before = store.read()
+
+    def crash(self, batch, runs):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(Snapshots, "_switch", crash)
+        try:
+            store.commit(3, rows(3))
+        except RuntimeError:
+            pass
+    again = Snapshots(spark, path)
+    assert sorted(r.value for r in again.read().collect()) == [0, 1, 2]
+    again.commit(3, rows(3))
+    again.commit(3, rows(99))  # a replay after the switch changes nothing
+    again.commit(2, rows(98))
+    assert sorted(r.value for r in again.read().collect()) == [0, 1, 2, 3] and len(again.runs()) == 1
+    # who began to read before the merge still can, and what the crash left is gone
+    assert sorted(r.value for r in before.collect()) == [0, 1, 2]
+    named = {r.folder for r in again.runs()}
+    left = {p.name for p in (tmp_path / "s").iterdir() if p.name.startswith("run-")}
+    assert named <= left and len(left) <= 4
