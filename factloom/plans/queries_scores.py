@@ -548,17 +548,17 @@ def _er_scores(t: Tables):
         min(o_orderdate) AS first_at, 'd' || strftime(max(o_orderdate), '%Y%m%d') AS slice
         FROM orders GROUP BY 1),
       slices AS MATERIALIZED (SELECT DISTINCT 'd' || strftime(o_orderdate, '%Y%m%d') AS slice,
-        date_trunc('day', o_orderdate) AS at FROM orders),
-      wanted AS MATERIALIZED (SELECT x.canonical_name, x.surface_form, lower(x.surface_form) AS form, b.slice, s.at
+        date_trunc('day', o_orderdate) AS point FROM orders),
+      wanted AS MATERIALIZED (SELECT x.canonical_name, x.surface_form, lower(x.surface_form) AS form, b.slice, s.point
         FROM expected x JOIN customer ON c_name = x.canonical_name
         JOIN born b ON b.entity_id = 'person:' || c_custkey JOIN slices s ON s.slice = b.slice),
       held AS MATERIALIZED (SELECT f.entity_id, f.name, kind, form, b.first_at FROM (
           SELECT entity_id, name, 0 AS kind, lower(name) AS form FROM forms
           UNION SELECT entity_id, name, 1, lower(alias) FROM forms WHERE alias IS NOT NULL) f
         JOIN born b USING (entity_id)),
-      keyed AS (SELECT DISTINCT form, slice, at FROM wanted),
+      keyed AS (SELECT DISTINCT form, slice, point FROM wanted),
       lookup AS (SELECT k.slice, k.form, arg_max(h.name, h.entity_id || chr(1) || h.kind) AS resolved_to
-        FROM keyed k JOIN held h ON h.form = k.form AND h.first_at <= k.at GROUP BY 1, 2),
+        FROM keyed k JOIN held h ON h.form = k.form AND h.first_at <= k.point GROUP BY 1, 2),
       diag AS (SELECT w.slice, w.canonical_name,
           coalesce(lower(l.resolved_to) = lower(w.canonical_name), FALSE) AS good
         FROM wanted w LEFT JOIN lookup l ON l.slice = w.slice AND l.form = w.form),
@@ -566,13 +566,13 @@ def _er_scores(t: Tables):
           count(*) FILTER (n > 1 AND n = good) AS merged
         FROM (SELECT slice, canonical_name, count(*) AS n, count(*) FILTER (good) AS good FROM diag
           GROUP BY 1, 2) GROUP BY 1),
-      owners AS (SELECT slice, at, form, max(lower(canonical_name)) AS canonical FROM wanted GROUP BY 1, 2, 3),
+      owners AS (SELECT slice, point, form, max(lower(canonical_name)) AS canonical FROM wanted GROUP BY 1, 2, 3),
       nodes AS (SELECT o.slice, h.entity_id, count(DISTINCT o.canonical) AS n FROM owners o
-        JOIN held h ON h.form = o.form AND h.first_at <= o.at GROUP BY 1, 2),
+        JOIN held h ON h.form = o.form AND h.first_at <= o.point GROUP BY 1, 2),
       wrong AS (SELECT slice, count(*) AS total, count(*) FILTER (n > 1) AS bad FROM nodes GROUP BY 1),
-      births AS (SELECT date_trunc('day', first_at) AS at, count(*) AS n FROM born
+      births AS (SELECT date_trunc('day', first_at) AS point, count(*) AS n FROM born
         WHERE entity_id IN (SELECT entity_id FROM forms) GROUP BY 1)
-    SELECT s.slice, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM births b WHERE b.at <= s.at) AS node_count_actual,
+    SELECT s.slice, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM births b WHERE b.point <= s.point) AS node_count_actual,
       coalesce((SELECT count(DISTINCT canonical_name) FROM wanted w WHERE w.slice = s.slice), 0) AS node_count_expected,
       CAST(coalesce(m.total, 0) AS BIGINT) AS merge_recall_total,
       CAST(coalesce(m.correct, 0) AS BIGINT) AS merge_recall_correct,
