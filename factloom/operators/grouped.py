@@ -229,10 +229,11 @@ def containing(
     """
     on = list(on)
     known = needles.filter(F.length(needle) > 0)
-    widths = known.select(F.floor(F.log2(F.length(needle))).cast("int").alias("k")).distinct().collect()
-    longest = known.agg(F.max(F.length(needle))).first()[0]
+    length = F.length(needle)
+    powers = F.collect_set(F.floor(F.log2(length)).cast("int")).alias("k")
+    widths, longest = known.agg(powers, F.max(length)).first()
     rest = [c for c in texts.columns if c != text]
-    sizes, longest = sorted(1 << row.k for row in widths) or [1], longest or 1
+    sizes, longest = sorted(1 << k for k in widths) or [1], longest or 1
     cut = segments(texts, text, longest - 1)
     # a short text becomes many grams, so the grams of few texts must not lie in few partitions
     width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.columns import is_current, target_node
-from factloom.session import durable, scratch, small_table, written
+from factloom.session import durable, scratch, small_table, spread, written
 
 BROADCAST_ROWS = 200_000
 
@@ -152,11 +152,20 @@ class _Side:
         edge = F.array("edge_id")
         longer = F.concat("path", edge) if ahead else F.concat(edge, F.col("path"))
         best = step.groupBy(F.col("other").alias("node")).agg(F.min(longer).alias("path"))
-        self.frontier = durable(best.join(self.reached, "node", "left_anti"))
+        self.frontier = written(best.join(self.reached, "node", "left_anti"), "frontier")
         self.reached = self.reached.unionByName(self.frontier.select("node"))
-        self.count = self.frontier.count()
         self.depth += 1
 
+    def meet(self, other: _Side, ahead: bool) -> list[str] | None:
+        """Counts the new frontier; the smallest whole list through a node that both sides have reached, if any."""
+        there = other.frontier.withColumnRenamed("path", "rest").withColumn("met", F.lit(True))
+        # the list of the search's first end decides before that of the second
+        whole = F.concat("path", "rest") if ahead else F.concat("rest", "path")
+        both = F.min(F.when(F.col("met"), whole))
+        row = self.frontier.join(there, "node", "left").agg(F.count(F.lit(1)).alias("n"), both.alias("p")).first()
+        self.count = row.n
+        return None if row.p is None else list(row.p)
+
 
 def _touching(edges: DataFrame, side: _Side, links: DataFrame | None) -> DataFrame:
     """(other, edge_id, path) of the edges at a frontier.
@@ -216,25 +225,18 @@ def _search(edges: DataFrame, a: str, b: str, max_depth: int, links: DataFrame |
     for end in (a, b):
         node = small_table(spark, [(end,)], "node string")
         sides.append(_Side(node.withColumn("path", empty), node))
-    ends = (a, b)
     if links is None:
-        # the first hops of both ends come from one scan, whose filter reaches the source
-        near = durable(slim.filter(F.col("from_id").isin(*ends) | F.col("to_node").isin(*ends)))
-        if max_depth > 2:
-            slim = written(slim, "edges")
-    else:
-        near = slim
+        # one pass over the facts leaves the three ids of each edge, which the hops read
+        slim = written(spread(slim), "edges")
     while sides[0].depth + sides[1].depth < max_depth:
         grown = int(sides[1].count < sides[0].count)
         side = sides[grown]
-        step = _touching(near if side.depth == 0 else slim, side, links)
-        side.grow(step, ahead=grown == 0)
+        side.grow(_touching(slim, side, links), ahead=grown == 0)
+        met = side.meet(sides[1 - grown], ahead=grown == 0)
+        if met is not None:
+            return met
         if not side.count:
             return []
-        here, there = sides[0].frontier, sides[1].frontier.withColumnRenamed("path", "rest")
-        met = here.join(there, "node").agg(F.min(F.struct("path", "rest")).alias("p")).first().p
-        if met is not None:
-            return [*met.path, *met.rest]
     return []
 
 
@@ -243,6 +245,7 @@ def _hops(edges: DataFrame, entities: DataFrame, start: str, path: list[str]) ->
     spark = edges.sparkSession
     places = small_table(spark, list(enumerate(path)), "hop int, edge_id string")
     on_path = edges.filter(F.col("edge_id").isin(path)).join(places, "edge_id")
+    on_path = written(on_path.select("hop", "edge_id", "edge_label", "fact_type", "fact", "from_id", "to_node"), "path")
     by_hop = {
         r.hop: (r.from_id, r.to_node)
         for r in on_path.select("hop", "from_id", "to_node").collect()

@@ -46,7 +46,7 @@ VIEWS = {
   FROM orders WHERE o_orderstatus = 'F'""",
     "contributions": """
   SELECT 'l:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey
-           || ':' || CAST(round(l_extendedprice * 100) AS BIGINT) || ':' || strftime(l_shipdate, '%Y%m%d')
+           || ':' || CAST(round(l_extendedprice * 100) AS BIGINT) || ':' || date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))
            AS edge_id,
          'company:' || l_suppkey AS from_id, 'project:' || l_partkey AS to_id,
          CAST(NULL AS DATE) AS to_day, 'AFFILIATED' AS edge_label, 'contributor' AS fact_type,
@@ -89,13 +89,13 @@ VIEWS = {
         FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 10 = 1)""",
     "fact_sources": """
   SELECT 'l:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey
-           || ':' || CAST(round(l_extendedprice * 100) AS BIGINT) || ':' || strftime(l_shipdate, '%Y%m%d')
+           || ':' || CAST(round(l_extendedprice * 100) AS BIGINT) || ':' || date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))
            AS edge_id, 'order_' || l_orderkey AS record_id,
          CASE WHEN l_returnflag = 'R' THEN 'inferred' ELSE 'stated' END AS confidence
   FROM lineitem
   UNION ALL
   SELECT 'l:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey
-           || ':' || CAST(round(l_extendedprice * 100) AS BIGINT) || ':' || strftime(l_shipdate, '%Y%m%d'),
+           || ':' || CAST(round(l_extendedprice * 100) AS BIGINT) || ':' || date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)),
          'order_' || (l_orderkey + 1),
          CASE WHEN l_partkey % 8 = 0 THEN 'stated' ELSE 'inferred' END
   FROM lineitem WHERE l_partkey % 4 = 0""",

@@ -48,7 +48,7 @@ TABLE_SCHEMAS = {
 def line_edge() -> Column:
     """Edge id of an order line; two lines may share all keys, so price and shipping day are part of it."""
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    day = F.date_format("l_shipdate", "yyyyMMdd")
+    day = F.unix_date(F.col("l_shipdate").cast("date"))
     return F.concat_ws(":", F.lit("l"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents, day)
 
 

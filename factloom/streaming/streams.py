@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from factloom.functions.columns import blank_to_null, is_current, target_node
 from factloom.operators.build import Commit, Parts, commit_parts, merge_parts
@@ -51,25 +53,18 @@ def _batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return rows.option("recursiveFileLookup", "false").parquet(path).drop("batch")
 
 
-class FirstOfKey(StatefulProcessor):
-    """The first record of each key, by creation time and id within a micro-batch; the state is the key."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.landed = handle.getValueState("landed", "landed boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.landed.exists():
-            return
-        best: pd.DataFrame | None = None
-        for part in rows:
-            both = part if best is None else pd.concat([best, part])
-            # a large group never lies here as a whole: one row of it is kept
-            best = both.sort_values(["created_at", "record_id"], na_position="last", kind="stable").head(1)
-        self.landed.update((True,))
-        yield best
-
-    def close(self) -> None:
-        pass
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each key by creation time, then id; one row of a key is kept at a time."""
+    best: pa.Table | None = None
+    order = [("_key", "ascending"), ("created_at", "ascending"), ("record_id", "ascending")]
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if best is None else pa.concat_tables([best, rows])
+        rows = rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_end"))
+        codes = rows["_key"].combine_chunks().dictionary_encode().indices.to_numpy()
+        best = rows.take(np.flatnonzero(np.diff(codes, prepend=-1)))
+    if best is not None:
+        yield from best.to_batches()
 
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -79,17 +74,16 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def first_of_keys(records: DataFrame) -> DataFrame:
     """A stream's records whose key has not come before, however late; those without a key all stay.
 
-    Keys are the only state, in a keyed store on disk (RocksDB) with its changes in the checkpoint: a
-    micro-batch looks up the keys it holds, whatever the number of records that have landed.  Records
-    without a key pass by the state, each as a group of its own.
+    Of a micro-batch the first record of a key by creation time, then id, goes on. Keys are the only state,
+    in a keyed store on disk (RocksDB) with its changes in the checkpoint: a micro-batch looks up the keys it
+    holds, whatever the number of records that have landed. Records without a key pass by the state.
     """
     records.sparkSession.conf.set(STATE_STORE, ROCKSDB)
     key = blank_to_null("dedup_key")
     keyed = records.filter(key.isNotNull()).withColumn("_key", F.col("dedup_key"))
-    first = keyed.groupBy("_key").transformWithStateInPandas(
-        FirstOfKey(), records.schema, "append", "none"
-    )
-    return first.unionByName(records.filter(key.isNull()))
+    # within a micro-batch the first row stays; then the state lets a key pass once
+    first = keyed.repartition("_key").mapInArrow(_first_of_each, keyed.schema).dropDuplicates(["_key"])
+    return first.drop("_key").unionByName(records.filter(key.isNull()))
 
 
 def stream_dedup(
