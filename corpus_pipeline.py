@@ -18,8 +18,17 @@ from factloom.llm.store import prepare
 from factloom.session import scratch
 
 
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+# The stages share workers, which keep what one batch of the largest stage took: batches are smaller here.
+BATCH_ROWS = "500"
+
+
+def _prepare(spark: SparkSession) -> None:
     prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _prepare(spark)
     model = language.fit(docs.filter(~language.held_out(F.col("doc_id"))))
     found = language.identify(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns}), model, "own_text")
     kept = found.filter(~F.col("rejected"))
@@ -31,18 +40,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    _prepare(spark)
     return jaccard.one_of_each(docs).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    _prepare(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.decontaminate(docs, benchmark).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    _prepare(spark)
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
