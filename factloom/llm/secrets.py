@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, then structural confirmation by decoding them.
 
-Base64 and hex runs are decoded; what comes out must parse as a key (nested DER lengths that add up, or
-the length-prefixed fields of an OpenSSH key), and a dotted token must open with a JSON header that
+Base64 and hex runs are decoded; what comes out must parse as a private key (nested DER lengths that add up
+to one of its structures, or the length-prefixed fields of an OpenSSH key), and a dotted token must open with a JSON header that
 names an algorithm.  Python looks only at texts that hold a candidate at all, which a byte search over
 whole batches tells.
 """
@@ -31,7 +31,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
+PEM = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]+)-----\s*((?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n)*)([A-Za-z0-9+/=\s]+?)-----END \1-----"
+)
 
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _IS_HEX = np.zeros(256, dtype=bool)
@@ -62,9 +64,9 @@ def der_length(data: bytes, at: int) -> tuple[int, int] | None:
     return size, at + 1 + n
 
 
-def der_items(data: bytes, depth: int = 0) -> list[int] | None:
-    """The tags of a run of DER items whose lengths, nested ones too, use up all bytes; else None."""
-    tags, at = [], 0
+def der_items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
+    """Tag and content of a run of DER items whose lengths, nested ones too, use up all bytes; else None."""
+    items, at = [], 0
     while at < len(data):
         tag = data[at]
         sized = der_length(data, at + 1)
@@ -73,27 +75,85 @@ def der_items(data: bytes, depth: int = 0) -> list[int] | None:
         body = data[sized[1] : sized[1] + sized[0]]
         if tag & 0x20 and (depth > 12 or der_items(body, depth + 1) is None):
             return None
-        tags.append(tag)
+        items.append((tag, body))
         at = sized[1] + sized[0]
-    return tags
+    return items
 
 
-def key_form(data: bytes) -> str | None:
-    """`der` or `openssh` if the bytes are one whole encoded key, else None."""
-    if data[:15] == b"openssh-key-v1\0":
-        at, fields = 15, 0
-        while at + 4 <= len(data) and fields < 3:
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-            fields += 1
-        return "openssh" if fields == 3 and at <= len(data) else None
-    if len(data) < 24 or data[0] != 0x30:
+_INTEGER, _OCTETS, _OID, _SEQUENCE = 0x02, 0x04, 0x06, 0x30
+# The object ids under which password-based encryption schemes stand (PKCS #5 and #12).
+_ENCRYPTION_IDS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+_LEAST_SECRET = 16
+
+
+def _sequence(data: bytes) -> list[tuple[int, bytes]] | None:
+    """The items of `data` if it is one whole DER sequence."""
+    items = der_items(data)
+    return der_items(items[0][1]) if items and len(items) == 1 and items[0][0] == _SEQUENCE else None
+
+
+def private_key(data: bytes) -> str | None:
+    """The structure of a whole DER private key (`rsa`, `dsa`, `ec`, `pkcs8`, `encrypted`), or None.
+
+    By RFC 8017, RFC 5915, RFC 5208 and the older form of DSA keys.  The octet string of a PKCS #8 key
+    must hold a key itself: one of these structures, or a secret number or string of 16 bytes at least.
+    Public keys, certificates, signatures and digests have other structures.
+    """
+    items = _sequence(data)
+    if not items:
         return None
-    sized = der_length(data, 1)
-    if sized is None or sized[0] + sized[1] != len(data):
+    tags = [tag for tag, _ in items]
+    version = int.from_bytes(items[0][1], "big") if tags[0] == _INTEGER and len(items[0][1]) == 1 else None
+    if version in (0, 1) and tags[:9] == [_INTEGER] * 9 and tags[9:] in ([], [_SEQUENCE]):
+        return "rsa"
+    if version == 0 and tags == [_INTEGER] * 6:
+        return "dsa"
+    if version == 1 and tags[1:2] == [_OCTETS] and set(tags[2:]) <= {0xA0, 0xA1} and len(items[1][1]) >= _LEAST_SECRET:
+        return "ec"
+    if version in (0, 1) and tags[1:3] == [_SEQUENCE, _OCTETS] and set(tags[3:]) <= {0xA0, 0xA1, 0x81}:
+        algorithm, inner = der_items(items[1][1]), items[2][1]
+        if not algorithm or algorithm[0][0] != _OID:
+            return None
+        own = der_items(inner)
+        single = own and len(own) == 1 and own[0][0] in (_INTEGER, _OCTETS) and len(own[0][1]) >= _LEAST_SECRET
+        return "pkcs8" if single or private_key(inner) in ("rsa", "dsa", "ec") else None
+    if tags == [_SEQUENCE, _OCTETS] and len(items[1][1]) >= _LEAST_SECRET:
+        algorithm = der_items(items[0][1])
+        if algorithm and algorithm[0][0] == _OID and algorithm[0][1].startswith(_ENCRYPTION_IDS):
+            return "encrypted"
+    return None
+
+
+def openssh_key(data: bytes) -> bool:
+    """Whether the bytes are one whole OpenSSH private key: three names, a count, public keys, the private part."""
+    at = 15
+    if data[:at] != b"openssh-key-v1\0":
+        return False
+
+    def string() -> int:
+        """Skips a string with its length before it and gives that length, -1 if it is cut off."""
+        nonlocal at
+        size = int.from_bytes(data[at : at + 4], "big")
+        whole = at + 4 + size <= len(data)
+        at += 4 + size
+        return size if whole else -1
+
+    if min(string() for _ in range(3)) < 0:
+        return False
+    keys = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    if not 1 <= keys <= 16 or min(string() for _ in range(keys)) <= 0:
+        return False
+    return string() >= _LEAST_SECRET and at == len(data)
+
+
+def key_form(data: bytes) -> str | None:
+    """`der` or `openssh` if the bytes are one whole encoded private key, else None."""
+    if openssh_key(data):
+        return "openssh"
+    if len(data) < 24 or data[0] != _SEQUENCE:
         return None
-    tags = der_items(data[sized[1] :], 1)
-    # a key begins with a version number, an algorithm or a nested sequence, and is more than one item
-    return "der" if tags and len(tags) >= 2 and tags[0] in (0x02, 0x30) else None
+    return "der" if private_key(data) else None
 
 
 def from_base64(text: str) -> bytes | None:
@@ -118,6 +178,20 @@ def signed_header(text: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str)
 
 
+def encrypted_pem(label: str, headers: str, raw: bytes) -> bool:
+    """Whether a block is an encrypted private key of the older form: its headers name cipher and vector."""
+    lines = dict(line.split(":", 1) for line in headers.splitlines() if ":" in line)
+    cipher, _, vector = lines.get("DEK-Info", "").strip().partition(",")
+    return (
+        label.endswith("PRIVATE KEY")
+        and lines.get("Proc-Type", "").strip() == "4,ENCRYPTED"
+        and bool(cipher)
+        and re.fullmatch(r"(?:[0-9A-Fa-f]{16}){1,2}", vector.strip()) is not None
+        and len(raw) >= _LEAST_SECRET
+        and len(raw) % 8 == 0
+    )
+
+
 def decoded_form(text: str) -> str | None:
     """What a candidate proves to be once decoded from hex or base64: `der`, `openssh`, or None."""
     if len(text) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", text) and (form := key_form(bytes.fromhex(text))):
@@ -145,8 +219,8 @@ def spans_of(text: str) -> list[tuple[str, int, int, bool, str | None]]:
         if form := decoded_form(m[0]):
             found.append(("key", m.start(), m.end(), False, form))
     for m in PEM.finditer(text):
-        raw = from_base64(re.sub(r"\s+", "", m[2]))
-        if raw and (form := key_form(raw)):
+        raw = from_base64(re.sub(r"\s+", "", m[3]))
+        if raw and (form := "encrypted" if encrypted_pem(m[1], m[2], raw) else key_form(raw)):
             found.append(("pem", m.start(), m.end(), False, form))
     order = {kind: i for i, kind in enumerate(BASE_KINDS + ADDED_KINDS)}
     return sorted(found, key=lambda s: (s[1], order[s[0]], s[2]))

@@ -83,14 +83,26 @@ def test_language_query_never_looks_at_labels_of_what_it_predicts(spark, two_lan
     assert all(r["lang_pred"] == ("north" if i < 100 else "south") for i, r in plain.items())
 
 
-def der_key() -> bytes:
-    def item(tag: int, body: bytes) -> bytes:
-        size = len(body)
-        head = bytes([size]) if size < 128 else bytes([0x81, size]) if size < 256 else b"\x82" + size.to_bytes(2, "big")
-        return bytes([tag]) + head + body
+def item(tag: int, *parts: bytes) -> bytes:
+    body = b"".join(parts)
+    size = len(body)
+    head = bytes([size]) if size < 128 else bytes([0x81, size]) if size < 256 else b"\x82" + size.to_bytes(2, "big")
+    return bytes([tag]) + head + body
+
+
+def number(n: int) -> bytes:
+    return item(0x02, n.to_bytes(n.bit_length() // 8 + 1, "big"))
 
-    inner = item(0x30, item(0x06, b"\x2a\x86\x48\xce") + item(0x05, b""))
-    return item(0x30, item(0x02, b"\x00") + inner + item(0x04, bytes(range(200))))
+
+RSA_ID = item(0x30, item(0x06, bytes.fromhex("2a864886f70d010101")), item(0x05))
+EC_ID = item(0x30, item(0x06, bytes.fromhex("2a8648ce3d0201")), item(0x06, bytes.fromhex("2a8648ce3d030107")))
+BIG = [(1 << 200) + k * 12345 for k in range(9)]
+RSA = item(0x30, number(0), *[number(n) for n in BIG[:8]])
+EC = item(0x30, number(1), item(0x04, bytes(range(1, 33))), item(0xA1, item(0x03, b"\0\4" + bytes(64))))
+
+
+def der_key() -> bytes:
+    return item(0x30, number(0), RSA_ID, item(0x04, RSA))
 
 
 def signed_token() -> str:
@@ -111,10 +123,58 @@ def test_confirmed_and_base_spans():
     assert text[got[0][1] : got[0][2]].startswith("Password")
     pem = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", key)) + "\n-----END PRIVATE KEY-----"
     assert "pem" in [k for k, *_ in secrets.spans_of(pem)]
-    assert not secrets.spans_of(key[:-8] + "AAAAAAA=")  # lengths no longer add up
+    cut = base64.b64encode(der_key()[:-3]).decode()
+    assert not secrets.spans_of(cut)  # lengths no longer add up
     assert not secrets.spans_of(prose(1, 300))
 
 
+def ssh(*fields: bytes, keys: int = 1, private: bytes = bytes(40)) -> bytes:
+    text = lambda b: len(b).to_bytes(4, "big") + b
+    public = b"".join(text(b"public") for _ in range(keys))
+    return b"openssh-key-v1\0" + b"".join(text(f) for f in fields) + keys.to_bytes(4, "big") + public + text(private)
+
+
+def test_private_keys_only():
+    ed = item(0x30, number(0), item(0x30, item(0x06, bytes.fromhex("2b6570"))), item(0x04, item(0x04, bytes(32))))
+    sealed = item(0x30, item(0x30, item(0x06, bytes.fromhex("2a864886f70d01050d")), item(0x30, number(1))), item(0x04, bytes(64)))
+    keys = {
+        "rsa": RSA, "ec": EC, "dsa": item(0x30, number(0), *[number(n) for n in BIG[:5]]), "pkcs8": der_key(),
+        "encrypted": sealed, "pkcs8 ": item(0x30, number(0), EC_ID, item(0x04, EC)), "pkcs8  ": ed,
+    }
+    for form, key in keys.items():
+        assert secrets.private_key(key) == form.strip() and secrets.key_form(key) == "der"
+        assert [k for k, *_ in secrets.spans_of(f"x {base64.b64encode(key).decode()} y")] == ["key"]
+        assert ("hex", "der") in [(k, f) for k, _, _, _, f in secrets.spans_of(key.hex())]
+        assert secrets.private_key(key[:-1]) is None and secrets.private_key(key + b"\0") is None
+    public = item(0x30, RSA_ID, item(0x03, b"\0", item(0x30, number(BIG[0]), number(65537))))
+    body = item(0x30, number(7), RSA_ID, item(0x30), item(0x30), public)
+    others = {
+        "PUBLIC KEY": public, "RSA PUBLIC KEY": item(0x30, number(BIG[0]), number(65537)),
+        "CERTIFICATE": item(0x30, body, RSA_ID, item(0x03, b"\0" + bytes(32))),
+        "DIGEST": item(0x30, item(0x30, item(0x06, bytes.fromhex("608648016503040201")), item(0x05)), item(0x04, bytes(32))),
+        "PRIVATE KEY": item(0x30, number(0), RSA_ID, item(0x04, bytes(range(200)))),
+        "SIGNATURE": item(0x30, number(BIG[0]), number(BIG[1])),
+    }
+    for label, data in others.items():
+        text = base64.b64encode(data).decode()
+        block = f"-----BEGIN {label}-----\n" + "\n".join(re.findall(".{1,64}", text)) + f"\n-----END {label}-----"
+        assert not secrets.spans_of(text) and not secrets.spans_of(block), label
+
+
+def test_encrypted_blocks_and_openssh_keys():
+    text = base64.b64encode(bytes(range(64))).decode()
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    block = f"-----BEGIN RSA PRIVATE KEY-----\n{head}{text}\n-----END RSA PRIVATE KEY-----"
+    assert [(k, f) for k, _, _, _, f in secrets.spans_of(block)] == [("pem", "encrypted")]
+    for old, new in (("4,ENCRYPTED", "4,CLEAR"), ("AABBCCDDEEFF", "XY"), ("RSA PRIVATE", "RSA PUBLIC"), (text, text[:40])):
+        assert not secrets.spans_of(block.replace(old, new)), new
+    good = ssh(b"none", b"none", b"")
+    assert secrets.key_form(good) == "openssh" and secrets.key_form(ssh(b"a", b"b", b"c", keys=2)) == "openssh"
+    for bad in (good[:-1], good + b"x", ssh(b"none", b"none"), ssh(b"n", b"n", b"", keys=0), ssh(b"n", b"n", b"", private=b"")):
+        assert secrets.key_form(bad) is None
+    assert not secrets.spans_of("-----BEGIN X-----" + "Aa-:b" * 20_000)
+
+
 def test_secret_rows_against_plain_patterns(spark):
     texts = [
         None, "", "token=abcde", "TOKEN = abcdef", "api_key:'zzzzzz' apikey=1234567", "AKIA" + "Z" * 15,
