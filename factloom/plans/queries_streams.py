@@ -329,6 +329,63 @@ def _er_truth(t: Tables):
     return files.read_er_truth(t.spark, path)
 
 
+@query(
+    "dataset_sequence",
+    "SRC15",
+    """SELECT s_nationkey AS nation, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS position,
+      'records/' || s_suppkey || '.json' AS file, CASE WHEN s_suppkey % 2 = 0 THEN 'email' ELSE 'linear_issue' END AS type,
+      'data/' || s_nationkey || '/er.json' AS er_truth
+    FROM supplier""",
+)
+def _dataset_sequence(t: Tables):
+    """A dataset of records per nation, with its config and its ordered list as YAML files, read back."""
+    item = F.concat(
+        F.lit("- file: records/"), "s_suppkey", F.lit(".json\n  type: "),
+        F.when(F.col("s_suppkey") % 2 == 0, "email").otherwise("linear_issue"), F.lit("\n"),
+    )
+    listed = F.array_sort(F.collect_list(F.struct("s_suppkey", item.alias("text"))))
+    sets = t.raw("supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(
+        F.array_join(F.transform(listed, lambda x: x["text"]), "").alias("sequence")
+    )
+    config = F.concat(
+        F.lit("version: 1\nname: 'n"), "nation", F.lit("'\nground_truth:\n  entity_resolution: data/"), "nation",
+        F.lit("/er.json\n"),
+    )
+    path = scratch(t.spark, "dataset")
+    for name, text in (("sequence", F.col("sequence")), ("config", config)):
+        files_of = sets.select("nation", text.alias("value")).write.option("maxRecordsPerFile", 1)
+        files_of.partitionBy("nation").text(f"{path}/{name}")
+    nation = F.regexp_extract("path", r"nation=(\d+)", 1).cast("int").alias("nation")
+    told = files.read_config_yaml(t.spark, f"{path}/config").filter("nested AND key = 'entity_resolution'")
+    told = told.select(nation, F.col("value").alias("er_truth"))
+    rows = files.read_sequence_yaml(t.spark, f"{path}/sequence")
+    return rows.join(told, "nation").select("nation", "position", "file", "type", "er_truth")
+
+
+@query(
+    "fact_truth",
+    "SRC15 ST2",
+    """SELECT 'AFFILIATED' AS edge_label, 'subsidiary' AS fact_type, s_name AS from_entity,
+      'nation ' || s_nationkey AS to_entity, CASE WHEN s_suppkey % 3 = 0 THEN 'inferred' ELSE 'stated' END AS confidence,
+      CASE WHEN s_suppkey % 2 = 0 THEN '1998-01-01' END AS valid_until, 'edge_label,from_entity' AS matched_on
+    FROM supplier""",
+)
+def _fact_truth(t: Tables):
+    """Expected facts and the fields they are matched on, as one JSON document, read back."""
+    fact = F.struct(
+        F.lit("AFFILIATED").alias("edge_label"), F.lit("subsidiary").alias("fact_type"),
+        F.col("s_name").alias("from_entity"), F.concat(F.lit("nation "), "s_nationkey").alias("to_entity"),
+        F.when(F.col("s_suppkey") % 3 == 0, "inferred").otherwise("stated").alias("confidence"),
+        F.when(F.col("s_suppkey") % 2 == 0, "1998-01-01").alias("valid_until"),
+    )
+    fields = F.array(F.lit("edge_label"), F.lit("from_entity")).alias("match_on")
+    docs = t.raw("supplier").groupBy(F.floor(F.col("s_suppkey") / 500)).agg(F.collect_list(fact).alias("expected_facts"))
+    path = scratch(t.spark, "fact-truth")
+    docs.select(F.to_json(F.struct("expected_facts", fields)).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    found, on = files.read_fact_truth(t.spark, path)
+    return found.withColumn("matched_on", F.lit(",".join(on)))
+
+
 @query(
     "alias_sources",
     "AG7",

@@ -192,8 +192,12 @@ def read_sequence_yaml(spark: SparkSession, path: str) -> DataFrame:
 
     Each `- file:` item is cut out of the text as a whole, so order is the item's place in its file.
     """
-    items = spark.read.text(path, wholetext=True).select(
-        F.posexplode(F.split(F.concat(F.lit("\n"), "value"), r"\n\s*-\s+")).alias("position", "item")
+    given = spark.read.text(path, wholetext=True)
+    # a folder with a dataset per partition keeps its columns
+    sets = [c for c in given.columns if c != "value"]
+    items = given.select(
+        *sets,
+        F.posexplode(F.split(F.concat(F.lit("\n"), "value"), r"\n\s*-\s+")).alias("position", "item"),
     )
 
     def value(key: str) -> Column:
@@ -201,7 +205,7 @@ def read_sequence_yaml(spark: SparkSession, path: str) -> DataFrame:
         return F.nullif(found, F.lit(""))
 
     rows = items.filter("position > 0").select(
-        "position", value("file").alias("file"), value("type").alias("type")
+        *sets, (F.col("position") - 1).alias("position"), value("file").alias("file"), value("type").alias("type")
     )
     return rows.filter(F.col("file").isNotNull())
 

@@ -56,9 +56,9 @@ def test_containing_equals_brute_force(spark):
     rng = random.Random(7)
     texts = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(80)}
     needles = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(30)}
-    t = spark.createDataFrame([(x,) for x in texts], "text string")
+    t = spark.createDataFrame([(x, x) for x in texts], "text string, key string")
     n = spark.createDataFrame([(x,) for x in needles] + [("",)], "needle string")
-    got = {(r.needle, r.text) for r in grouped.containing(n, "needle", t, "text").collect()}
+    got = {(r.needle, r.key) for r in grouped.containing(n, "needle", t, "text").collect()}
     assert got == {(a, b) for a in needles for b in texts if a in b}
 
 
