@@ -143,15 +143,6 @@ class Aligner:
             self.pairs.append(((x[:, None] << 32 | y[None, :]).ravel(), (n[:, None] * m[None, :]).ravel()))
         return self.types[a, b]
 
-    def _cut(self, a: list[int], b: list[int]) -> Iterator[tuple[int, tuple, tuple]]:
-        """Groups of a run: the byte where each ends, and its ids."""
-        a_ends, b_ends = np.cumsum(self.v.a_size[a]), np.cumsum(self.v.b_size[b])
-        ends, at, to = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-        i = j = 0
-        for end, x, y in zip(ends.tolist(), (at + 1).tolist(), (to + 1).tolist(), strict=True):
-            yield end, tuple(a[i:x]), tuple(b[j:y])
-            i, j = x, y
-
     def _runs(self, chunks: list[bytes]) -> Iterator[tuple[list[bytes], tuple[list[int], list[int]] | None]]:
         """Chunks with the ids of both tokenizers behind those of a leading letter, many at a time."""
 
@@ -179,38 +170,63 @@ class Aligner:
                 run.append(chunk)
                 size += len(chunk)
 
+    def _groups(self, run: list[bytes], a: list[int], b: list[int]) -> dict[str, np.ndarray]:
+        """Columns of a run's chunks, its one-to-one groups in order, and the numbers of its other groups."""
+        ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        ends, at, to = np.intersect1d(
+            np.cumsum(self.v.a_size[ids_a]), np.cumsum(self.v.b_size[ids_b]), assume_unique=True, return_indices=True
+        )
+        stops_a, stops_b = at + 1, to + 1
+        n_a, n_b = np.diff(stops_a, prepend=0), np.diff(stops_b, prepend=0)
+        chunk_ends = np.cumsum([len(c) for c in run])
+        last = np.searchsorted(ends, chunk_ends)
+        if last[-1] >= len(ends) or (ends[last] != chunk_ends).any():
+            raise RuntimeError("a chunk's end is no end of tokens")
+        first = np.concatenate([[0], last[:-1] + 1])
+        one = (n_a == 1) & (n_b == 1)
+        regular = one.copy()
+        regular[one] = self.v.same[ids_a[stops_a[one] - 1]] == ids_b[stops_b[one] - 1]
+        text_a, text_b = [self.a_text[i] for i in a], [self.b_text[i] for i in b]
+        shown = [
+            f"{text_a[i]}|{text_b[j]}" if x - i == 1 == y - j
+            else ",".join(text_a[i:x]) + "|" + ",".join(text_b[j:y])
+            for i, x, j, y in zip(
+                (stops_a - n_a).tolist(), stops_a.tolist(), (stops_b - n_b).tolist(), stops_b.tolist(), strict=True
+            )
+        ]
+        self.shown.extend([";".join(shown[g:h]) for g, h in zip(first.tolist(), (last + 1).tolist(), strict=True)])
+        odd = np.flatnonzero(~regular)
+        types = [
+            self._type(tuple(a[i:x]), tuple(b[j:y]))
+            for i, x, j, y in zip(
+                (stops_a - n_a)[odd].tolist(), stops_a[odd].tolist(), (stops_b - n_b)[odd].tolist(),
+                stops_b[odd].tolist(), strict=True,
+            )
+        ]
+        total = lambda x: np.add.reduceat(x.astype(np.int64), first)
+        return {
+            "n_a": total(n_a), "n_b": total(n_b), "n_groups": last + 1 - first, "n_links": total(n_a * n_b),
+            "same_size": total(regular), "odd_size": total(~regular), "same": ids_a[stops_a[regular] - 1],
+            "odd": np.array(types, dtype=np.int64), "bad": np.zeros(len(run), np.int64),
+        }
+
     def learn(self, chunks: list[bytes]) -> None:
-        n_a, n_b, n_groups, n_links, bad = [], [], [], [], []
-        same, same_size, odd, odd_size = [], [], [], []
+        parts: list[dict[str, np.ndarray]] = []
         for run, found in self._runs(chunks):
-            groups = self._cut(*found) if found else iter(())
-            end = 0
             for chunk in run:
-                self.codes[chunk] = len(self.shown)
-                end += len(chunk)
-                reached, shown, counts = 0, [], [0, 0, 0, 0]
-                before = len(same), len(odd)
-                while found and reached < end:
-                    reached, a, b = next(groups)
-                    counts = [counts[0] + len(a), counts[1] + len(b), counts[2] + 1, counts[3] + len(a) * len(b)]
-                    if len(a) == len(b) == 1:
-                        shown.append(f"{self.a_text[a[0]]}|{self.b_text[b[0]]}")
-                        if self.v.same[a[0]] == b[0]:
-                            same.append(a[0])
-                            continue
-                    else:
-                        shown.append(",".join([self.a_text[i] for i in a]) + "|" + ",".join([self.b_text[i] for i in b]))
-                    odd.append(self._type(a, b))
-                if found and reached != end:
-                    raise RuntimeError("a chunk's end is no end of tokens")
-                self.shown.append(";".join(shown))
-                for column, x in zip((n_a, n_b, n_groups, n_links), counts, strict=True):
-                    column.append(x)
-                bad.append(int(found is None))
-                same_size.append(len(same) - before[0])
-                odd_size.append(len(odd) - before[1])
-        grow = lambda old, new: np.concatenate([old, np.array(new, dtype=np.int64)])
-        starts = lambda size, first: first + np.cumsum(size, dtype=np.int64) - size
+                self.codes[chunk] = len(self.codes)
+            if found:
+                parts.append(self._groups(run, *found))
+            else:
+                none = {c: np.zeros(len(run), np.int64) for c in ("n_a", "n_b", "n_groups", "n_links", "same_size", "odd_size")}
+                empty = np.zeros(0, np.int64)
+                parts.append({**none, "same": empty, "odd": empty, "bad": np.ones(len(run), np.int64)})
+                self.shown.extend([""] * len(run))
+        whole = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+        n_a, n_b, n_groups, n_links, bad = (whole[c] for c in ("n_a", "n_b", "n_groups", "n_links", "bad"))
+        same, same_size, odd, odd_size = (whole[c] for c in ("same", "same_size", "odd", "odd_size"))
+        grow = lambda old, new: np.concatenate([old, new])
+        starts = lambda size, first: first + np.cumsum(size) - size
         self.same_at = grow(self.same_at, starts(same_size, len(self.same_ids)))
         self.odd_at = grow(self.odd_at, starts(odd_size, len(self.odd_ids)))
         self.same_size, self.odd_size = grow(self.same_size, same_size), grow(self.odd_size, odd_size)
