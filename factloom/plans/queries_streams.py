@@ -30,9 +30,8 @@ class StreamTables(Tables):
     def raw(self, name: str) -> DataFrame:
         if name not in self.streamed:
             return super().raw(name)
-        df = streams.stream_files(
-            self.spark, self.folder, TABLE_SCHEMAS[name], "parquet", glob=f"{name}.parquet"
-        )
+        # a table is one file or a folder of files; as a pattern its path stands for either
+        df = streams.stream_files(self.spark, f"{self.folder}/{{{name}.parquet}}", TABLE_SCHEMAS[name], "parquet")
         zoned = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
         return df.withColumns({c: F.col(c).cast("timestamp") for c in zoned}) if zoned else df
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import shutil
+
 from pyspark.sql import functions as F
 
 from factloom.operators.records import dedup_records
@@ -243,3 +245,23 @@ def test_crash_between_merge_and_switch_and_replay(spark, tmp_path, monkeypatch)
     named = {r.folder for r in again.runs()}
     left = {p.name for p in (tmp_path / "s").iterdir() if p.name.startswith("run-")}
     assert named <= left and len(left) <= 4
+
+
+def test_streamed_table_may_be_a_file_or_a_folder_of_files(spark, tmp_path):
+    from factloom.plans.queries_streams import StreamTables
+    from factloom.sources.tables import TABLE_SCHEMAS, Tables
+
+    rows = [(i, 0, "user" if i % 2 else "assistant", "x" * i) for i in range(6)]
+    calls = spark.createDataFrame(rows, TABLE_SCHEMAS["conversations"])
+    many, one = tmp_path / "many", tmp_path / "one"
+    calls.repartition(3).write.parquet(str(many / "conversations.parquet"))
+    calls.coalesce(1).write.parquet(str(tmp_path / "part"))
+    one.mkdir()
+    shutil.copy(next((tmp_path / "part").glob("*.parquet")), one / "conversations.parquet")
+    for folder in (many, one):
+        # another table beside it is not read
+        calls.write.parquet(str(folder / "old_conversations.parquet"))
+        out = str(folder / "out")
+        live = StreamTables(Tables(spark, str(folder)), "conversations").model_calls()
+        streams.stream_usage(live, out, str(folder / "cp")).awaitTermination()
+        assert streams.read_usage(spark, out).agg(F.sum("calls"), F.sum("input_tokens")).first()[:] == (6, 9)
