@@ -152,3 +152,12 @@ def test_vectors_of_another_length_are_an_error(spark):
         ivf.search_many(index, spark.createDataFrame([("q", [1.0])], "query_id string, embedding array<float>")).collect()
     empty = ivf.build(rows.limit(0))
     assert empty.blocks.count() == 0
+
+
+def test_grams_of_many_needles_are_not_broadcast(spark, monkeypatch):
+    n = spark.createDataFrame([(i, f"name {i:03d}") for i in range(40)], "k int, needle string")
+    t = spark.createDataFrame([(i, f"to name {i:03d}, name {i + 1:03d}") for i in range(40)], "t int, text string")
+    monkeypatch.setattr("factloom.operators.grouped.FEW_NEEDLES", 39, raising=False)
+    found = containing(n, "needle", t, "text")
+    assert {(r.k, r.t) for r in found.collect()} == {(i + d, i) for i in range(40) for d in (0, 1) if i + d < 40}
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
