@@ -161,3 +161,28 @@ def test_grams_of_many_needles_are_not_broadcast(spark, monkeypatch):
     found = containing(n, "needle", t, "text")
     assert {(r.k, r.t) for r in found.collect()} == {(i + d, i) for i in range(40) for d in (0, 1) if i + d < 40}
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_vector_is_copied_for_each_list_and_a_task_keeps_the_best_of_all_its_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ivf, "BLOCK", 8)
+    monkeypatch.setattr(ivf, "PACKET", 16)
+    x = np.random.default_rng(4).normal(size=(600, 8)).round(2)
+    rows = spark.createDataFrame([(f"r{k:04d}", v.tolist()) for k, v in enumerate(x)], VECTORS)
+    index, sizes, keep = ivf.build(rows, lists=40), {}, ivf.written
+
+    def counted(df, name):
+        out = keep(df, name)
+        sizes[name] = out.agg(F.sum(F.size("query_ids"))).first()[0] if "query_ids" in out.columns else out.count()
+        return out
+
+    monkeypatch.setattr(ivf, "written", counted)
+    asked = rows.withColumnRenamed("record_id", "query_id")
+    for probes, least in ((40, 1.0), (30, 0.9)):
+        found = ivf.search_many(index, asked, 3, probes).collect()
+        tasks = spark.sparkContext.defaultParallelism
+        assert sizes["found"] <= 600 * 3 * tasks and {v for k, v in sizes.items() if "packets" in k} == {600}
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        best = np.sort(unit @ unit.T, axis=1)[:, ::-1][:, :3]
+        got = {(r.query_id, r["rank"]): r.score for r in found}
+        right = [np.isclose(got[f"r{k:04d}", j + 1], best[k, j]) for k in range(600) for j in range(3)]
+        assert np.mean(right) >= least
