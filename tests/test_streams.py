@@ -265,3 +265,18 @@ def test_streamed_table_may_be_a_file_or_a_folder_of_files(spark, tmp_path):
         live = StreamTables(Tables(spark, str(folder)), "conversations").model_calls()
         streams.stream_usage(live, out, str(folder / "cp")).awaitTermination()
         assert streams.read_usage(spark, out).agg(F.sum("calls"), F.sum("input_tokens")).first()[:] == (6, 9)
+
+
+def test_current_facts_hold_no_slot_between_batches(spark, make_facts, tmp_path):
+    """The folders are the state: a checkpoint without a state store, and one folder is not reduced again."""
+    base = {"from_id": "a", "to_id": "b", "source_at": "2024-03-01"}
+    f = make_facts(*[{"edge_id": str(i), "fact": str(i % 3), **base} for i in range(9)])
+    folder, out, cp = str(tmp_path / "in"), str(tmp_path / "out"), tmp_path / "cp"
+    for start, n in ((0, 1), (1, 2)):
+        drip(f, folder, [F.col("fact") == str(i) for i in range(start, start + n)], start=start)
+        streams.stream_current_facts(read_stream(spark, folder, FACTS), out, str(cp)).awaitTermination()
+        got = streams.read_current_facts(spark, out)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert [r.edge_id for r in got.collect()] == ["8" if start else "6"]
+        assert ("Aggregate" in plan) == (start > 0)
+    assert (cp / "offsets").exists() and not (cp / "state").exists()
