@@ -344,7 +344,14 @@ def er_scores(
     ).filter(F.col("_form").isNotNull())
     held = held.withColumn("_form", F.lower("_form")).distinct()
     holders = held.join(_expected_owners(expected, by), [*by, "_form"])
-    return _er_totals(expected, diag, actual, holders, by)
+    per_node = holders.groupBy(*by, "entity_id").agg(
+        (F.min("_canonical") < F.max("_canonical")).alias("several")
+    )
+    false_merges = per_node.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("false_merge_total"),
+        F.count_if("several").alias("false_merge_count"),
+    )
+    return _er_totals(expected, diag, actual, false_merges, by)
 
 
 def _expected_owners(expected: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -356,9 +363,9 @@ def _expected_owners(expected: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _er_totals(
-    expected: DataFrame, diag: DataFrame, actual: DataFrame, holders: DataFrame, by: Sequence[str]
+    expected: DataFrame, diag: DataFrame, actual: DataFrame, false_merges: DataFrame, by: Sequence[str]
 ) -> DataFrame:
-    """The scores per slice from diagnostics, node counts, and nodes holding expected forms."""
+    """The scores per slice from diagnostics, node counts, and counts of nodes holding expected forms."""
     by = list(by)
     per_entity = diag.groupBy(*by, "canonical_name").agg(
         F.count(F.lit(1)).alias("forms"),
@@ -374,13 +381,6 @@ def _er_totals(
     wanted = expected.groupBy(*by).agg(
         F.count_distinct("canonical_name").alias("node_count_expected")
     )
-    per_node = holders.groupBy(*by, "entity_id").agg(
-        (F.min("_canonical") < F.max("_canonical")).alias("several")
-    )
-    false_merges = per_node.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("false_merge_total"),
-        F.count_if("several").alias("false_merge_count"),
-    )
     # The parts are put under each other and summed per slice: no join, also when `by` is empty.
     rows = wanted
     for part in (actual, merges, false_merges):
@@ -440,9 +440,43 @@ def er_timeslices(expected: DataFrame, entity_forms: DataFrame, slices: DataFram
     actual = cumulative_at(points, births, [], "at", "_one", "node_count_actual", total=True)
 
     since = held.groupBy(F.col("f.form").alias("_form"), "entity_id").agg(F.min("at").alias("_since"))
-    wanted = _expected_owners(timed, ["slice", "at"])
-    holders = since.join(wanted, "_form").filter(F.col("_since") <= F.col("at"))
-    return _er_totals(timed, diag, actual.drop("at"), holders, ["slice"])
+    last = timed.groupBy("slice").agg(F.max("at").alias("at"))
+    wanted = _expected_owners(timed, ["slice"]).join(last, "slice")
+    return _er_totals(timed, diag, actual.drop("at"), _timed_false_merges(since, wanted), ["slice"])
+
+
+def _timed_false_merges(since: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Per slice the nodes that hold an expected form by then, and those with forms of several entities.
+
+    `since` (_form, entity_id, _since), `wanted` (slice, at, _form, _canonical). Many nodes may share a form that
+    many slices want. So each node is counted with the one of its forms that most slices want, by a running
+    total per form; only with its other forms does it meet the slices, where it is new or has several.
+    """
+    asked = wanted.groupBy("_form").agg(F.count(F.lit(1)).alias("_slices"))
+    mine = since.join(asked, "_form")
+    main = mine.groupBy("entity_id").agg(F.max(F.struct("_slices", "_form", "_since")).alias("_main"))
+    entered = main.select(
+        F.col("_main._form").alias("_form"), F.col("_main._since").alias("at"), F.lit(1).cast("long").alias("_one")
+    )
+    by_main = cumulative_at(wanted, entered, ["_form"], "at", "_one", "_n", total=True, grain="year")
+    zero = F.lit(0).cast("long")
+    total = by_main.select("slice", F.coalesce("_n", zero).alias("false_merge_total"), zero.alias("false_merge_count"))
+
+    other = mine.join(main, "entity_id").filter(F.col("_form") != F.col("_main._form"))
+    met = other.join(wanted, "_form").filter(F.col("_since") <= F.col("at"))
+    met = met.groupBy(
+        "slice", "at", "entity_id", F.col("_main._form").alias("_form"), F.col("_main._since").alias("_since")
+    ).agg(F.min("_canonical").alias("_low"), F.max("_canonical").alias("_high"))
+    too = wanted.select("slice", "_form", F.col("_canonical").alias("_main_canonical"))
+    met = met.join(too, ["slice", "_form"], "left")
+    own = F.when(F.col("_since") <= F.col("at"), F.col("_main_canonical"))
+    rest = met.select(
+        "slice",
+        own.isNull().cast("long").alias("false_merge_total"),
+        (F.least("_low", own) < F.greatest("_high", own)).cast("long").alias("false_merge_count"),
+    )
+    counts = [F.sum(c).alias(c) for c in ("false_merge_total", "false_merge_count")]
+    return total.unionByName(rest).groupBy("slice").agg(*counts)
 
 
 def resolution_accuracy(pairs: DataFrame, entity_forms: DataFrame) -> DataFrame:

@@ -101,3 +101,26 @@ def test_forms_are_not_repeated_per_slice(spark):
     assert out.count() == 2000
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Cartesian" not in plan and "Join Cross" not in plan and "NestedLoop" not in plan
+
+
+def test_a_form_of_many_nodes_and_slices_is_counted_without_pairing_them(spark):
+    """400 nodes share a form that 60 slices want: only their other forms meet slices."""
+    start = START.replace(hour=0)
+    since = [("shared", f"n{i}", start + timedelta(days=i % 50)) for i in range(400)]
+    since += [(f"own {i}", f"n{i}", start + timedelta(days=i % 50)) for i in range(400)]
+    slices = [(f"s{k:02d}", start + timedelta(days=k)) for k in range(60)]
+    wanted = [(s, at, "shared", "a") for s, at in slices]
+    wanted += [(*slices[i % 60], f"own {i}", "a" if i % 3 else "b") for i in range(400)]
+    wanted.append(("alone", start + timedelta(days=70), "own 7", "c"))
+    s = spark.createDataFrame(since, "_form string, entity_id string, _since timestamp")
+    w = spark.createDataFrame(wanted, "slice string, at timestamp, _form string, _canonical string")
+    got = evaluate._timed_false_merges(s, w)
+    want = {}
+    for name, at in [*slices, ("alone", start + timedelta(days=70))]:
+        own = {f: c for x, _, f, c in wanted if x == name}
+        nodes = defaultdict(set)
+        for form, node, first in since:
+            if form in own and first <= at:
+                nodes[node].add(own[form])
+        want[name] = (len(nodes), sum(len(n) > 1 for n in nodes.values()))
+    assert {r["slice"]: (r.false_merge_total, r.false_merge_count) for r in got.collect()} == want
