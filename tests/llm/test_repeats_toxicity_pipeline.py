@@ -208,3 +208,15 @@ def test_pipeline_stages_against_their_rules(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == ids["decontamination"]
     assert [r["doc_id"] for r in packed if r["doc_tokens"] != r["length"]] == []
+
+
+def test_repeats_look_at_small_pieces_of_a_batch():
+    """What a piece takes is a multiple of its bytes, so a batch of many texts is many pieces."""
+    import pyarrow as pa
+
+    texts = [f"{k:04d} " + "abcdefgh " * 113 for k in range(1000)]
+    columns = [pa.array(range(1000), pa.int64()), pa.array(range(1000), pa.int64()), pa.array(texts)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["doc", "key", "text"])
+    found = list(repeats._chunk_rows(iter([batch])))
+    assert len(found) >= 4 and sum(b.num_rows for b in found) >= 1000
+    assert int(repeats.BATCH_ROWS) <= 500
