@@ -233,7 +233,7 @@ def canonical_facts(facts: DataFrame, entities: DataFrame, records: DataFrame) -
             F.initcap(F.col(f"{prefix}_type")).alias("type"),
         )
 
-    named = fq.with_names(facts, entities).join(links, "source_record", "left")
+    named = fq.with_names(facts, entities, whole=True).join(links, "source_record", "left")
     return named.select(
         "edge_id",
         "edge_label",
