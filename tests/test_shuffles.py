@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from factloom.operators import facts, grouped
+from factloom.operators import build, facts, grouped
 
 
 def rows_of(df):
@@ -44,3 +44,20 @@ def test_names_of_a_whole_graph_are_those_of_single_facts(make_facts, spark, mon
     whole = facts.with_names(f, e, whole=True)
     assert "strategy=broadcast" in plan_of(whole)
     assert rows_of(whole) == rows_of(facts.with_names(f, e))
+
+
+def test_entities_are_merged_in_one_pass_over_the_mentions(spark):
+    rows = [("e1", "person", "A", {"email": "a@x", "t": "1"}, "2024-01-02"),
+            ("e1", "person", "A", {"email": "b@x", "t": None}, "2024-01-03"),
+            ("e1", "person", "A", None, "2024-01-01"), ("e2", "company", "B", {}, "2024-01-01"),
+            ("e3", "company", "C", {"domain": None}, None), (None, "person", "D", {"email": "d@x"}, "2024-01-01")]
+    m = spark.createDataFrame(rows, "entity_id string, type string, name string, metadata map<string,string>, at string")
+    merged = build.merge_entities(m.withColumn("at", F.to_timestamp("at")))
+    assert plan_of(merged).count("LogicalRDD") + plan_of(merged).count("LocalRelation") == 1
+    got = {r.name: (r.entity_id, r.email, r.domain, r.metadata, str(r.created_at)[:10]) for r in merged.collect()}
+    assert got == {
+        "A": ("e1", "b@x", None, {"email": "b@x", "t": "1"}, "2024-01-01"),
+        "B": ("e2", None, None, None, "2024-01-01"),
+        "C": ("e3", None, None, None, "None"),
+        "D": (None, None, None, None, "2024-01-01"),
+    }
