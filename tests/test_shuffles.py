@@ -46,6 +46,31 @@ def test_names_of_a_whole_graph_are_those_of_single_facts(make_facts, spark, mon
     assert rows_of(whole) == rows_of(facts.with_names(f, e))
 
 
+CLAIM = (
+    "edge_id string, source_record string, position int, confidence string, fact string, source_at timestamp"
+)
+
+
+def claims(spark):
+    rows = [("e1", "r1", 0, "stated", "a"), ("e1", "r1", 1, "inferred", "b"), ("e1", "r2", 0, "inferred", "c"),
+            ("e2", "r1", 2, "stated", "d"), ("e3", None, 0, None, "e"), ("e4", "r4", 0, "stated", "f"),
+            (None, "r5", 0, "stated", "g"), (None, "r5", 1, "stated", "h")]
+    return spark.createDataFrame([(*r, None) for r in rows], CLAIM)
+
+
+def test_only_claims_of_repeated_edges_meet(spark, monkeypatch):
+    rows = claims(spark)
+    stored = build.dedup_facts(rows.filter("edge_id = 'e4'"))
+    known = spark.createDataFrame([("e4", "r4", "stated"), ("e9", "r9", "stated")], "edge_id string, record_id string, confidence string")
+    again = build.repeated_edges(rows, [stored, known])
+    assert again.count() == 3  # e1, e4 and the null id
+    for old, of in ((None, None), (stored, known)):
+        assert rows_of(build.dedup_facts(rows, old, again)) == rows_of(build.dedup_facts(rows, old))
+        assert rows_of(build.merge_sources(rows, of, again)) == rows_of(build.merge_sources(rows, of))
+    monkeypatch.setattr(build, "SENT_EDGES", 2)
+    assert build.repeated_edges(rows, [stored, known]) is None
+
+
 def test_entities_are_merged_in_one_pass_over_the_mentions(spark):
     rows = [("e1", "person", "A", {"email": "a@x", "t": "1"}, "2024-01-02"),
             ("e1", "person", "A", {"email": "b@x", "t": None}, "2024-01-03"),
