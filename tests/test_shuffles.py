@@ -86,3 +86,24 @@ def test_entities_are_merged_in_one_pass_over_the_mentions(spark):
         "C": ("e3", None, None, None, "None"),
         "D": (None, None, None, None, "2024-01-01"),
     }
+
+
+def test_first_connections_and_many_chosen_entities(make_facts, spark, monkeypatch):
+    links = [("a", "b"), ("b", "a"), ("a", "b"), ("a", "c"), ("a", "d"), ("a", "a"), ("c", "d"), ("e", "a"), ("a", None), ("a", "f")]
+    f = make_facts(*[{"edge_id": f"e{i}", "from_id": x, "to_id": y} for i, (x, y) in enumerate(links)])
+    e = spark.createDataFrame(
+        [("a", "A", "person"), ("b", "Same", "person"), ("c", "Same", "company"), ("d", "D", "project"), ("e", " ", "x"), ("f", "F", "x")],
+        "entity_id string, name string, entity_type string",
+    )
+    chosen = spark.createDataFrame([("a",), ("a",), ("d",), (None,), ("zz",)], "entity_id string")
+    top = facts.top_connections_per_entity(f, e, 2)
+    every = grouped.top_per_key(facts.connection_names(f, e), ["entity_id"], [F.col("connection")], 2)
+    assert rows_of(top) == rows_of(every)
+    # the pairs, then the entities: the names are grouped where their entity is ranked
+    some = rows_of(facts.top_connections_per_entity(f, e, 2, chosen))
+    few = rows_of(facts.top_facts_per_entity(f, 2, chosen))
+    assert some == rows_of(every.join(chosen.distinct(), "entity_id")) and few
+    monkeypatch.setattr(facts, "HOT_KEYS", 0)
+    assert rows_of(facts.top_connections_per_entity(f, e, 2, chosen)) == some
+    late = facts.top_facts_per_entity(f, 2, chosen)
+    assert rows_of(late) == few and "Window" in plan_of(late).split("Join LeftSemi")[1]
