@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factloom.llm import jaccard, language, repeats, toxicity
+from factloom.llm.words import Piece
 
 
 def plain_removal(rows):
@@ -73,6 +74,35 @@ def test_repeats_against_brute_force(spark, small):
         assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] == r["n_bytes"] - len(r["kept"])
 
 
+def test_segments_are_the_strings_of_their_smallest_hash(spark):
+    """Every string lies in one segment; no segment reaches on, and no row carries the hash of its anchor."""
+    rng = random.Random(4)
+    raw = bytes(rng.randrange(97, 123) for _ in range(5_000))
+    piece = Piece(0, np.frombuffer(raw, np.uint8), np.array([0, 2_000, 2_030, len(raw)]))
+    value, row, at, least = repeats.anchors(piece)
+    first, last = repeats.reach(value, at, least)
+    covered = sorted(s for a, b in zip(first.tolist(), last.tolist(), strict=True) for s in range(a, b + 1))
+    assert covered == [*range(1_951), *range(2_030, len(raw) - 49)]
+    assert ((first <= at) & (at <= last + 30)).all()
+    assert "anchor" not in repeats._SEGMENT.names
+
+
+def test_only_documents_of_several_texts_keep_a_hash(spark):
+    long = prose(5, 40)
+    rows = [(1, long), (2, long + " more"), (2, "short"), (3, long), (3, long), (None, "a" * 60), (None, "b" * 60), (4, None)]
+    docs = documents(spark, rows).select(
+        F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.xxhash64("text").alias("hash")
+    )
+    keyed = repeats._keyed(docs).collect()
+    assert sorted((r["doc"], r["key"] == r["hash"]) for r in keyed) == sorted(
+        (-1 if k is None else k, k in (None, 2)) for k, _ in rows
+    )
+    assert {r["key"] for r in keyed if r["doc"] in (1, 3, 4)} == {0}
+    out = repeats.repeats_query(documents(spark, rows)).collect()
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out)
+    assert got == plain_removal(rows)
+
+
 def test_repeats_of_an_empty_table(spark):
     assert repeats.repeats_query(documents(spark, [])).count() == 0
 
