@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from factloom.llm.store import stored
 from factloom.llm.words import pieces
 
+#: Bytes of text looked at together: types are learned by the piece.
+PIECE = 1 << 20
 #: A bucket of documents ends at so many bytes of text or documents, and a worker keeps so many chunks.
 BUCKET_BYTES = 16 << 20
 BUCKET_DOCS = 4_096
@@ -383,7 +385,7 @@ def _encoded(a_file: str, b_file: str):
         some = False
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for piece in pieces(batch.column(1)):
+            for piece in pieces(batch.column(1), PIECE):
                 some = True
                 bucket.add(piece, ids[piece.first : piece.first + piece.rows])
                 if bucket.full():

@@ -72,11 +72,12 @@ class ChunkEncoder:
         ids, size = self._encoded(chunks)
         start = (len(self.ids) + np.cumsum(size) - size).astype(np.int32)
         self.ids = np.concatenate([self.ids, ids])
-        hashes = np.concatenate([self.hashes, hashes])
+        # only what is new is sorted; the known stay in order
         order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.start = np.concatenate([self.start, start])[order]
-        self.size = np.concatenate([self.size, size.astype(np.int32)])[order]
+        place = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, place, hashes[order])
+        self.start = np.insert(self.start, place, start[order])
+        self.size = np.insert(self.size, place, size[order].astype(np.int32))
 
     def __call__(self, piece: Piece) -> tuple[np.ndarray, np.ndarray, Words]:
         """All ids of a piece in order, where each row's begin (one more entry than rows), and the chunks."""

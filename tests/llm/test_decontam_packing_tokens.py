@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_helpers import documents, prose, rows_by_id
 from pyspark.sql import functions as F
 
 from factloom.llm import attribution, decontam, encode, packing
 from factloom.llm.queries import tokenizer_file
-from factloom.llm.words import pieces
+from factloom.llm.words import distinct, pieces
 
 WORD = "word_bpe_49k.json"
 
@@ -240,3 +244,27 @@ def test_documents_without_tokens_have_a_row_of_zero(spark):
     empty = sorted(tuple(r) for r in out if r["doc_id"] < 3)
     assert empty == [(1, None, 0, 0), (2, None, 0, 0)]
     assert sum(r["n_tokens"] for r in out if r["doc_id"] == 3) > 0
+
+
+def test_workers_of_the_pipeline_stay_small():
+    """They need no pandas, and look at little text at once; smaller pieces give the same ids."""
+    stages = "decontam, jaccard, language, packing"
+    code = f"import sys; from factloom.llm import {stages}; sys.exit('pandas' in sys.modules)"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, check=False).returncode == 0
+    texts = pa.array([prose(k, 400) + f" Word{k}, it's {k * 7}." for k in range(300)])
+    found = [p.data.nbytes for p in pieces(texts)]
+    assert len(found) > 1 and max(found) <= 1 << 18
+    by_pieces, at_once = (encode.ChunkEncoder(tokenizer_file(WORD)) for _ in range(2))
+    some = np.concatenate([by_pieces(p)[0] for p in pieces(texts, 1 << 14)])
+    whole = np.concatenate([at_once(p)[0] for p in pieces(texts, 1 << 24)])
+    assert some.tolist() == whole.tolist()
+    assert (np.diff(by_pieces.hashes.astype(object)) > 0).all()
+
+
+def test_distinct_values_stand_in_order_of_their_first_place():
+    values = np.array([7, 1 << 63, 7, 0, 1 << 63, 5], dtype=np.uint64)
+    unique, first, back = distinct(values)
+    assert unique.tolist() == [7, 1 << 63, 0, 5] and first.tolist() == [0, 1, 3, 5]
+    assert unique[back].tolist() == values.tolist()
+    assert [len(x) for x in distinct(values[:0])] == [0, 0, 0]
