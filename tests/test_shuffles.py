@@ -107,3 +107,24 @@ def test_first_connections_and_many_chosen_entities(make_facts, spark, monkeypat
     assert rows_of(facts.top_connections_per_entity(f, e, 2, chosen)) == some
     late = facts.top_facts_per_entity(f, 2, chosen)
     assert rows_of(late) == few and "Window" in plan_of(late).split("Join LeftSemi")[1]
+
+
+def test_rows_are_limited_after_they_were_moved(spark, make_facts, monkeypatch):
+    """Facts of few rows an entity are not sorted before the shuffle; those of a hot one are, and all come out."""
+    f = make_facts(*[{"edge_id": f"e{i:03d}", "from_id": "hot" if i < 80 else f"p{i % 9}" if i % 4 else None,
+                      "to_id": f"t{i % 5}", "source_at": None if i % 11 == 0 else f"2024-01-{i % 28 + 1:02d}"}
+                     for i in range(120)])
+    order = facts.newest_first("source_at", "edge_id")
+    plain = grouped.top_per_key(facts.facts_both_ways(facts.filter_facts(f)), ["entity_id"], order, 2)
+    moved = facts.top_facts_per_entity(f, 2)
+    physical = moved._jdf.queryExecution().sparkPlan().toString()
+    assert physical.index("WindowGroupLimit") < physical.index("RepartitionByExpression" if "RepartitionByExpression" in physical else "Exchange")
+    assert rows_of(moved) == rows_of(plain)
+    monkeypatch.setattr(grouped, "SAMPLE", 1)
+    parts = grouped.apart(f, "from_id")
+    assert len(parts) == 2
+    assert {r.from_id for r in parts[1].collect()} == {"hot"}
+    assert rows_of(parts[0].unionByName(parts[1])) == rows_of(f)
+    monkeypatch.setattr(grouped, "OFTEN", 4)
+    assert None in {r.from_id for r in grouped.apart(f, "from_id")[1].collect()}
+    assert rows_of(facts.top_facts_per_entity(f, 2)) == rows_of(plain)
