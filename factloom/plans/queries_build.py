@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.columns import normalised_company
 from factloom.operators.bearers import bearers
 from factloom.operators import build, resolve, traverse, validate
 from factloom.operators import facts as fq
+from factloom.operators.grouped import apart
 from factloom.plans import bundles
 from factloom.plans.catalog import query
 from factloom.plans.queries_facts import BOTH_WAYS
@@ -183,10 +187,16 @@ def _commit_incremental(t: Tables):
       coalesce(to_key, CAST(local_day AS VARCHAR))""",
 )
 def _dedup_merge(t: Tables):
-    rows = build.commit_facts(_with_ids(t), _recorded(), mode="merge")
-    sources = build.merge_sources(rows).groupBy("edge_id").agg(F.count(F.lit(1)).alias("n_sources"))
-    facts = build.dedup_facts(rows)
-    return facts.join(sources, "edge_id").select("edge_label", "fact_type", "fact", "n_sources")
+    rows = build.commit_facts(_with_ids(t), _recorded(), mode="merge").select(
+        "edge_id", "edge_label", "fact_type", "fact", "confidence", "source_record", "source_at", "position"
+    )
+
+    def merged(claims):
+        sources = build.merge_sources(claims).groupBy("edge_id").agg(F.count(F.lit(1)).alias("n_sources"))
+        facts = build.dedup_facts(claims)
+        return facts.join(sources, "edge_id").select("edge_label", "fact_type", "fact", "n_sources")
+
+    return reduce(DataFrame.unionByName, [merged(part) for part in apart(rows, "edge_id")])
 
 
 @query(

@@ -128,3 +128,13 @@ def test_rows_are_limited_after_they_were_moved(spark, make_facts, monkeypatch):
     monkeypatch.setattr(grouped, "OFTEN", 4)
     assert None in {r.from_id for r in grouped.apart(f, "from_id")[1].collect()}
     assert rows_of(facts.top_facts_per_entity(f, 2)) == rows_of(plain)
+
+
+def test_claims_side_by_side_are_merged_without_another_shuffle(spark, monkeypatch):
+    rows = claims(spark)
+    (part,) = grouped.apart(rows, "edge_id")
+    sources = build.merge_sources(part).groupBy("edge_id").agg(F.count(F.lit(1)).alias("n"))
+    for df, plain in ((build.dedup_facts(part), build.dedup_facts(rows)),
+                      (sources, build.merge_sources(rows).groupBy("edge_id").agg(F.count(F.lit(1)).alias("n")))):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        assert rows_of(df) == rows_of(plain)
