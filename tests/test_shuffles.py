@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections import Counter
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from factloom.operators import build, facts, grouped
+from factloom.operators import build, curate, facts, grouped
+from factloom.plans import batch
+from factloom.session import written
 
 
 def rows_of(df):
@@ -138,3 +141,47 @@ def test_claims_side_by_side_are_merged_without_another_shuffle(spark, monkeypat
                       (sources, build.merge_sources(rows).groupBy("edge_id").agg(F.count(F.lit(1)).alias("n")))):
         assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
         assert rows_of(df) == rows_of(plain)
+
+
+def test_curation_moves_no_fact_where_few_change(spark, make_facts, monkeypatch):
+    f = make_facts(*[{"edge_id": f"e{i}", "edge_label": "AFFILIATED", "fact_type": "employee", "fact": "x",
+                      "from_id": f"p{i // 2}" if i < 20 else None, "to_id": "b" if i < 24 else None, "to_day": None,
+                      "confidence": "inferred" if i % 3 else "stated",
+                      "source_at": f"2024-01-{(i % 2 if i < 10 else 0) + 1:02d}"} for i in range(26)])
+    s = spark.createDataFrame(
+        [(f"e{i}", f"r{k}", "stated" if k else "inferred") for i in range(8) for k in range(i % 3)],
+        "edge_id string, record_id string, confidence string",
+    )
+    done = curate.curate(f, s, "2024-06-01", with_supersession=True)
+    assert "Exchange hashpartitioning" not in done._jdf.queryExecution().executedPlan().toString()
+    got = {r.edge_id: (r.stale, r.replaced_by, r.confidence) for r in done.collect()}
+    for i in range(26):
+        lost = i < 10 and i % 2 == 0
+        firm = i in (2, 5) or not i % 3
+        assert got[f"e{i}"] == (lost, f"e{i + 1}" if lost else None, "stated" if firm else "inferred"), i
+    monkeypatch.setattr(curate, "SENT_ROWS", 0)
+    assert rows_of(curate.curate(f, s, "2024-06-01", with_supersession=True)) == rows_of(done)
+
+
+EXTRACTED = (
+    "record_id string, record_type string, metadata map<string,string>, created_at timestamp, "
+    "entities array<struct<name string, type string, metadata map<string,string>, resolved_to string, "
+    "canonical_name string>>, facts array<struct<edge_label string, fact_type string, fact string, "
+    "from_entity string, to_entity string, confidence string, valid_until string>>"
+)
+
+
+def test_a_rebuilt_graph_joins_extractions_and_records_once(spark, tmp_path, monkeypatch):
+    joined = []
+    monkeypatch.setattr(batch, "written", lambda df, name: joined.append(name) or written(df, name))
+    e = {"name": "Ann", "type": "person", "metadata": {}, "resolved_to": "new", "canonical_name": "Ann"}
+    c = {"edge_label": "ASSERTED", "fact_type": "commitment", "fact": "f", "from_entity": "Ann", "to_entity": None,
+         "confidence": "stated", "valid_until": None}
+    rows = [(r, "note", {}, datetime(2024, 1, 1), [e], facts) for r, facts in (("r1", [c, c]), ("r2", [c]), ("r3", [c]))]
+    x = spark.createDataFrame(rows, EXTRACTED)
+    records = x.select("record_id", F.col("record_type").alias("type"), F.lit("t").alias("content"), "metadata", "created_at",
+                       F.when(F.col("record_id") != "r3", "relevant").alias("classification"))
+    batch.rebuild_graph(records, x, str(tmp_path), "2024-06-01", F.lit("2024-06-01").cast("timestamp"))
+    assert joined == ["work"]
+    assert sorted(r.source_record for r in spark.read.parquet(f"{tmp_path}/facts").collect()) == ["r1", "r2"]
+    assert spark.read.parquet(f"{tmp_path}/entities").count() == 1
