@@ -46,38 +46,44 @@ class ChunkEncoder:
         self.size = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
-    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of chunks in order, and how many each has.
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of chunks, and for each chunk where its own begin and how many it has.
 
         Chunks of letters alone are encoded many at a time: each is one word to the tokenizer, whose last
         token is marked as a word's end.  Where the marks do not add up, each is encoded by itself.
         """
-        parts: list[np.ndarray | None] = [None] * len(chunks)
+        start, size = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        parts, n = [np.zeros(0, np.uint32)], 0
         plain = [k for k, c in enumerate(chunks) if self.ends is not None and c.lower().isalpha()]
+        rest = sorted(set(range(len(chunks))).difference(plain))
         for a in range(0, len(plain), 1000):
             run = plain[a : a + 1000]
-            text = " ".join(chunks[k] for k in run)
+            text = " ".join([chunks[k] for k in run])
             ids = np.array(self._batch([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(run) and stops[-1] == len(ids):
-                for k, part in zip(run, np.split(ids, stops[:-1]), strict=True):
-                    parts[k] = part
-        rest = [k for k, part in enumerate(parts) if part is None]
+                size[run] = np.diff(stops, prepend=0)
+                start[run] = n + stops - size[run]
+                parts.append(ids)
+                n += len(ids)
+            else:
+                rest.extend(run)
+        alone: list[int] = []
         for k, e in zip(rest, self._batch([chunks[k] for k in rest], add_special_tokens=False), strict=True):
-            parts[k] = np.array(e.ids, dtype=np.uint32)
-        size = np.array([len(part) for part in parts], dtype=np.int64)
-        return np.concatenate([np.zeros(0, np.uint32), *parts]), size
+            start[k] = n + len(alone)
+            alone.extend(e.ids)
+            size[k] = n + len(alone) - start[k]
+        return np.concatenate([*parts, np.array(alone, dtype=np.uint32)]), start, size
 
     def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        ids, size = self._encoded(chunks)
-        start = (len(self.ids) + np.cumsum(size) - size).astype(np.int32)
+        """Takes in chunks whose hashes are in order and new."""
+        ids, start, size = self._encoded(chunks)
+        start = (len(self.ids) + start).astype(np.int32)
         self.ids = np.concatenate([self.ids, ids])
-        # only what is new is sorted; the known stay in order
-        order = np.argsort(hashes)
-        place = np.searchsorted(self.hashes, hashes[order])
-        self.hashes = np.insert(self.hashes, place, hashes[order])
-        self.start = np.insert(self.start, place, start[order])
-        self.size = np.insert(self.size, place, size[order].astype(np.int32))
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.start = np.insert(self.start, place, start)
+        self.size = np.insert(self.size, place, size.astype(np.int32))
 
     def __call__(self, piece: Piece) -> tuple[np.ndarray, np.ndarray, Words]:
         """All ids of a piece in order, where each row's begin (one more entry than rows), and the chunks."""
@@ -87,6 +93,12 @@ class ChunkEncoder:
         if len(self.hashes) > KEPT_CHUNKS:
             self._forget()
         unique, first, back = distinct(w.hash)
+        # hashes in order are found much faster among those in order
+        order = np.argsort(unique)
+        unique, first = unique[order], first[order]
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        back = rank[back]
         place = np.searchsorted(self.hashes, unique)
         place[place == len(self.hashes)] = 0
         new = self.hashes[place] != unique if len(self.hashes) else np.ones(len(unique), bool)

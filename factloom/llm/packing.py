@@ -55,16 +55,21 @@ def _encode(tokenizer: str):
             for piece in pieces(batch.column(1)):
                 ids, bounds, w = encode(piece)
                 cut = np.searchsorted(w.row, np.arange(piece.rows + 1))
+                # the distinct terms of all rows at once, in the order of rows and terms
+                held = np.sort(w.row.astype(np.uint64) << np.uint64(16) | w.hash >> np.uint64(48))
+                begin = np.flatnonzero(np.diff(held, prepend=held[:1] + np.uint64(1)))
+                terms, times = held[begin], np.diff(begin, append=len(held))
+                own_terms = np.searchsorted(terms, np.arange(piece.rows + 1, dtype=np.uint64) << np.uint64(16))
+                terms, short = terms.astype(np.uint16), np.minimum(times, 255).astype(np.uint8)
                 out: dict[str, list] = {name: [] for name in _ENCODED.names[1:]}
                 for r in range(piece.rows):
-                    own = np.append(ids[bounds[r] : bounds[r + 1]], np.uint32(END)).astype("<u4")
+                    own = np.append(ids[bounds[r] : bounds[r + 1]], np.uint32(END)).astype("<u4", copy=False)
                     out["tokens"].append(len(own))
-                    out["crc"].append([zlib.crc32(own[i : i + WINDOW].tobytes()) for i in range(0, len(own), WINDOW)])
-                    h = w.hash[cut[r] : cut[r + 1]]
-                    term, count = np.unique((h >> np.uint64(48)).astype(np.uint16), return_counts=True)
-                    out["term"].append(term.tobytes())
-                    out["count"].append(np.minimum(count, 255).astype(np.uint8).tobytes())
-                    out["lead"].append(int(term[count.argmax()]) if len(term) else -1)
+                    out["crc"].append([zlib.crc32(own[i : i + WINDOW]) for i in range(0, len(own), WINDOW)])
+                    h, a, b = w.hash[cut[r] : cut[r + 1]], own_terms[r], own_terms[r + 1]
+                    out["term"].append(terms[a:b].tobytes())
+                    out["count"].append(short[a:b].tobytes())
+                    out["lead"].append(int(terms[a + times[a:b].argmax()]) if b > a else -1)
                     out["near"].append(int(h.min() >> np.uint64(1)) if len(h) else -1)
                 key = keys.slice(piece.first, piece.rows).cast(pa.int64())
                 yield pa.record_batch(

@@ -268,3 +268,21 @@ def test_distinct_values_stand_in_order_of_their_first_place():
     assert unique.tolist() == [7, 1 << 63, 0, 5] and first.tolist() == [0, 1, 3, 5]
     assert unique[back].tolist() == values.tolist()
     assert [len(x) for x in distinct(values[:0])] == [0, 0, 0]
+
+
+def test_rows_of_a_piece_keep_their_own_terms():
+    """The scan's bags of words are those of each text alone; ids of chunks are not cut apart one by one."""
+    texts = ["b a a", None, "", " ", "z z z y " * 100, "Don't (stop) a-b c.d", "ß İx " + "q" * 600, "a"]
+    rows = [pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])]
+    alone = [pa.record_batch([pa.array([i], pa.int64()), pa.array([t], pa.string())], names=["doc_id", "text"]) for i, t in enumerate(texts)]
+    run = packing._encode(tokenizer_file(WORD))
+    got = [r for b in run(iter(rows)) for r in b.to_pylist()]
+    assert got == [r for b in run(iter(alone)) for r in b.to_pylist()]
+    for r, text in zip(got, texts, strict=True):
+        count = np.frombuffer(r["count"], dtype=np.uint8)
+        assert len(count) == len(np.unique(np.frombuffer(r["term"], dtype=np.uint16)))
+        assert (count.max(initial=0) == 255) == bool(text and text.startswith("z")) and (r["lead"] < 0) == (not (text or "").strip())
+    ids, start, size = encode.encoder(tokenizer_file(WORD))._encoded(["word", "a.b", "other", "ß"])
+    parts = [ids[a : a + n].tolist() for a, n in zip(start, size, strict=True)]
+    plain = encode.encoder(tokenizer_file(WORD)).tokenizer
+    assert parts == [plain.encode(c, add_special_tokens=False).ids for c in ("word", "a.b", "other", "ß")]
