@@ -35,6 +35,9 @@ KEPT_CHUNKS = 150_000
 #: Chunks that are looked up, and bytes that are encoded, at once.
 SLICE = 200_000
 RUN_BYTES = 1 << 16
+#: Groups are mostly of two or three tokens: so few pairs are listed without arrays.
+FEW_PAIRS = 64
+_ONES = np.ones(FEW_PAIRS, dtype=np.int64)
 
 _PRINTED = np.zeros(256, dtype=bool)
 _PRINTED[0x21:0x7F] = True
@@ -138,12 +141,18 @@ class Aligner:
 
     def _type(self, a: tuple, b: tuple) -> int:
         """The number of an irregular group; its distinct pairs and how often each occurs in it."""
-        if (a, b) not in self.types:
-            self.types[a, b] = len(self.pairs)
+        number = self.types.get((a, b))
+        if number is None:
+            number = self.types[a, b] = len(self.pairs)
+            if len(a) * len(b) <= FEW_PAIRS:
+                keys = sorted([x << 32 | y for x in a for y in b])
+                if len(set(keys)) == len(keys):
+                    self.pairs.append((np.array(keys, dtype=np.int64), _ONES[: len(keys)]))
+                    return number
             x, n = np.unique(np.array(a, dtype=np.int64), return_counts=True)
             y, m = np.unique(np.array(b, dtype=np.int64), return_counts=True)
             self.pairs.append(((x[:, None] << 32 | y[None, :]).ravel(), (n[:, None] * m[None, :]).ravel()))
-        return self.types[a, b]
+        return number
 
     def _runs(self, chunks: list[bytes]) -> Iterator[tuple[list[bytes], tuple[list[int], list[int]] | None]]:
         """Chunks with the ids of both tokenizers behind those of a leading letter, many at a time."""
@@ -238,12 +247,12 @@ class Aligner:
 
     def code(self, chunks: list[bytes]) -> np.ndarray:
         """The chunks' numbers; unknown ones are learnt."""
-        get = self.codes.get
-        found = [get(c, -1) for c in chunks]
-        new = dict.fromkeys(c for c, k in zip(chunks, found, strict=True) if k < 0)
-        if new:
-            self.learn(list(new))
-            found = [get(c) for c in chunks]
+        found = list(map(self.codes.get, chunks))
+        unknown = [i for i, code in enumerate(found) if code is None]
+        if unknown:
+            self.learn(list(dict.fromkeys([chunks[i] for i in unknown])))
+            for i in unknown:
+                found[i] = self.codes[chunks[i]]
         return np.array(found, dtype=np.int64)
 
 

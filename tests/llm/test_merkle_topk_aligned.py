@@ -261,3 +261,19 @@ def test_alignment_of_repeats_slices_and_empty_tables(spark, monkeypatch):
         "doc_id bigint, a bigint, b bigint, g bigint, l bigint, best bigint, sums bigint, sha string"))[1]["sha"]
     empty = documents(spark, [])
     assert aligned.alignment_query(empty, tokenizer_file(A), tokenizer_file(B)).collect() == []
+
+
+def test_irregular_groups_of_few_and_many_tokens(monkeypatch):
+    """Pairs of a group and how often each occurs, listed or by arrays; known chunks are looked up once."""
+    al = aligned.Aligner(tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    for a, b in (((5, 3), (7,)), ((3, 3, 9), (7, 2, 7)), (tuple(range(30)), (4, 4, 1, 0))):
+        want = Counter(x << 32 | y for x in a for y in b)
+        keys, weights = al.pairs[al._type(a, b)]
+        assert keys.tolist() == sorted(want) and weights.tolist() == [want[k] for k in sorted(want)]
+        assert al._type(a, b) == al._type(a, b)
+    seen = []
+    monkeypatch.setattr(al, "learn", lambda new, learn=al.learn: (seen.extend(new), learn(new)))
+    chunks = [b" one", b" two", b" one", b" three"]
+    first = al.code(chunks).tolist()
+    assert al.code([b" two", b" four", b" three", b" four"]).tolist() == [first[1], 3, first[3], 3]
+    assert seen == [b" one", b" two", b" three", b" four"]
