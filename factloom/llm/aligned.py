@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.store import stored
-from factloom.llm.words import pieces
+from factloom.llm.words import distinct, pieces, running, span_hashes
 
 #: Bytes of text looked at together: types are learned by the piece.
 PIECE = 1 << 20
@@ -303,7 +303,7 @@ class _Bucket:
         same, odd = [], []
         for k in range(0, len(starts), SLICE):
             part = slice(k, k + SLICE)
-            codes = al.code([raw[a:b] for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)])
+            codes = self._codes(data, raw, starts[part], ends[part])
             row = rows[part]
             for j, x in enumerate((al.n_a, al.n_b, al.n_groups, al.n_links, al.bad)):
                 np.add.at(sums[j], row, x[codes])
@@ -331,6 +331,13 @@ class _Bucket:
             self.same.append(s[0])
             self.odd.append(o)
 
+    def _codes(self, data: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The chunks' numbers; repeats are told by their hashes, so that each chunk is looked up once."""
+        low = starts[0]
+        unique, first, back = distinct(span_hashes(running(data[low : ends[-1]]), starts - low, ends - low))
+        cuts = zip(starts[first].tolist(), ends[first].tolist(), strict=True)
+        return self.al.code([raw[a:b] for a, b in cuts])[back]
+
     @staticmethod
     def _by_row(parts: list, width: int, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids and counts of each row from the tallies of all slices."""
