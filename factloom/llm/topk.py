@@ -4,8 +4,9 @@ Vectors are quantised to integers, dealt by their nearest centroids and cut into
 256 vectors each.  A block has its term maxima (per dimension, for weights of either sign) and its forward
 index (the vectors); a range is one row of the index.  A query is scored in its own range first, which
 gives a score its k-th best cannot be under.  Pages of range maxima then say which other ranges can reach
-that score; only those meet the query.  There its blocks are ordered by the sum of weighted maxima and
-scored from the highest on, until the next bound is under the k-th best score.
+that score; only those meet the query.  Ranges lie in shelves of 16, and a query is sent once to a shelf that
+holds some of its ranges.  There its blocks are ordered by the sum of weighted maxima and scored from the
+highest on, until the next bound is under the k-th best score.
 
 Bounds never underestimate and a block is left out only if its bound is under the k-th score, so results
 are exact whatever the clustering.
@@ -26,6 +27,13 @@ SCALE = 64
 BLOCK = 256
 RANGE = 16 * BLOCK
 PAGE = 256
+#: Ranges of a shelf and their bytes on average, queries that are scored there together, and partitions that shelves
+#: lie in, at most.
+SHELF, SHELF_BYTES = 16, 16 << 20
+TOGETHER = 2_048
+PARTITIONS = 1_000
+#: Pages of range maxima are broadcast up to so many bytes (counted first).
+SENT_BYTES = 8 << 20
 #: Rows that the centroids are fitted on at most (first ones by hash of the id), and centroids.
 SAMPLE = 8_192
 CENTROIDS = 64
@@ -35,7 +43,7 @@ _NONE = -(1 << 62)
 
 _RANGES = "range long, n int, dim int, ids binary, rows binary, seats binary, high binary, low binary, asks binary"
 _FOUND = "query_row long, query_id long, vec_id long, row long, score long"
-_ASKED = "range long, dim int, own long, q_rows binary, q_ids binary, q_vectors binary, q_least binary"
+_ASKED = "shelf long, own long, dim int, q_rows binary, q_ids binary, q_vectors binary, q_least binary, may binary"
 
 
 def quantised(embedding: Column) -> Column:
@@ -187,6 +195,15 @@ class _Best:
         self.score[who], self.id[who], self.row[who] = (np.take_along_axis(x, order, axis=1) for x in (s, i, r))
         self.least[who] = np.maximum(self.least[who], self.score[who][:, -1])
 
+    def join(self, who: np.ndarray, found: _Best) -> None:
+        """Takes in what the queries `who` found elsewhere."""
+        s, i, r = (
+            np.concatenate([getattr(self, c)[who], getattr(found, c)], axis=1) for c in ("score", "id", "row")
+        )
+        order = np.lexsort((r, i, -s), axis=1)[:, : self.k]
+        self.score[who], self.id[who], self.row[who] = (np.take_along_axis(x, order, axis=1) for x in (s, i, r))
+        self.least[who] = np.maximum(self.least[who], self.score[who][:, -1])
+
 
 def search_range(
     queries: np.ndarray, query_ids: np.ndarray, least: np.ndarray, k: int, index: dict[str, np.ndarray]
@@ -226,7 +243,8 @@ def _index(row: dict, dim: int) -> dict[str, np.ndarray]:
 
 
 def _rows_found(best: _Best, rows: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    q, place = np.nonzero(best.score > _NONE)
+    # what is under the k-th score found so far is not among the k best
+    q, place = np.nonzero((best.score > _NONE) & (best.score >= best.least[:, None]))
     columns = [rows[q], ids[q], best.id[q, place], best.row[q, place], best.score[q, place]]
     names = [c.split()[0] for c in _FOUND.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
@@ -272,23 +290,25 @@ _SEEDED = (
 
 
 def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Queries of a range beside a page of other ranges' maxima: the queries that each of them may serve."""
+    """Queries of a range beside a page of other ranges' maxima: for each shelf the queries that some of its ranges
+    may serve, and which ranges those are (in their order on the shelf)."""
     names = [c.split()[0] for c in _ASKED.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
     for batch in batches:
         for row in batch.to_pylist():
             dim = max(row["dim"], row["page_dim"])
             queries = _wide(_array(row["q_vectors"], row["dim"]), dim)
             least, rows, ids = _array(row["q_least"]), _array(row["q_rows"]), _array(row["q_ids"])
-            ranges = np.array(row["ranges"], dtype=np.int64)
+            ranges, shelves = (np.array(row[c], dtype=np.int64) for c in ("ranges", "shelves"))
             high = _wide(_array(row["page_high"], row["page_dim"]), dim)
             low = _wide(_array(row["page_low"], row["page_dim"]), dim)
             may = (_bounds(queries, high, low) >= least[:, None]) & (ranges != row["range"])[None, :]
-            out = [
-                (int(ranges[j]), dim, row["range"], *[_packed(x[on]) for x in (rows, ids, queries, least)])
-                for j in np.flatnonzero(may.any(axis=0))
-                for on in [may[:, j]]
-            ]
+            out = []
+            for shelf in np.unique(shelves[may.any(axis=0)]):
+                here = may[:, shelves == shelf]
+                on = here.any(axis=1)
+                out.append((int(shelf), row["range"], dim, *[_packed(x[on]) for x in (rows, ids, queries, least)],
+                            np.packbits(here[on], axis=1).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names
@@ -305,6 +325,7 @@ def _paged(key: tuple, pages: pa.Table) -> pa.Table:
         {
             "page": pa.array([key[0].as_py()], pa.int64()),
             "ranges": pa.array([[r["range"] for r in rows]], pa.list_(pa.int64())),
+            "shelves": pa.array([[r["shelf"] for r in rows]], pa.list_(pa.int64())),
             "page_dim": pa.array([dim], pa.int32()),
             "page_high": pa.array([_packed(high)], pa.binary()),
             "page_low": pa.array([_packed(low)], pa.binary()),
@@ -313,18 +334,54 @@ def _paged(key: tuple, pages: pa.Table) -> pa.Table:
 
 
 def _scored(k: int):
+    """A cell's ranges, in their order, and the queries behind them: the k best of its ranges for each query."""
+
+    def score(held: list[dict], asked: list[dict]) -> pa.RecordBatch:
+        dim = max(r["dim"] for r in held + asked)
+        queries = np.concatenate([_wide(_array(r["q_vectors"], r["dim"]), dim) for r in asked])
+        rows, ids, least = (np.concatenate([_array(r[c]) for r in asked]) for c in ("q_rows", "q_ids", "q_least"))
+        bits = np.frombuffer(b"".join(r["may"] for r in asked), dtype=np.uint8).reshape(len(rows), -1)
+        may = np.unpackbits(bits, axis=1, count=len(held)).astype(bool)
+        best = _Best(len(rows), k, least)
+        for place, row in enumerate(held):
+            who = np.flatnonzero(may[:, place])
+            if len(who):
+                found, _ = search_range(queries[who], ids[who], best.least[who], k, _index(row, dim))
+                best.join(who, found)
+        return _rows_found(best, rows, ids)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, asked, count = None, [], [], 0
         for batch in batches:
             for row in batch.to_pylist():
-                dim = max(row["dim"], row["q_dim"])
-                queries = _wide(_array(row["q_vectors"], row["q_dim"]), dim)
-                rows, ids = _array(row["q_rows"]), _array(row["q_ids"])
-                best, _ = search_range(queries, ids, _array(row["q_least"]), k, _index(row, dim))
-                yield _rows_found(best, rows, ids)
+                if row["cell"] != cell or count >= TOGETHER:
+                    if asked:
+                        yield score(held, asked)
+                    asked, count = [], 0
+                if row["cell"] != cell:
+                    cell, held = row["cell"], []
+                if row["range"] is not None:
+                    held.append(row)
+                else:
+                    asked.append(row)
+                    count += len(_array(row["q_rows"]))
+        if asked:
+            yield score(held, asked)
 
     return run
 
 
+def _slices(seeds: DataFrame, shelves: int, held: int) -> int:
+    """Into how many slices the queries are cut: a shelf meets each slice in a cell of its own.
+
+    The `held` bytes of all shelves are sent once for each slice, a query once for each shelf; slices are as many as
+    keep the first no more than the second, or as give every core some cells.
+    """
+    asks = seeds.agg(F.sum(F.octet_length("q_vectors"))).first()[0] or 0
+    cells = 4 * seeds.sparkSession.sparkContext.defaultParallelism
+    return max(1, shelves * asks // max(1, held), -(-cells // shelves))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, rows_at_once: int = 8) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the `k` rows of highest score for each row that `is_query`.
 
@@ -352,20 +409,36 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, rows_at_once: int =
     dealt = dealt.repartitionByRange(*keys).sortWithinPartitions(*keys)
     index = stored(dealt.select("vec_id", "v", "asks", "row").mapInArrow(_ranged, _RANGES), "ranges")
 
-    n_pages = max(1, -(-index.count() // PAGE))
+    n_ranges, size = index.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("rows")), F.lit(0))).first()
+    n_pages, n_shelves = max(1, -(-n_ranges // PAGE)), max(1, -(-n_ranges // SHELF), -(-size // SHELF_BYTES))
+    index = index.withColumn("shelf", F.pmod(F.xxhash64("range"), F.lit(n_shelves)))
     limit = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_at_once))
     try:
         seeds = stored(index.filter(F.octet_length("asks") > 1).mapInArrow(_seeded(k), _SEEDED), "seeds")
-        maxima = index.select("range", "dim", "high", "low")
-        pages = maxima.groupBy(F.pmod(F.xxhash64("range"), F.lit(n_pages)).alias("page")).applyInArrow(
-            _paged, "page long, ranges array<long>, page_dim int, page_high binary, page_low binary"
+        # a shelf lies on one page
+        maxima = index.select("range", "shelf", "dim", "high", "low")
+        pages = maxima.groupBy(F.pmod("shelf", F.lit(n_pages)).alias("page")).applyInArrow(
+            _paged, "page long, ranges array<long>, shelves array<long>, page_dim int, page_high binary, page_low binary"
         )
-        # every row of queries meets every page; an equi-join, as pages are numbered
+        pages = stored(pages, "pages")
+        sent = pages.agg(F.sum(F.octet_length("page_high") + F.octet_length("page_low"))).first()[0] or 0
+        # every row of queries meets every page; an equi-join, as pages are numbered. Files say little of the size of
+        # their rows (equal ones are written once), so what is sent is decided by the bytes counted here
         each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_pages - 1).cast("long")))
-        beside = seeds.drop("found").withColumn("page", each).join(stored(pages, "pages"), "page")
-        asked = stored(beside.mapInArrow(_chosen, _ASKED), "asked").withColumnRenamed("dim", "q_dim")
-        others = stored(index.drop("asks").join(asked, "range").mapInArrow(_scored(k), _FOUND), "found")
+        near = F.broadcast(pages) if sent <= SENT_BYTES else pages.hint("merge")
+        beside = seeds.drop("found").withColumn("page", each).join(near, "page")
+        n_slices = _slices(seeds, n_shelves, size)
+        slices = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_slices - 1).cast("long")))
+        held = index.drop("asks").withColumn("slice", slices)
+        asked = beside.mapInArrow(_chosen, _ASKED).withColumn("slice", F.pmod(F.xxhash64("own"), F.lit(n_slices)))
+        met = held.unionByName(asked.drop("own"), allowMissingColumns=True)
+        met = met.withColumn("cell", F.col("shelf") * n_slices + F.col("slice")).drop("shelf", "slice")
+        cells = n_shelves * n_slices
+        met = met.repartitionById(min(cells, PARTITIONS), F.pmod("cell", F.lit(min(cells, PARTITIONS))).cast("int"))
+        # of a cell, its ranges come first
+        met = met.sortWithinPartitions("cell", F.col("range").isNull(), "range")
+        others = stored(met.mapInArrow(_scored(k), _FOUND), "found")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
     found = seeds.select(F.explode("found").alias("f")).select("f.*").unionByName(others)

@@ -144,6 +144,33 @@ def test_top_k_against_plain_python(spark, monkeypatch, sizes):
     assert got == plain_top(rows)
 
 
+def test_top_k_sends_queries_by_shelf_and_never_broadcasts_them(spark, monkeypatch):
+    """Files of queries that go to many ranges are small, as equal rows are written once; their rows are not."""
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    monkeypatch.setattr(topk, "RANGE", 8)
+    plans, stored = [], topk.stored
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(topk, "stored", kept)
+    rng = np.random.default_rng(7)
+    rows = [(k, rng.normal(size=8).astype(np.float32).tolist(), 1) for k in range(600)]
+    frame = spark.createDataFrame(rows, VECTORS)
+    assert sorted(tuple(r) for r in topk.top_k_query(frame).collect()) == plain_top(rows)
+    sent = [part.split("FileScan", 1)[1].split("\n")[0] for p in plans for part in p.split("BroadcastExchange")[1:]]
+    assert sent and all("page_high" in scan and "q_vectors" not in scan for scan in sent)
+    # with pages that are too large to be sent, and cells that share a partition
+    monkeypatch.setattr(topk, "SENT_BYTES", 0)
+    monkeypatch.setattr(topk, "PAGE", 32)
+    monkeypatch.setattr(topk, "PARTITIONS", 2)
+    monkeypatch.setattr(topk, "TOGETHER", 3)
+    del plans[:]
+    assert sorted(tuple(r) for r in topk.top_k_query(frame).collect()) == plain_top(rows)
+    assert not any("BroadcastExchange" in p for p in plans)
+
+
 def test_top_k_skips_blocks_and_stays_exact():
     rng = np.random.default_rng(6)
     centres = 40 * rng.normal(size=(16, 32))
