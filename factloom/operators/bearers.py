@@ -147,6 +147,7 @@ def unified(made: Commit, mode: str = "literal") -> Unified:
         **{**vars(replace(made, entities=entities, aliases=aliases)),
            "alias_sources": moved(made.alias_sources, "entity_id").distinct(),
            "facts": first.select("edge_id", "r.*").select(*made.facts.columns),
-           "fact_sources": sources.select(*made.fact_sources.columns)},
+           "fact_sources": sources.select(*made.fact_sources.columns),
+           "records": None},
         bearers=who,
     )
