@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import build, curate, facts, grouped
@@ -244,9 +245,39 @@ def test_a_rebuilt_graph_makes_its_ids_once(spark, tmp_path, monkeypatch):
             assert rows_of(getattr(got, name)) == rows_of(df), (mode, name)
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_a_commit_on_top_compares_records_not_claims(spark, monkeypatch, most):
+    x, now, plans = odd_extractions(spark), F.lit("2024-06-01").cast("timestamp"), {}
+    monkeypatch.setattr(build, "written", lambda df, name: plans.update({name: plan_of(df)}) or written(df, name))
+    monkeypatch.setattr(build, "SENT_EDGES", most)
+    early = F.dayofmonth("created_at") % 2 == 0
+    for first in (early, ~early, F.lit(False), F.lit(True)):
+        before = build.commit(x.filter(first), now, keep_records=True)
+        got = build.commit(x.filter(~first), now, stored=before, keep_records=True)
+        assert all("sha2(" not in plan for name, plan in plans.items() if name != "repeated-edges")
+        assert ("repeated-edges" in plans) == (most == 0)
+        third = build.commit(x.limit(3), now, stored=got)
+        for name, df in plain_commit(x.filter(~first), now, stored=before).items():
+            assert rows_of(getattr(got, name)) == rows_of(df), name
+            assert rows_of(getattr(third, name)) == rows_of(df), name
+
+
 def test_claims_of_no_repeated_record_are_not_split(spark):
     x = odd_extractions(spark).filter("record_id IN ('r5', 'c')")
     now = F.lit("2024-06-01").cast("timestamp")
     made = build.commit(x, now)
     assert "Exchange" not in plan_of(made.facts) and "Join" not in plan_of(made.facts)
     assert rows_of(made.facts) == rows_of(plain_commit(x, now)["facts"])
+
+
+def test_facts_about_days_do_not_meet_where_ends_are_named(spark):
+    from factloom.plans import queries_build
+
+    x, now = odd_extractions(spark), F.lit("2024-06-01").cast("timestamp")
+    made = build.commit(x, now)
+    named = queries_build._with_ends(made)
+    assert "none of " in named._jdf.queryExecution().optimizedPlan().toString()
+    names = {r.entity_id: r.name for r in made.entities.collect()}
+    got = sorted((r.fact or "", r.to_day is None, r.to_ref or "") for r in named.collect())
+    assert got == sorted((r.fact or "", r.to_day is None, names.get(r.to_id, r.to_id) or "")
+                         for r in made.facts.collect() if r.from_id in names)
